@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from manyview.llm.line_dedup import drop_repeated_lines
 from manyview.llm.mixing import mix_sources
+from manyview.llm.substring_dedup import drop_repeated_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,40 @@ def sha256(text) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_windows(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select(
+        "doc_id",
+        F.col("__sub_words").alias("n_words"),
+        F.col("__sub_removed").alias("n_removed"),
+        F.col("__sub_sha256").alias("kept_sha256"),
+    )
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), again AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), spans AS (
+  SELECT doc_id, i FROM windows JOIN again USING (h)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM spans
+), tokens AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), kept AS (
+  SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.pos) AS text, count(*) AS n
+  FROM tokens t LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.pos = g.pos WHERE g.pos IS NULL GROUP BY t.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select(
@@ -99,8 +134,9 @@ SELECT doc_id, size, total AS source_size, round(target, 6) AS target, copies *
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
