@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from manyview.llm.line_dedup import drop_repeated_lines
 from manyview.llm.mixing import mix_sources
+from manyview.llm.near_dedup import near_duplicates
 from manyview.llm.substring_dedup import drop_repeated_windows
 
 
@@ -54,6 +55,40 @@ FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.col("keeper")).alias("kept"),
+    )
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), meet AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM meet JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach(x, y) AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (
+  SELECT x AS doc_id, min(y) AS least FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(least, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select(
@@ -135,8 +170,9 @@ SELECT doc_id, size, total AS source_size, round(target, 6) AS target, copies *
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
