@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from manyview.llm.license_scan import scan_licenses
 from manyview.llm.line_dedup import drop_repeated_lines
 from manyview.llm.mixing import mix_sources
 from manyview.llm.near_dedup import near_duplicates
@@ -122,6 +123,20 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select(
+        "doc_id",
+        F.col("__lic_words").alias("n_words"),
+        F.col("__lic_base").alias("n_base"),
+        F.col("__lic_first").alias("first_word"),
+        F.col("__lic_last").alias("last_word"),
+        F.col("__lic_base_labels").alias("base_labels"),
+        F.col("__lic_labels").alias("labels"),
+        F.col("__lic_score").alias("score"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select(
@@ -172,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
 
