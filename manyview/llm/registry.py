@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from manyview.llm.decontamination import leaks
 from manyview.llm.license_scan import scan_licenses
 from manyview.llm.line_dedup import drop_repeated_lines
 from manyview.llm.mixing import mix_sources
@@ -56,6 +57,17 @@ FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that holds an item of the benchmark."""
+    out = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count_distinct("item").alias("n_items"),
+        F.array_join(F.array_sort(F.collect_set(F.col("item").cast("string"))), ",").alias("item_ids"),
+        F.max("covered").alias("covered"),
+        F.max("same").alias("verbatim"),
+    )
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(
@@ -185,6 +197,7 @@ SELECT doc_id, size, total AS source_size, round(target, 6) AS target, copies *
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
     "op4_near_dedup": op4_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_license_scan": op9_license_scan,
