@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.llm.decontamination import leaks
+from manyview.llm.html_text import extract_text
 from manyview.llm.license_scan import scan_licenses
 from manyview.llm.line_dedup import drop_repeated_lines
 from manyview.llm.mixing import mix_sources
@@ -68,6 +69,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return out.select("page_id", "url", F.col("__html_text").alias("text"), F.col("__html_chars").alias("n_chars"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(
@@ -198,6 +204,7 @@ SELECT doc_id, size, total AS source_size, round(target, 6) AS target, copies *
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_html_extraction": op3_html_extraction,
     "op4_near_dedup": op4_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_license_scan": op9_license_scan,
