@@ -14,6 +14,7 @@ from manyview.llm.line_dedup import drop_repeated_lines
 from manyview.llm.mixing import mix_sources
 from manyview.llm.near_dedup import near_duplicates
 from manyview.llm.substring_dedup import drop_repeated_windows
+from manyview.llm.topk_search import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +109,24 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_
 """
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = top_k(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_sum([q.v[i] * r.v[i] FOR i IN range(1, len(q.v) + 1)])::BIGINT AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select(
@@ -206,9 +225,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_html_extraction": op3_html_extraction,
     "op4_near_dedup": op4_near_dedup,
+    "op5_topk_search": op5_topk_search,
     "op7_line_dedup": op7_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL, "op5_topk_search": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
