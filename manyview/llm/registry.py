@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from manyview.llm import language_id, quality
 from manyview.llm.decontamination import leaks
 from manyview.llm.html_text import extract_text
 from manyview.llm.license_scan import scan_licenses
@@ -14,6 +15,7 @@ from manyview.llm.line_dedup import drop_repeated_lines
 from manyview.llm.mixing import mix_sources
 from manyview.llm.near_dedup import near_duplicates
 from manyview.llm.substring_dedup import drop_repeated_windows
+from manyview.llm.text_columns import fold_of
 from manyview.llm.topk_search import top_k
 
 
@@ -127,6 +129,18 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(quality.learnable(docs), table(spark, sf_dir, "labels"))
+    out = quality.score_quality(docs, ["doc_id"], model)
+    return out.select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("__quality_score").alias("score"),
+        (F.col("__quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select(
@@ -160,6 +174,18 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.learnable(docs))
+    out = language_id.identify(docs, ["doc_id"], model)
+    return out.select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.col("__lang").alias("lang_pred"),
+        F.col("__lang_score").alias("score"),
+    )
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select(
@@ -226,7 +252,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_near_dedup": op4_near_dedup,
     "op5_topk_search": op5_topk_search,
+    "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
