@@ -54,9 +54,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap
         F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w_before"),
     )
     s = s.withColumn("level", (F.col("all") - F.col("c_before")) / (F.col("w_all") - F.col("w_before")))
-    s = s.withColumn("full", F.col("c") <= F.col("level") * F.col("w"))
-    # levels only rise while sources fill up, so the first that does not is the one shared
-    s = s.withColumn("level", F.min(F.when(~F.col("full"), F.col("level"))).over(every))
+    # the first source that stays below its cap, all before it being full, has the level that the rest share
+    s = s.withColumn("place", F.row_number().over(fill))
+    s = s.withColumn("first", F.min(F.when(F.col("c") > F.col("level") * F.col("w"), F.col("place"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("place") == F.col("first"), F.col("level"))).over(every))
+    s = s.withColumn("full", F.col("first").isNull() | (F.col("place") < F.col("first")))
     return s.select(
         f"{P}key",
         F.col(f"{P}total"),

@@ -229,11 +229,13 @@ WITH d AS (
          coalesce(sum(w) OVER (ORDER BY c / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_before
   FROM f
 ), h AS (
-  SELECT *, (tot - c_before) / (w_all - w_before) AS own_level FROM g
+  SELECT *, (tot - c_before) / (w_all - w_before) AS own_level, row_number() OVER (ORDER BY c / w, key) AS place FROM g
 ), i AS (
-  SELECT *, min(own_level) FILTER (c > own_level * w) OVER () AS level FROM h
+  SELECT *, min(place) FILTER (c > own_level * w) OVER () AS first FROM h
+), j AS (
+  SELECT *, max(own_level) FILTER (place = first) OVER () AS level FROM i
 ), t AS (
-  SELECT key, total, CASE WHEN c <= own_level * w THEN c ELSE level * w END AS target FROM i
+  SELECT key, total, CASE WHEN first IS NULL OR place < first THEN c ELSE level * w END AS target FROM j
 ), r AS (
   SELECT d.*, t.total, t.target,
          row_number() OVER (PARTITION BY d.key ORDER BY floor(sqrt(size::DOUBLE) * 2), split, size, doc_id)::DOUBLE AS upto,
