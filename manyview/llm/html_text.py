@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from manyview.llm.worker_code import ship
+
 WINDOW = 3
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -222,6 +224,7 @@ def extract_text(pages: DataFrame, carry: list[str], *, html: str = "html") -> D
     Columns of ``pages`` beside ``carry`` are not read; names that begin with
     ``__html_`` are reserved.
     """
+    ship(pages.sparkSession)
     rows = pages.select(*[F.col(c) for c in carry], F.col(html).alias("__html_source"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*carry).schema.fields)
     return rows.mapInArrow(lambda it: extract(it, len(carry)), f"{fields}, __html_text string, __html_chars long")

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from manyview.llm.ngram_features import averages, sparse_rows
 from manyview.llm.text_columns import fold_of
+from manyview.llm.worker_code import ship
 
 #: Rows of a language that a model is trained on, at most.
 PER_LANGUAGE = 400
@@ -167,6 +168,7 @@ def identify(docs: DataFrame, carry: list[str], model: LanguageModel, *, text: s
     the model has seen no language. Columns of ``docs`` beside ``carry`` are not
     read; names that begin with ``__lang`` are reserved. Nothing is shuffled.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__lang_text"), has_letter.alias("__lang_letter"))

@@ -28,6 +28,7 @@ from manyview.llm.components import label_components
 from manyview.llm.scratch import Scratch
 from manyview.llm.text_columns import row_key
 from manyview.llm.word_arrays import BASES, Chunk, Runs, binary_column, chunks, mix, signed, word_digests, words
+from manyview.llm.worker_code import ship
 
 SHINGLE = 5
 #: At similarity 0.85, two documents agree in none of 40 bands of 8 with probability 3e-6.
@@ -190,6 +191,7 @@ def near_duplicates(
     (``miss``). Only the id and text of ``docs`` are read.
     """
     scratch = Scratch(docs.sparkSession, "near")
+    ship(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
     every = scratch.table(keyed.mapInArrow(lambda it: signatures(it, shingle), SIGNATURES), "signatures")
     banded = every.select("class", F.explode("bands").alias("band"))

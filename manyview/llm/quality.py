@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from manyview.llm.ngram_features import averages, sparse_rows
 from manyview.llm.text_columns import fold_of
+from manyview.llm.worker_code import ship
 
 #: Labelled documents that a model is trained on, at most.
 LABELLED = 3000
@@ -94,6 +95,7 @@ def score_quality(docs: DataFrame, carry: list[str], model: QualityModel, *, tex
     ``docs`` beside ``carry`` are not read; names that begin with ``__quality_`` are
     reserved. Nothing is shuffled.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__quality_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from manyview.llm.scratch import Scratch
 from manyview.llm.text_columns import row_key
 from manyview.llm.word_arrays import BASES, Runs, chunks, mix, signed, word_digests, words
+from manyview.llm.worker_code import ship
 
 #: Words of an edge. Shorter ones would be common by chance, longer ones leave less choice of a minimiser.
 EDGE = 8
@@ -185,6 +186,7 @@ def drop_repeated_windows(
     ``carry`` are not read; names that begin with ``__sub_`` are reserved.
     """
     scratch = Scratch(docs.sparkSession, "substring")
+    ship(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
     every = scratch.table(keyed.mapInArrow(lambda it: stretches(it, window, edge), STRETCH), "stretches")
     again = scratch.table(every.groupBy("m").count().where("count > 1").select("m"), "minimisers")

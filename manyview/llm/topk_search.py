@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from manyview.llm.worker_code import ship
+
 #: Rows of a block, blocks of a shard, queries that are scored together, queries of a task.
 BLOCK, SHARD_BLOCKS, QUERIES, GROUP = 512, 16, 512, 8192
 
@@ -99,6 +101,7 @@ def top_k(
     compared over what both have; an empty vector scores 0. Scores must stay below
     2**53. Other columns are not read.
     """
+    ship(vectors.sparkSession)
     x = F.col("raw")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("raw"))
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
