@@ -119,18 +119,18 @@ def drop_repeated_lines(
     frequent = runs.frequent(min_docs)
     runs.drop_runs()
     gone = keyed.join(frequent, KEY).where(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")))
-    gone = gone.groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.groupBy(F.col("id").alias("__line_gone_id"), F.col("row").alias("__line_gone_row")).agg(F.collect_set("pos").alias("__line_gone"))
     rows = docs.select(*[F.col(c) for c in carry], F.col(doc_id).alias("__line_id"), F.col(text).alias("__line_text"))
     rows = rows.withColumn("__line_row", row_key(F.col("__line_id"), F.col("__line_text")))
-    joined = rows.join(gone, F.col("__line_id").eqNullSafe(F.col("id")) & (F.col("__line_row") == F.col("row")), "left")
+    joined = rows.join(gone, F.expr("__line_id <=> __line_gone_id AND __line_row = __line_gone_row"), "left")
     kept_text = F.coalesce(F.col("__line_text"), F.lit(""))
-    split = joined.select(*[F.col(c) for c in carry], kept_text.alias("__line_text"), "gone", F.split(kept_text, "\n").alias("__line_all"))
+    split = joined.select(*[F.col(c) for c in carry], kept_text.alias("__line_text"), "__line_gone", F.split(kept_text, "\n").alias("__line_all"))
     # the array is used twice, so that the optimiser keeps it as a column and the lambda does not split again
-    places = F.array_except(F.sequence(F.lit(0), F.size("__line_all") - 1), F.col("gone"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__line_all") - 1), F.col("__line_gone"))
     left = F.array_join(F.transform(places, lambda i: F.get(F.col("__line_all"), i)), "\n")
     return split.select(
         *[F.col(c) for c in carry],
-        F.when(F.col("gone").isNull(), F.col("__line_text")).otherwise(left).alias("__line_kept"),
+        F.when(F.col("__line_gone").isNull(), F.col("__line_text")).otherwise(left).alias("__line_kept"),
         F.size("__line_all").cast("long").alias("__line_n"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__line_dropped"),
+        F.coalesce(F.size("__line_gone"), F.lit(0)).cast("long").alias("__line_dropped"),
     )

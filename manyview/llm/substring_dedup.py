@@ -204,9 +204,10 @@ def drop_repeated_windows(
     single = scratch.table(source.mapInArrow(lambda it: windows(it, window), WINDOWS), "windows")
     common = scratch.table(single.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "common")
     shared = single.where("alone").join(common, ["w1", "w2"], "left_semi").select("id", "row", "start", F.lit(1).alias("n"))
-    spans = whole.unionByName(shared).groupBy("id", "row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    spans = whole.unionByName(shared).groupBy(F.col("id").alias("__sub_in_id"), F.col("row").alias("__sub_in_row"))
+    spans = spans.agg(F.collect_set(F.struct("start", "n")).alias("__sub_spans"))
     rows = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__sub_text"), F.col(doc_id).cast("long").alias("__sub_id"), row_key(F.col(doc_id), F.col(text)).alias("__sub_row"))
-    joined = rows.join(spans, F.expr("__sub_id <=> id AND __sub_row = row"), "left").select(*carry, "__sub_text", "spans")
+    joined = rows.join(spans, F.expr("__sub_id <=> __sub_in_id AND __sub_row = __sub_in_row"), "left").select(*carry, "__sub_text", "__sub_spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
     return joined.mapInArrow(
         lambda it: cut(it, window, len(carry)), f"{fields}, __sub_words long, __sub_removed long, __sub_kept string, __sub_sha256 string"
