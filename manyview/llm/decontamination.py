@@ -19,8 +19,8 @@ from manyview.llm.scratch import Scratch
 from manyview.llm.text_columns import row_key
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
-#: A capital within a sentence: after a word or a comma and one space.
-NAME_RE = r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
+#: A capital within a sentence: after a word or a comma and a little white space.
+NAME_RE = r"(?<=[\p{L}\p{N},;]\s{1,4})\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
 NUMBER_RE = r"\p{N}+(?:[.,:]\p{N}+)*"
 # Units, spelled out or short, after a number.
 UNITS = (
@@ -28,7 +28,7 @@ UNITS = (
     "ml|l|lit(?:er|re)s?|gallons?|cups?|s|ms|sec|secs|seconds?|min|mins|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|"
     "usd|eur|gbp|dollars?|euros?|cents?|percent|degrees?|celsius|fahrenheit|mph|kmh|hz|khz|mhz|w|kw|kwh|v|a|b|kb|mb|gb|tb"
 )
-UNIT_RE = rf"(?<={NUMBER} |{NUMBER})(?:{UNITS})(?![\p{{L}}\p{{M}}])"
+UNIT_RE = rf"(?<={NUMBER}\s{{0,4}})(?:{UNITS})(?![\p{{L}}\p{{M}}])"
 TEMPLATE_WORD = rf"[\p{{L}}\p{{M}}]+|[{NAME}{NUMBER}{UNIT}]"
 PLAIN_WORD = rf"{NUMBER_RE}|[\p{{L}}\p{{M}}]+"
 #: Windows of the benchmark that may be sent to every executor: 16 bytes each.

@@ -1,0 +1,222 @@
+"""Decontamination, web pages, licenses, mixing and search against plain Python."""
+
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import plain
+import pytest
+from conftest import SCHEMA
+from pyspark.sql import functions as F
+
+from manyview.llm import registry
+from manyview.llm.decontamination import leaks, template
+from manyview.llm.html_text import blocks, core, extract_text, main_text
+from manyview.llm.license_rules import rules
+from manyview.llm.license_scan import scan_licenses
+from manyview.llm.mixing import mix_sources
+from manyview.llm.topk_search import top_k
+
+# --- benchmark ---
+
+QUESTION = (
+    "A baker named Alice sells 12 loaves of bread for 3 dollars each morning. Then Alice buys 5 kg of flour and pays 4 dollars for every kg. "
+    "How much money does the baker have left when the market closes?"
+)
+SHORT = "Which river crosses seven capitals today?"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, 0, "i", "r", "w", 1, "c", "g", "p") for i, t in rows], SCHEMA)
+
+
+def test_template(spark):
+    row = spark.createDataFrame([("In May, Bob ran 3.5 km. Then he saw 2 cats\u0001.",)], "t string").select(template(F.col("t"))).first()[0]
+    assert row == ["in", "may", "bob", "ran", "\u0002", "\u0003", "then", "he", "saw", "\u0002", "cats"] or row[:2] == ["in", "\u0001"]
+
+
+def test_leaks(spark):
+    other = QUESTION.replace("Alice", "Robert").replace("12", "30").replace("5 kg", "8 kg")
+    clash = QUESTION.replace("named Alice", "named Robert").replace("Then Alice", "Then Martha")
+    rows = [
+        (1, f"Some words before. {QUESTION} And some after."),
+        (2, f"First line\n{other}"),
+        (3, clash),
+        (4, QUESTION.upper()),
+        (5, "Bread is sold each morning in many places, and flour is paid for by the kg."),
+        (6, None),
+        (7, ""),
+        (8, " ".join(QUESTION.split()[:9])),
+        (9, f"One asks: {SHORT.lower()} Nobody knows."),
+        (1, f"Some words before. {QUESTION} And some after."),
+        (None, QUESTION),
+        (10, QUESTION.replace(" ", "  \n")),
+    ]
+    bench = spark.createDataFrame([(70, QUESTION, 1), (71, SHORT, 1), (72, None, 1), (73, "", 1), (70, QUESTION, 2)], "item_id long, text string, id int")
+    got = {(r["id"], r["item"]): r["same"] for r in leaks(table(spark, rows), bench).collect()}
+    assert got.keys() == {(1, 70), (2, 70), (4, 70), (9, 71), (None, 70), (10, 70)}
+    assert got[1, 70] and not got[2, 70]
+
+
+def test_leaks_of_nothing(spark, nothing):
+    bench = spark.createDataFrame([(70, QUESTION)], "item_id long, text string")
+    assert leaks(nothing, bench).count() == 0
+    assert leaks(table(spark, [(1, QUESTION)]), bench.where("false")).count() == 0
+
+
+# --- pages ---
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
+<header><h1>Site</h1><ul><li><a href=x>Home</a></ul></header><nav>Menu</nav><div id="cookie-notice">Cookies!</div>
+<article><header><h1>My   title</h1><p class="byline">By X</p></header><p>First &amp; foremost.<br>Next&nbsp;line</p><div class="ad">Buy</div>
+<p>Short.<p><b>Open bold <i>text</p><ul><li>one<li>two</ul><form><input>Mail</form><script>if (a<b) x("</p>")</script></article>
+<aside>Side</aside><section id="comments"><article><p>A long comment that a reader left below the text.</p></article></section><footer>(c)</footer></body>"""
+
+
+def test_article():
+    assert main_text(PAGE).split("\n\n") == ["My title", "First & foremost. Next line", "Short.", "Open bold text", "one", "two"]
+
+
+def test_page_without_article():
+    page = """<div class=wrap><div class="menu"><a href=1>A</a><a href=2>B</a></div><div><ul><li><a href=3>Links here</a><li><a href=4>and there</a></ul></div>
+    <div id="content"><h2>Heading</h2><p>Some long text that runs on.</p><p>More of it that runs on too.</p><p>End.</p></div><div class="sidebar"><p>Popular</p></div></div>"""
+    assert main_text(page) == "Heading\n\nSome long text that runs on.\n\nMore of it that runs on too.\n\nEnd."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("", ""),
+        ("<p>only", "only"),
+        ("plain &lt;text", "plain <text"),
+        ("<script>never closed", ""),
+        ("<nav>menu</nav>", ""),
+        ("<article></article>", ""),
+        ("<!-- open <p>x", ""),
+        ("<article><p title='a > b'>x</p></article>", "x"),
+        ("<article><p title=\"open>x</p></article>", "x"),
+        ("<article><p hidden>no</p><p style='display: none'>no</p><p>yes</article>", "yes"),
+        ("<article>" + "<div>" * 300 + "deep" + "</div>" * 300, "deep"),
+    ],
+)
+def test_odd_pages(page, text):
+    assert main_text(page) == text
+
+
+def test_core_is_the_largest_stretch():
+    assert core([0, 0, 5, 0, 0, 0, 0, 40, 50, 0, 60, 0, 0, 0, 9]) == (5, 11)
+    assert core([]) == (0, 0)
+    assert [t for t, _, _ in blocks("<nav>a</nav><p>b")] == ["", "b"]
+
+
+def test_extract(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (2, None, None, "y"), (3, "v", "", "z")], "page_id long, url string, html string, text string")
+    got = extract_text(pages, ["page_id", "url", "text"]).collect()
+    assert sorted((r["page_id"], r["__html_chars"]) for r in got) == [(1, len(main_text(PAGE))), (2, 0), (2, 0), (3, 0)]
+    assert extract_text(pages.where("false"), ["page_id"]).count() == 0
+
+
+# --- licenses ---
+
+
+def test_rules_are_ordered():
+    found = rules()
+    assert len(found) > 200 and [r.priority for r in found] == sorted((r.priority for r in found), reverse=True)
+
+
+def test_licenses(spark, corpus):
+    texts = [
+        "Released under the MIT License.",
+        "MIT license MIT-license; mit, license! The Apache\nLicense and the GNU General Public License version 3",
+        "submit license; general public licenses",
+        "Copyright 2020. SPDX-License-Identifier: Apache-2.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        "İ mit license é",
+        "nothing here",
+        None,
+        "",
+        "mit license " * 300,
+    ]
+    rows = [*enumerate(texts), *[(1000 + k, t) for k, (_, t) in enumerate(corpus[:30])]]
+    got = {r["doc_id"]: r for r in scan_licenses(table(spark, rows), ["doc_id", "words"]).collect()}
+    for i, t in rows:
+        r = got[i]
+        assert (r["__lic_words"], r["__lic_base"], r["__lic_first"], r["__lic_last"], r["__lic_base_labels"]) == plain.phrases(t), t
+        assert set(filter(None, r["__lic_base_labels"].split(","))) <= set(r["__lic_labels"].split(",")), t
+        assert 0 <= r["__lic_score"] <= 1 and (r["__lic_score"] > 0) == bool(r["__lic_labels"])
+    assert got[0]["__lic_labels"] == "mit" and got[4]["__lic_labels"] == "mit"
+    assert "apache-2.0" in got[3]["__lic_labels"].split(",") and got[3]["__lic_score"] == 1.0
+    # what lies in a match of higher priority is not told twice
+    spans = [(s["start"], s["stop"]) for s in got[0]["__lic_spans"]]
+    assert len(spans) == 1
+    assert scan_licenses(table(spark, []), ["doc_id"]).count() == 0
+
+
+# --- mixing ---
+
+
+def test_mixing(documents, corpus):
+    out = mix_sources(documents, ["doc_id", "source", "text", "words"]).collect()
+    again = mix_sources(documents.repartition(7), ["doc_id", "source", "text", "words"]).collect()
+    assert Counter(out) == Counter(again)
+    sizes = defaultdict(int)
+    for r in out:
+        assert r["__mix_size"] == len(plain.words(r["text"])) and 0 <= r["__mix_copies"] <= 3
+        sizes[r["source"]] += r["__mix_size"]
+    goal = plain.targets(sizes)
+    largest = max(r["__mix_size"] for r in out)
+    for s in sizes:
+        mine = [r for r in out if r["source"] == s]
+        assert {round(r["__mix_target"], 6) for r in mine} == {round(goal[s], 6)} and {r["__mix_total"] for r in mine} == {sizes[s]}
+        assert abs(sum(r["__mix_copies"] * r["__mix_size"] for r in mine) - goal[s]) <= 2 * largest
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 400}, {"a": 5}, {"a": 1, "b": 2, "c": 3, "d": 90, None: 4}, {"a": 0, "b": 0}])
+def test_targets(spark, sizes):
+    rows = [(i, " ".join(["x"] * n), s) for i, (s, n) in enumerate(sizes.items())]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["source"]).collect()
+    assert {r["source"]: round(r["__mix_target"], 6) for r in got} == {s: round(t, 6) for s, t in plain.targets(sizes).items()}
+
+
+def test_taken_is_near_target(spark):
+    """Within one part in fifty for sources of some thousand documents."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(["x"] * rng.choice([3, 40, 300])), f"s{min(3, i % 9)}") for i in range(9000)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["source"])
+    for r in out.groupBy("source").agg(F.sum(F.expr("__mix_copies * __mix_size")).alias("taken"), F.max("__mix_target").alias("target")).collect():
+        assert abs(r["taken"] / r["target"] - 1) < 0.02
+
+
+def test_mixing_nothing(nothing):
+    assert mix_sources(nothing, ["doc_id"]).count() == 0
+
+
+# --- search ---
+
+
+def test_top_k(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(1500, 8)).astype("float32")
+    vectors[200:700] = vectors[200]
+    rows = [(int(i) * 7, v.tolist(), 1) for i, v in enumerate(vectors)]
+    rows += [(350_000, None, 1), (350_050, [1.0, None], 1), (350_100, [float("nan")] * 8, 1), (350_150, [float("inf")] * 8, 1), (None, [1.0] * 8, 1), (-50, [0.5] * 8, 1)]
+    rows += [rows[0], (10**15, [0.25] * 8, 1), (10**15 + 50, [], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = {i: np.floor(256 * np.array(v, "float32").astype(float)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    whole[10**15 + 50] = np.zeros(8)
+    ids = np.array(sorted(whole))
+    m = np.stack([whole[i] for i in ids])
+    want = set()
+    for q in (i for i in ids if i % 50 == 0):
+        scores = m @ whole[q]
+        best = sorted((-s, i) for s, i in zip(scores, ids, strict=True) if i != q)[:5]
+        want |= {(q, r, i, int(-s)) for r, (s, i) in enumerate(best, 1)}
+    got = registry.op5_topk_search(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_top_k_of_few(spark):
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
+    assert top_k(few.where("false")).count() == 0
+    assert top_k(few.where("vec_id = 0")).count() == 0
