@@ -1,7 +1,7 @@
 """Quality scores by supervised subword embeddings.
 
 Each word and each character n-gram of a text has a learned vector, found by its
-hash; a document is the average of its vectors, and a softmax over that gives the
+hash, and so has a word that only says the one before it again; a document is the average of its vectors, and a softmax over that gives the
 class. Training is stochastic gradient descent in numpy on a bounded sample of
 labelled documents. Since the output is linear in the average, the vectors and the
 output layer fold into one weight for each bucket when documents are scored.
@@ -23,7 +23,7 @@ from manyview.llm.worker_code import ship
 
 #: Labelled documents that a model is trained on, at most.
 LABELLED = 3000
-ORDERS, BITS, LOWER = (3, 4), 17, False
+ORDERS, BITS, LOWER, REPEATS = (3, 4), 17, False, True
 DIMENSIONS, EPOCHS, RATE = 8, 8, 20.0
 
 
@@ -38,7 +38,7 @@ def train(texts: list[str], good: list[int]) -> QualityModel:
     y = np.array(good, int)
     if not len(y):
         return QualityModel(np.zeros((1 << BITS, 1), np.float32), 0.0)
-    rows = sparse_rows(texts, ORDERS, BITS, LOWER)
+    rows = sparse_rows(texts, ORDERS, BITS, LOWER, REPEATS)
     rng = np.random.default_rng(3)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BITS, DIMENSIONS)).astype(np.float32)
     out = np.zeros((2, DIMENSIONS), np.float32)
@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, doc_id: str =
 def rate(batches: Iterator[pa.RecordBatch], shared, carried: int) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
-        mean, _ = averages(batch.column(carried), model.weights, ORDERS, BITS, LOWER)
+        mean, _ = averages(batch.column(carried), model.weights, ORDERS, BITS, LOWER, REPEATS)
         score = 1 / (1 + np.exp(-np.clip(mean[:, 0] + model.bias, -500, 500)))
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(i) for i in range(carried)], pa.array(score, pa.float64())],
