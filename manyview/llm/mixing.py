@@ -10,6 +10,10 @@ target as its documents' sizes allow. No source is sorted as a whole: cells of a
 few like-sized documents are counted, the counts are summed along each source, and
 a document's place is the sum before its cell plus its rank within the cell. The
 cells are many even in a single hot source, and no task gets more than a cell.
+
+The offset is random, but a few long documents can bring a small source far off its
+target with it. So it is turned by sixteenths of a copy, and the turn with which the
+source's words come nearest to its target is taken.
 """
 
 from __future__ import annotations
@@ -18,8 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from manyview.llm.scratch import Scratch
 from manyview.llm.text_columns import word_count
 
+#: Offsets that are tried for a source, evenly apart from a random one.
+OFFSETS = 16
 #: Hex digits of the id's digest that split like-sized documents of a source.
 SPLIT_DIGITS = 2
 P = "__mix_"
@@ -88,6 +95,7 @@ def mix_sources(
     Columns of ``docs`` beside ``carry`` are not read; names that begin with
     ``__mix_`` are reserved.
     """
+    scratch = Scratch(docs.sparkSession, "mix")
     digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(
         *[F.col(c) for c in carry],
@@ -97,21 +105,34 @@ def mix_sources(
         F.substring(digest, 1, SPLIT_DIGITS).alias(f"{P}split"),
     ).withColumn(f"{P}bin", F.floor(F.sqrt(F.col(f"{P}size").cast("double")) * 2))
     cell = [f"{P}key", f"{P}bin", f"{P}split"]
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum(f"{P}size").alias(f"{P}size"))
+    # without texts, since they are read more than once
+    sized = scratch.table(rows.select(f"{P}id", f"{P}size", *cell), "sized")
+    cells = sized.groupBy(*cell).agg(F.count("*").alias("n"), F.sum(f"{P}size").alias(f"{P}size"))
     targets = source_targets(cells, weights, share, max_copies)
     along = Window.partitionBy(f"{P}key").orderBy(f"{P}bin", f"{P}split").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*cell, F.coalesce(F.sum("n").over(along), F.lit(0)).alias(f"{P}before")).join(targets, f"{P}key")
-    ranked = rows.withColumn(f"{P}rank", F.row_number().over(Window.partitionBy(*cell).orderBy(f"{P}size", f"{P}id")))
-    placed = ranked.join(cells, cell)
     start = F.md5(F.concat(F.lit(f"{seed}|"), F.col(f"{P}key")).cast("binary"))
-    offset = F.conv(F.substring(start, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rate = F.when(F.col(f"{P}total") > 0, F.col(f"{P}target") / F.col(f"{P}total")).otherwise(F.lit(0.0))
-    upto = (F.col(f"{P}before") + F.col(f"{P}rank")).cast("double")
-    crossed = F.floor(upto * rate + offset) - F.floor((upto - 1) * rate + offset)
+    start = F.conv(F.substring(start, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    cells = scratch.table(cells.withColumn(f"{P}start", start), "cells")
+
+    def copies(offset: Column) -> Column:
+        rate = F.when(F.col(f"{P}total") > 0, F.col(f"{P}target") / F.col(f"{P}total")).otherwise(F.lit(0.0))
+        upto = (F.col(f"{P}before") + F.col(f"{P}rank")).cast("double")
+        crossed = F.floor(upto * rate + offset) - F.floor((upto - 1) * rate + offset)
+        return F.least(crossed, F.lit(max_copies)).cast("long")
+
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy(f"{P}size", f"{P}id"))
+    tried = sized.withColumn(f"{P}rank", rank).join(cells, cell)
+    step = [F.col(f"{P}start") + F.lit(i / OFFSETS) for i in range(OFFSETS)]
+    taken = [F.sum(copies(u) * F.col(f"{P}size")).alias(f"t{i}") for i, u in enumerate(step)]
+    sums = tried.groupBy(f"{P}key").agg(F.max(f"{P}target").alias("goal"), *taken)
+    errors = F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("goal")).alias("error"), F.lit(i).alias("i")) for i in range(OFFSETS)])
+    best = sums.select(f"{P}key", (F.array_min(errors)["i"] / F.lit(float(OFFSETS))).alias(f"{P}step"))
+    placed = rows.withColumn(f"{P}rank", rank).join(scratch.table(cells.join(best, f"{P}key"), "placed"), cell)
     return placed.select(
         *[F.col(c) for c in carry],
         f"{P}size",
         f"{P}total",
         f"{P}target",
-        F.least(crossed, F.lit(max_copies)).cast("long").alias(f"{P}copies"),
+        copies(F.col(f"{P}start") + F.col(f"{P}step")).alias(f"{P}copies"),
     )

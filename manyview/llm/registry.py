@@ -243,9 +243,14 @@ WITH d AS (
          ('0x' || substr(md5('mix|' || d.key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
   FROM d JOIN t USING (key)
 ), x AS (
-  SELECT *, least(floor(upto * rate + start) - floor((upto - 1) * rate + start), 3)::BIGINT AS copies FROM r
+  SELECT *, least(floor(upto * rate + (start + i / 16.0::DOUBLE)) - floor((upto - 1) * rate + (start + i / 16.0::DOUBLE)), 3)::BIGINT AS copies
+  FROM r CROSS JOIN (SELECT unnest(range(16)) AS i)
+), e AS (
+  SELECT key, i, abs(sum(copies * size)::BIGINT - max(target)) AS error FROM x GROUP BY key, i
+), b AS (
+  SELECT key, i FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY error, i) = 1
 )
-SELECT doc_id, size, total AS source_size, round(target, 6) AS target, copies * size AS taken, copies FROM x
+SELECT doc_id, size, total AS source_size, round(target, 6) AS target, copies * size AS taken, copies FROM x JOIN b ON x.key = b.key AND x.i = b.i
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
