@@ -45,10 +45,11 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "sidebar sidebars side menu menus nav navbar navigation navi breadcrumb breadcrumbs topbar footer foot header masthead comment comments commentlist respond "
     "disqus replies discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay "
-    "widget widgets toolbar pagination pager copyright skip disclaimer alert teaser".split()
+    "widget widgets toolbar pagination pager copyright skip disclaimer alert".split()
 )
-#: Marks that a page's outermost elements may carry for their layout ("has-sidebar").
+#: Elements that may carry a mark for their layout, and words before one that make it no mark ("has-sidebar").
 FRAMES = frozenset("html body main article".split())
+LAYOUT = frozenset("has with no without not is in show hide".split())
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -57,8 +58,9 @@ def in_article(names: list[str]) -> bool:
     return "article" in names or "main" in names
 
 
-def set_apart(tag: str, attributes: str, inside: list[str]) -> bool:
-    """Whether an element is a menu, a form, an advert or another thing beside the article."""
+def set_apart(tag: str, attributes: str, inside: list[str], marked: bool = True) -> bool:
+    """Whether an element is a menu, a form, an advert or another thing beside the
+    article; outside of articles, by its class and id only if ``marked``."""
     if tag in ASIDE:
         return tag != "header" or not in_article(inside)
     if not attributes:
@@ -71,15 +73,17 @@ def set_apart(tag: str, attributes: str, inside: list[str]) -> bool:
             continue
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id"):
+        if (marked or in_article(inside)) and name in ("class", "id"):
             for mark in value.split():
                 words = [w.lower() for w in SPLIT.split(mark) if w]
-                if words and (words[0] in MARKS or words[-1] in MARKS):
+                # the header of an article, and a heading that is called one, are its text
+                own = words and words[-1] == "header" and (tag in HEADINGS or in_article(inside))
+                if words and not own and words[0] not in LAYOUT and (words[0] in MARKS or words[-1] in MARKS):
                     return True
     return False
 
 
-def blocks(html: str) -> list[tuple[str, tuple[int, ...], bool]]:
+def blocks(html: str, marked: bool = True) -> list[tuple[str, tuple[int, ...], bool]]:
     """The page's lines: text (empty for what is set apart), the elements around it
     from the outside in, and whether most of it are links. Elements are numbered;
     articles have even numbers and others odd ones."""
@@ -150,7 +154,7 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], bool]]:
         main = tag in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes
         names.append(tag)
         path.append(2 * count + (0 if main else 1))
-        away.append(set_apart(tag, attributes, names[:-1]))
+        away.append(set_apart(tag, attributes, names[:-1], marked))
     flush()
     return lines
 
@@ -174,20 +178,39 @@ def core(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
 
 
 def main_text(html: str) -> str:
-    """The blocks of the main text, joined by an empty line."""
-    lines = blocks(html or "")
+    """The blocks of the main text, joined by an empty line. Where the class or id of
+    what is around an article sets all of it apart, it is not believed."""
+    return text_of(blocks(html or "")) or text_of(blocks(html or "", marked=False), articles=True)
+
+
+def heaviest(lines: list[tuple[str, tuple[int, ...], bool]], lengths: list[int], within: int | None) -> tuple[int | None, int]:
+    """The article or main element with the most text, nearest to ``within``, and that text's length."""
+    weight: dict[int, int] = {}
+    for (_, path, _), size in zip(lines, lengths, strict=True):
+        inner = path if within is None else path[path.index(within) + 1 :] if within in path else ()
+        outer = next((p for p in inner if p % 2 == 0), None)
+        if size and outer is not None:
+            weight[outer] = weight.get(outer, 0) + size
+    best = max(weight, key=weight.get, default=None)
+    return best, weight.get(best, 0)
+
+
+def text_of(lines: list[tuple[str, tuple[int, ...], bool]], articles: bool = False) -> str:
+    """The main text of a page's lines; only that of articles, if so asked."""
     in_main = [bool(t) and any(p % 2 == 0 for p in path) for t, path, _ in lines]
     # outside of articles, lines of links are menus
     lengths = [0 if links and not inside else len(t) for (t, _, links), inside in zip(lines, in_main, strict=True)]
     if any(in_main):
-        # the article with the most text
-        weight: dict[int, int] = {}
-        for (_, path, _), size, inside in zip(lines, lengths, in_main, strict=True):
-            if inside:
-                outer = next(p for p in path if p % 2 == 0)
-                weight[outer] = weight.get(outer, 0) + size
-        holder = max(weight, key=weight.get)
-        return "\n\n".join(t for t, path, _ in lines if t and holder in path)
+        lengths = [size if inside else 0 for size, inside in zip(lengths, in_main, strict=True)]
+        holder, most = heaviest(lines, lengths, None)
+        while True:
+            # an article within has the text if it has most of it
+            inner, size = heaviest(lines, lengths, holder)
+            if inner is None or size < 0.7 * most:
+                return "\n\n".join(t for t, path, _ in lines if t and holder in path)
+            holder, most = inner, size
+    if articles:
+        return ""
     begin, end = core(lengths)
     whole = sum(lengths[begin:end])
     if not whole:
@@ -195,7 +218,7 @@ def main_text(html: str) -> str:
     depth, holder = 0, None
     while True:
         # the element a step further in that still has most of the core
-        weight = {}
+        weight: dict[int, int] = {}
         for (_, path, _), size in zip(lines[begin:end], lengths[begin:end], strict=True):
             if len(path) > depth and (holder is None or holder in path):
                 weight[path[depth]] = weight.get(path[depth], 0) + size

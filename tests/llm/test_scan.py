@@ -83,6 +83,14 @@ def test_page_without_article():
     assert main_text(page) == "Heading\n\nSome long text that runs on.\n\nMore of it that runs on too.\n\nEnd."
 
 
+def test_layout_words_are_no_marks():
+    page = """<body><div class="page with-sidebar"><main><article><div class="entry-header"><h1 class="page-header">Title</h1></div><p>Text of the article, which is long enough.</p>
+    <div class="related-posts"><p>Another one</p></div></article><section><h3>More</h3><article><p>Card</p></article></section></main></div></body>"""
+    assert main_text(page) == "Title\n\nText of the article, which is long enough."
+    assert main_text('<div id="sidebar-layout"><article><p>All of it.</p></article></div>') == "All of it."
+    assert main_text('<div class="ad">Buy</div><article><p class="notice">Closed</p></article><footer>f</footer>') == ""
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
