@@ -52,8 +52,8 @@ def query(sql: str | None):
     return register
 
 
-def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return adapters.stories(spark, d), adapters.articles(spark, d), adapters.sources(spark, d, F.expr(KNOWN))
+def _tables(spark: SparkSession, d: str, published: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return adapters.stories(spark, d, published), adapters.articles(spark, d), adapters.sources(spark, d, F.expr(KNOWN))
 
 
 def _flat(page: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ FROM page LEFT JOIN facts ON k = o_orderkey {outer}
 @query(_topic_feed_sql("", "WHERE list_contains(t, 2)"))
 def feed_topic_within_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of 60; the topic is looked for within it, so fewer are left."""
-    s, a, o = _tables(spark, d)
+    s, a, o = _tables(spark, d, True)
     # topics are joined to the page's stories only, as the page does not depend on them
     page = stories.about(adapters.with_topics(spark, d, stories.page_of(s, 60)), 2).drop("embedding")
     return _flat(stories.with_sources(page, a, o))
@@ -82,7 +82,7 @@ def feed_topic_within_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_topic_feed_sql("WHERE list_contains(t, 2)", ""))
 def feed_topic_before_page(spark: SparkSession, d: str) -> DataFrame:
-    s, a, o = _tables(spark, d)
+    s, a, o = _tables(spark, d, True)
     return _flat(stories.feed_of_topic(adapters.with_topics(spark, d, s), a, o, 2, 60))
 
 
@@ -91,7 +91,7 @@ WITH page AS (SELECT * FROM ({S_PUBLISHED}) ORDER BY {S_RECENCY} LIMIT 6), {S_OU
 SELECT o_orderkey AS story, coalesce(articles, 0)::BIGINT AS articles, coalesce(outlets, '') AS outlets FROM page LEFT JOIN facts ON k = o_orderkey
 """)
 def feed_first_page(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(stories.feed(*_tables(spark, d)))
+    return _flat(stories.feed(*_tables(spark, d, True)))
 
 
 @query(f"""
@@ -100,7 +100,7 @@ SELECT o_orderkey AS story, coalesce(articles, 0)::BIGINT AS articles, coalesce(
 """)
 def feed_third_page(spark: SparkSession, d: str) -> DataFrame:
     """The page after two cursors."""
-    s, a, o = _tables(spark, d)
+    s, a, o = _tables(spark, d, True)
     cursor = None
     for _ in range(2):
         cursor = stories.feed_page(s, a, o, 6, after=cursor).cursor
@@ -119,7 +119,7 @@ SELECT o_orderkey AS story, 'Story ' || o_orderkey || ' of ' || o_orderpriority
 FROM page LEFT JOIN facts ON k = o_orderkey LEFT JOIN named ON k2 = o_orderkey
 """)
 def feed_cards(spark: SparkSession, d: str) -> DataFrame:
-    s, a, o = _tables(spark, d)
+    s, a, o = _tables(spark, d, True)
     page = adapters.with_topics(spark, d, stories.page_of(s, 60)).drop("embedding").withColumn("imageUrl", F.lit(""))
     shown = stories.cards(stories.with_sources(page, a, o), adapters.topics(spark, d))
     return shown.select(F.col("_id").alias("story"), "title", "topic", "image", F.array_join("outlets", ",").alias("outlets"), "articles")

@@ -16,14 +16,19 @@ def millis(column: str) -> F.Column:
     return (F.unix_micros(F.col(column).cast("timestamp")) / 1000).cast("double")
 
 
-def stories(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders; a fulfilled one is published. Topics come by ``with_topics``, where they are needed."""
-    return load(spark, folder, "orders").select(
+def stories(spark: SparkSession, folder: str, published: bool = False) -> DataFrame:
+    """Orders; a fulfilled one is published. If only those are wanted, the scan is told,
+    as it is by a status that is stored. Topics come by ``with_topics``, where they are needed."""
+    rows = load(spark, folder, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "published").otherwise("processing")
+    if published:
+        rows, status = rows.where(F.col("o_orderstatus") == "F"), F.lit("published")
+    return rows.select(
         F.col("o_orderkey").alias("_id"),
         F.col("o_orderkey").cast("double").alias("_creationTime"),
         F.concat(F.lit("Story "), "o_orderkey", F.lit(" of "), "o_orderpriority").alias("title"),
         F.concat(F.lit("order-"), "o_orderkey").alias("slug"),
-        F.when(F.col("o_orderstatus") == "F", "published").otherwise("processing").alias("status"),
+        status.alias("status"),
         millis("o_orderdate").alias("firstPublishedAt"),
         F.col("o_custkey").alias("customer"),
         F.col("o_orderpriority").alias("priority"),
