@@ -29,7 +29,8 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator call, under a folder of its own."""
+    """Tables of one operator call, under a folder of its own. What a result still
+    reads stays until the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -53,12 +54,16 @@ class Scratch:
                 self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        system, folder = self._place(path)
+        system.deleteOnExit(folder)
         return out
 
+    def _place(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), folder
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            system, folder = self._place(table.scratch_path)
+            system.delete(folder, True)

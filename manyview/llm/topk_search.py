@@ -106,7 +106,7 @@ def top_k(
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("raw"))
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     rows = rows.where(F.col("id").isNotNull() & x.isNotNull() & finite)
-    rows = rows.select("id", F.transform(x, lambda e: F.floor(e * scale).cast("int")).alias("v"))
+    rows = rows.select("id", F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("v"))
     rows = rows.groupBy("id").agg(F.max("v").alias("v"))
     n = rows.count()
     # ranges of ids are dealt to shards by digest: a range holds no more rows than it has ids

@@ -228,3 +228,5 @@ def test_top_k_of_few(spark):
     assert [tuple(r) for r in top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
     assert top_k(few.where("false")).count() == 0
     assert top_k(few.where("vec_id = 0")).count() == 0
+    huge = spark.createDataFrame([(0, [1.0, 1e300]), (1, [2.0, 0.0]), (2, [3e8, -1.0])], "vec_id long, embedding array<double>")
+    assert [r["id"] for r in top_k(huge).orderBy("rank").collect()][0] == 1
