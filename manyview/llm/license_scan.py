@@ -51,6 +51,33 @@ def spans(words: Column, pattern: Column, priority: Column, label: Column, confi
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+def holding(found: Column) -> Column:
+    """Detections that lie in no other of higher priority, or of the same and longer.
+
+    In order of their start, the longest first, what a detection can lie in comes
+    before it; of that, only what reaches beyond its start is looked at.
+    """
+
+    def rank(s: Column) -> Column:
+        return F.struct(s["start"].alias("a"), (-s["stop"]).alias("b"), (-s["priority"]).alias("c"), s.alias("span"))
+
+    ordered = F.transform(F.array_sort(F.transform(found, rank)), lambda r: r["span"])
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def step(acc: Column, own: Column) -> Column:
+        open_ = F.filter(acc["open"], lambda o: o["stop"] > own["start"])
+        longer = lambda o: (o["stop"] - o["start"]) > (own["stop"] - own["start"])
+        inside = F.exists(
+            open_,
+            lambda o: (o["stop"] >= own["stop"]) & ((o["priority"] > own["priority"]) | ((o["priority"] == own["priority"]) & longer(o))),
+        )
+        return F.when(inside, F.struct(open_.alias("open"), acc["out"].alias("out"))).otherwise(
+            F.struct(F.concat(open_, F.array(own)).alias("open"), F.concat(acc["out"], F.array(own)).alias("out"))
+        )
+
+    return F.aggregate(ordered, F.struct(none.alias("open"), none.alias("out")), step, lambda acc: acc["out"])
+
+
 def scan_licenses(docs: DataFrame, carry: list[str], *, table: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """Columns ``carry`` of every row, with ``__lic_words`` (number of words),
     ``__lic_base`` (places of the base phrases), ``__lic_first`` and ``__lic_last``
@@ -83,13 +110,7 @@ def scan_licenses(docs: DataFrame, carry: list[str], *, table: list[Rule] | None
     hit = looked.withColumn("__lic_base_spans", F.when(words.isNull(), none).otherwise(F.concat(*base)))
     hit = hit.withColumn("__lic_all", F.when(words.isNull(), none).otherwise(found))
 
-    def wins(other: Column, own: Column) -> Column:
-        inside = (other["start"] <= own["start"]) & (other["stop"] >= own["stop"])
-        larger = (other["stop"] - other["start"]) > (own["stop"] - own["start"])
-        return inside & ((other["priority"] > own["priority"]) | ((other["priority"] == own["priority"]) & larger))
-
-    holds = F.filter("__lic_all", lambda own: ~F.exists("__lic_all", lambda other: wins(other, own)))
-    hit = hit.withColumn("__lic_spans", holds)
+    hit = hit.withColumn("__lic_spans", holding(F.col("__lic_all")))
     starts = F.transform("__lic_base_spans", lambda s: F.regexp_count(F.substring(words, F.lit(1), s["start"]), F.lit(" ")).cast("long") - 1)
     labels = lambda spans: F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"])))
     both = F.concat(F.col("__lic_base_spans"), F.col("__lic_spans"))
