@@ -2,16 +2,18 @@
 
 Numbers, names and units of a text become typed placeholders; what is left is its
 template, so that a question asked anew with other values keeps most of it. Windows
-of template words are joined with those of the benchmark's items. First only every
-few words of a document start a window, while all windows of an item are there, so
-that a whole item cannot be passed over; documents that meet an item are then
-aligned with it word by word: the windows that agree must lie on one diagonal and
-cover enough of the item, and equal values in the item must stand for equal values
-in the document.
+of template words are joined with those of the benchmark's items, from every word of
+a document on, so that an item of which any window counts cannot be passed over;
+items without such a window are looked for as they are, word by word. Documents that
+meet an item are then aligned with it: the windows that agree must lie on one
+diagonal and cover enough of the item, and equal values in the item must stand for
+equal values in the document.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +45,15 @@ def template(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(counted, UNIT_RE, UNIT), F.lit(TEMPLATE_WORD), 0)
 
 
-def window_digests(words: str, width: int, stride: int) -> Column:
-    """Digests of windows of ``width`` words, one for each ``stride`` words; ``words`` names a column."""
+def plain_words(text: Column) -> Column:
+    """All words of a text as they are, but for their case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(PLAIN_WORD), 0)
+
+
+def window_digests(words: str, width: int) -> Column:
+    """Digests of windows of ``width`` words, one for each word; ``words`` names a column."""
     last = F.size(words) - (width - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i, width)))
 
 
@@ -55,7 +62,6 @@ def leaks(
     benchmark: DataFrame,
     *,
     width: int = 8,
-    stride: int = 4,
     literal: int = 5,
     cover: float = 0.5,
     doc_id: str = "doc_id",
@@ -68,62 +74,62 @@ def leaks(
 
     A window counts if ``literal`` of its words are no placeholders. An item is held
     if at least ``cover`` of its windows agree along one alignment and no value of it
-    stands for two different ones. Items of fewer words than ``width`` + ``stride`` - 1
-    are looked for in whole, by windows of three words at every word; items of fewer
-    than three words, null texts and null items are never found. Rows equal in id and
-    text give one result. Other columns are not read.
+    stands for two different ones. Items of fewer words than ``width`` + 3 are looked
+    for by windows of three words, two of them literal. Items of which no window
+    after the first counts, such as lists of names, are held if all their words, names and numbers
+    included, follow each other in a document. Items of fewer than three words, null
+    texts and null items are never found. Rows equal in id and text give one result.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("said")).where("said IS NOT NULL").distinct()
-    items = items.select("item", template(F.col("said")).alias("words"), F.regexp_extract_all("said", F.lit(PLAIN_WORD), 0).alias("values"))
-    items = scratch.table(items.withColumn("n", F.size("words")), "items")
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("said")).where("item IS NOT NULL AND said IS NOT NULL").distinct()
+    items = items.select("item", template(F.col("said")).alias("words"), plain_words(F.col("said")).alias("values"))
+    items = scratch.table(items.withColumn("n", F.size("words")).withColumn("text_key", F.xxhash64("values")), "items")
     keyed = docs.select(F.col(doc_id).alias("id"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
     blank = F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT))
 
-    def of_items(width: int, chosen: DataFrame, literal: int) -> DataFrame:
-        """(item, at, w) for windows with enough literal words."""
-        all_windows = chosen.select("item", "n", F.posexplode(window_digests("words", width, 1)).alias("at", "w"), "words")
-        words = F.filter(F.slice("words", F.col("at") + 1, width), lambda x: ~F.array_contains(blank, x))
-        return all_windows.where(F.size(words) >= literal).select("item", "n", "at", "w")
+    def of_items(kind: str, chosen: DataFrame, width: int, literal: int) -> DataFrame:
+        """(kind, item, n, at, w) for windows of the column ``kind`` with enough literal words."""
+        all_windows = chosen.select("item", "text_key", F.size(kind).alias("n"), F.posexplode(window_digests(kind, width)).alias("at", "w"), kind)
+        words = F.filter(F.slice(kind, F.col("at") + 1, width), lambda x: ~F.array_contains(blank, x))
+        return all_windows.where(F.size(words) >= literal).select(F.lit(f"{kind} {width}").alias("kind"), "item", "text_key", "n", "at", "w")
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_WINDOWS else df
 
-    found = []
-    for width_, stride_, literal_, chosen in (
-        (width, stride, literal, items.where(F.col("n") >= width + stride - 1)),
-        (3, 1, 2, items.where((F.col("n") >= 3) & (F.col("n") < width + stride - 1))),
-    ):
-        wanted = scratch.table(of_items(width_, chosen, literal_), "wanted")
-        if wanted.isEmpty():
-            continue
-        told = keyed.select("id", "row", template(F.col("text")).alias("words"))
-        met = told.select("id", "row", F.explode(window_digests("words", width_, stride_)).alias("w"))
-        met = scratch.table(met.join(small(wanted.select("w").distinct()), "w").select("id", "row").distinct(), "met")
-        texts = keyed.alias("k").join(met.alias("m"), F.expr("k.id <=> m.id AND k.row = m.row"), "left_semi").distinct()
-        told = texts.select("id", "row", template(F.col("text")).alias("words"), F.regexp_extract_all("text", F.lit(PLAIN_WORD), 0).alias("values"))
-        told = scratch.table(told, "told")
-        here = told.select("id", "row", F.posexplode(window_digests("words", width_, 1)).alias("place", "w"))
-        agree = here.join(small(wanted), "w").select("id", "row", "item", "at", (F.col("place") - F.col("at")).alias("shift"))
-        lines = agree.groupBy("id", "row", "item", "shift").agg(F.count_distinct("at").alias("agreeing"))
-        sizes = wanted.groupBy("item").agg(F.count("*").alias("windows"))
-        lines = lines.join(sizes, "item").where(F.col("agreeing") >= F.col("windows") * F.lit(cover))
-        whole = lines.join(chosen.select("item", F.col("words").alias("asked"), F.col("values").alias("item_values"), "n"), "item")
-        whole = whole.alias("l").join(told.alias("t"), F.expr("l.id <=> t.id AND l.row = t.row")).select("l.*", "words", "values")
-        whole = whole.withColumn("said", F.slice("values", F.greatest(F.col("shift") + 1, F.lit(1)), F.col("n")))
-        slots = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_contains(blank, F.get("asked", i)) & F.get("words", i + F.col("shift")).isNotNull())
-        pairs = F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("a"), F.get("values", i + F.col("shift")).alias("b")))
-        aligned = (F.size("asked") == F.size("item_values")) & (F.size("words") == F.size("values"))
-        whole = whole.withColumn("pairs", F.when(aligned, pairs))
-        clash = F.exists("pairs", lambda p: F.exists("pairs", lambda q: (p["a"] == q["a"]) & (p["b"] != q["b"])))
-        other = F.exists("pairs", lambda p: p["a"] != p["b"])
-        held = whole.where(~F.coalesce(clash, F.lit(False)))
-        found.append(
-            held.groupBy("id", "row", "item").agg(
-                F.max(F.col("agreeing") / F.col("windows")).alias("covered"), F.max(~F.coalesce(other, F.lit(False))).alias("same")
-            )
-        )
-    if not found:
+    short = F.col("n") < width + 3
+    by_template = of_items("words", items.where(~short), width, literal).unionByName(of_items("words", items.where(short), 3, 2))
+    by_template = scratch.table(by_template, "windows")
+    # whether the first word is a name depends on what stands before it
+    rest = items.join(by_template.where("at > 0").select("item", "text_key").distinct(), ["item", "text_key"], "left_anti")
+    long = F.size("values") >= width
+    by_word = of_items("values", rest.where(long), width, 0).unionByName(of_items("values", rest.where(~long), 3, 0))
+    wanted = scratch.table(by_template.unionByName(by_word), "wanted")
+    kinds = [tuple(r["kind"].split(" ")) for r in wanted.select("kind").distinct().orderBy("kind").collect()]
+    if not kinds:
         return keyed.where("false").select("id", "row", F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("covered"), F.lit(True).alias("same"))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    told = keyed.select("id", "row", template(F.col("text")).alias("words"), plain_words(F.col("text")).alias("values"))
+    met = told.select("id", "row", F.explode(F.concat(*[window_digests(kind, int(size)) for kind, size in kinds])).alias("w"))
+    met = scratch.table(met.join(small(wanted.select("w").distinct()), "w").select("id", "row").distinct(), "met")
+    texts = keyed.alias("k").join(met.alias("m"), F.expr("k.id <=> m.id AND k.row = m.row"), "left_semi").distinct()
+    told = scratch.table(texts.select("id", "row", template(F.col("text")).alias("words"), plain_words(F.col("text")).alias("values")), "told")
+    here = [told.select("id", "row", F.lit(f"{k} {size}").alias("kind"), F.posexplode(window_digests(k, int(size))).alias("place", "w")) for k, size in kinds]
+    here = reduce(DataFrame.unionByName, here)
+    agree = here.join(small(wanted), ["kind", "w"]).select("id", "row", "kind", "item", "text_key", "at", (F.col("place") - F.col("at")).alias("shift"))
+    lines = agree.groupBy("id", "row", "kind", "item", "text_key", "shift").agg(F.count_distinct("at").alias("agreeing"))
+    sizes = wanted.groupBy("kind", "item", "text_key").agg(F.count("*").alias("windows"))
+    least = F.when(F.startswith("kind", F.lit("values")), F.lit(1.0)).otherwise(F.lit(cover))
+    lines = lines.join(sizes, ["kind", "item", "text_key"]).where(F.col("agreeing") >= F.col("windows") * least)
+    whole = lines.join(items.select("item", "text_key", F.col("words").alias("asked"), F.col("values").alias("item_values"), "n"), ["item", "text_key"])
+    whole = whole.alias("l").join(told.alias("t"), F.expr("l.id <=> t.id AND l.row = t.row")).select("l.*", "words", "values")
+    slots = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_contains(blank, F.get("asked", i)) & F.get("words", i + F.col("shift")).isNotNull())
+    pairs = F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("a"), F.get("values", i + F.col("shift")).alias("b")))
+    aligned = (F.size("asked") == F.size("item_values")) & (F.size("words") == F.size("values")) & F.startswith("kind", F.lit("words"))
+    whole = whole.withColumn("pairs", F.when(aligned, pairs))
+    clash = F.exists("pairs", lambda p: F.exists("pairs", lambda q: (p["a"] == q["a"]) & (p["b"] != q["b"])))
+    other = F.exists("pairs", lambda p: p["a"] != p["b"])
+    held = whole.where(~F.coalesce(clash, F.lit(False)))
+    return held.groupBy("id", "row", "item").agg(
+        F.max(F.col("agreeing") / F.col("windows")).alias("covered"), F.max(~F.coalesce(other, F.lit(False))).alias("same")
+    )

@@ -58,6 +58,15 @@ def test_leaks(spark):
     assert got[1, 70] and not got[2, 70]
 
 
+def test_items_of_many_values_are_found_anywhere(spark):
+    items = ["Solve 3 x + 4 y = 10 and 5 x - 2 y = 7 for x", "3 + 4 - 5 + 6 - 7 + 8 - 9 + 10 - 11", "5 x 4 = 20", "Order: Bob, Ann, Tom, Sue, Max, Eva, Ned, Ida, Kim"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(100 * k + i, f"{'so ' * i}{t} so on") for k, t in enumerate(items) for i in range(9)]
+    rows += [(900, "3 + 4 - 5 + 6 - 7 + 8 - 9 + 10 - 12"), (901, "5 x 4 = 21"), (902, "so Order: Bob, Ann, Tom, Sue, Max, Eva, Ned, Kim, Ida")]
+    got = {(r["id"], r["item"]) for r in leaks(table(spark, rows), bench).collect()}
+    assert got == {(i, i // 100) for i, _ in rows if i < 900}
+
+
 def test_leaks_of_nothing(spark, nothing):
     bench = spark.createDataFrame([(70, QUESTION)], "item_id long, text string")
     assert leaks(nothing, bench).count() == 0
