@@ -6,8 +6,8 @@ of template words are joined with those of the benchmark's items, from every wor
 a document on, so that an item of which any window counts cannot be passed over;
 items without such a window are looked for as they are, word by word. Documents that
 meet an item are then aligned with it: the windows that agree must lie on one
-diagonal and cover enough of the item, and equal values in the item must stand for
-equal values in the document.
+diagonal and cover enough of the item, and equal values of the item in those windows
+must stand for equal values in the document.
 """
 
 from __future__ import annotations
@@ -73,8 +73,8 @@ def leaks(
     if all values are the item's own, false if they are other ones).
 
     A window counts if ``literal`` of its words are no placeholders. An item is held
-    if at least ``cover`` of its windows agree along one alignment and no value of it
-    stands for two different ones. Items of fewer words than ``width`` + 3 are looked
+    if at least ``cover`` of its windows agree along one alignment and no value in
+    those windows stands for two different ones. Items of fewer words than ``width`` + 3 are looked
     for by windows of three words, two of them literal. Items of which no window
     after the first counts, such as lists of names, are held if all their words, names and numbers
     included, follow each other in a document. Items of fewer than three words, null
@@ -117,13 +117,16 @@ def leaks(
     here = [told.select("id", "row", F.lit(f"{k} {size}").alias("kind"), F.posexplode(window_digests(k, int(size))).alias("place", "w")) for k, size in kinds]
     here = reduce(DataFrame.unionByName, here)
     agree = here.join(small(wanted), ["kind", "w"]).select("id", "row", "kind", "item", "text_key", "at", (F.col("place") - F.col("at")).alias("shift"))
-    lines = agree.groupBy("id", "row", "kind", "item", "text_key", "shift").agg(F.count_distinct("at").alias("agreeing"))
+    lines = agree.groupBy("id", "row", "kind", "item", "text_key", "shift").agg(F.collect_set("at").alias("ats")).withColumn("agreeing", F.size("ats"))
     sizes = wanted.groupBy("kind", "item", "text_key").agg(F.count("*").alias("windows"))
     least = F.when(F.startswith("kind", F.lit("values")), F.lit(1.0)).otherwise(F.lit(cover))
     lines = lines.join(sizes, ["kind", "item", "text_key"]).where(F.col("agreeing") >= F.col("windows") * least)
     whole = lines.join(items.select("item", "text_key", F.col("words").alias("asked"), F.col("values").alias("item_values"), "n"), ["item", "text_key"])
     whole = whole.alias("l").join(told.alias("t"), F.expr("l.id <=> t.id AND l.row = t.row")).select("l.*", "words", "values")
-    slots = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_contains(blank, F.get("asked", i)) & F.get("words", i + F.col("shift")).isNotNull())
+    # only words within windows that agree were aligned
+    size = F.split_part("kind", F.lit(" "), F.lit(2)).cast("int")
+    places = F.array_distinct(F.flatten(F.transform("ats", lambda at: F.sequence(at, at + size - 1))))
+    slots = F.filter(places, lambda i: F.array_contains(blank, F.get("asked", i)))
     pairs = F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("a"), F.get("values", i + F.col("shift")).alias("b")))
     aligned = (F.size("asked") == F.size("item_values")) & (F.size("words") == F.size("values")) & F.startswith("kind", F.lit("words"))
     whole = whole.withColumn("pairs", F.when(aligned, pairs))

@@ -67,6 +67,15 @@ def test_items_of_many_values_are_found_anywhere(spark):
     assert got == {(i, i // 100) for i, _ in rows if i < 900}
 
 
+def test_values_are_compared_where_words_agree(spark):
+    words = QUESTION.split()
+    asked = QUESTION.replace("when the market closes", "that Alice can spend")
+    cut = " ".join(words[:31])
+    rows = [(1, f"{cut} of it and so on, as far as the story of this baker goes on today."), (2, asked.replace("have left", "still have left")), (3, asked.replace("much money does", "much does")), (4, cut)]
+    bench = spark.createDataFrame([(70, asked)], "item_id long, text string")
+    assert {(r["id"], r["same"]) for r in leaks(table(spark, rows), bench).collect()} == {(i, True) for i, _ in rows}
+
+
 def test_leaks_of_nothing(spark, nothing):
     bench = spark.createDataFrame([(70, QUESTION)], "item_id long, text string")
     assert leaks(nothing, bench).count() == 0
