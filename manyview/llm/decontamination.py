@@ -1,13 +1,14 @@
 """Benchmark decontamination by canonical templates, in Spark's own expressions.
 
-Numbers, names and units of a text become typed placeholders; what is left is its
-template, so that a question asked anew with other values keeps most of it. Windows
+Numbers, names and units of a text become typed placeholders, a name of several words
+one; what is left is its template, so that a question asked anew with other values
+keeps most of it. A capital that may only be that of a sentence is read both ways. Windows
 of template words are joined with those of the benchmark's items, from every word of
 a document on, so that an item of which any window counts cannot be passed over;
 items without such a window are looked for as they are, word by word. Documents that
-meet an item are then aligned with it: the windows that agree must lie on one
-diagonal and cover enough of the item, and equal values of the item in those windows
-must stand for equal values in the document.
+meet an item are then aligned with it: windows that agree are chained in the order of
+both texts, over words put in or left out, must cover enough of the item, and equal
+values of the item in those windows must stand for equal values in the document.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from manyview.llm.scratch import Scratch
 from manyview.llm.text_columns import row_key
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
-#: A capital within a sentence: after a word or a comma and a little white space.
-NAME_RE = r"(?<=[\p{L}\p{N},;]\s{1,4})\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
+CAPITAL = r"\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{M}])"
+CAPITALS = rf"{CAPITAL}(?:\s{{1,4}}{CAPITAL})*+"
+#: Names in two ways of reading: capitals within a sentence, after a word or a comma and a little white space; all capitals.
+NAME_RE = {"inner": rf"(?<=[\p{{L}}\p{{N}},;]\s{{1,4}}){CAPITALS}", "every": rf"(?<![\p{{L}}\p{{M}}]){CAPITALS}"}
 NUMBER_RE = r"\p{N}+(?:[.,:]\p{N}+)*"
 # Units, spelled out or short, after a number.
 UNITS = (
@@ -33,18 +36,27 @@ UNITS = (
 UNIT_RE = rf"(?<={NUMBER}\s{{0,4}})(?:{UNITS})(?![\p{{L}}\p{{M}}])"
 TEMPLATE_WORD = rf"[\p{{L}}\p{{M}}]+|[{NAME}{NUMBER}{UNIT}]"
 PLAIN_WORD = rf"{NUMBER_RE}|[\p{{L}}\p{{M}}]+"
+#: A word of the template with its value, once names are marked.
+VALUE_WORD = rf"{NAME}{CAPITALS}|{PLAIN_WORD}"
 #: Windows of the benchmark that may be sent to every executor: 16 bytes each.
 BROADCAST_WINDOWS = 200_000
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: str = "inner") -> Column:
     """The words of a text's template."""
     marks = F.translate(text, NAME + NUMBER + UNIT, "   ")
-    named = F.lower(F.regexp_replace(marks, NAME_RE, NAME))
+    named = F.lower(F.regexp_replace(marks, NAME_RE[names], NAME))
     counted = F.regexp_replace(named, NUMBER_RE, NUMBER)
     return F.regexp_extract_all(F.regexp_replace(counted, UNIT_RE, UNIT), F.lit(TEMPLATE_WORD), 0)
 
 
+def template_values(text: Column, names: str) -> Column:
+    """What the words of the template stand for, in lower case; the words of a name with one space between."""
+    marks = F.translate(text, NAME + NUMBER + UNIT, "   ")
+    found = F.regexp_extract_all(F.regexp_replace(marks, NAME_RE[names], NAME + "$0"), F.lit(VALUE_WORD), 0)
+    return F.transform(found, lambda v: F.regexp_replace(F.lower(F.translate(v, NAME, "")), r"\s+", " "))
+
+
 def plain_words(text: Column) -> Column:
     """All words of a text as they are, but for their case."""
     return F.regexp_extract_all(F.lower(text), F.lit(PLAIN_WORD), 0)
@@ -57,6 +69,66 @@ def window_digests(words: str, width: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i, width)))
 
 
+def chains(hits: str, width: Column, reach: Column, drift: Column) -> Column:
+    """The longest chains of ``hits``, sorted structs (place, at) of windows that agree: each
+    one further in both texts than the one before, with at most ``drift`` words more or
+    less between them in one text than in the other; ``reach`` is the item's
+    words and ``drift``. Structs (place, at, agreeing, parts, ends): ``parts`` are the
+    stretches (shift, first, last) of the item's words, ``ends`` is false for what a longer chain holds."""
+    part = "struct<shift:int,first:int,last:int>"
+    chain = f"struct<place:int,at:int,agreeing:int,parts:array<{part}>,ends:boolean>"
+
+    def linked(c: Column, h: Column) -> Column:
+        return (c["at"] < h["at"]) & (c["place"] < h["place"]) & (F.abs(h["place"] - h["at"] - c["place"] + c["at"]) <= drift)
+
+    def rank(c: Column, h: Column) -> Column:
+        # the most windows, then the least turn, then the nearest
+        return F.struct(
+            c["agreeing"].alias("agreeing"),
+            (-F.abs(h["place"] - h["at"] - c["place"] + c["at"])).alias("turn"),
+            c["at"].alias("at"),
+            c["place"].alias("place"),
+            c["parts"].alias("parts"),
+        )
+
+    def step(state: Column, h: Column) -> Column:
+        # in an array, so that it is computed once
+        best = F.array(F.array_max(F.transform(F.filter(state["open"], lambda c: linked(c, h)), lambda c: rank(c, h))))
+        return F.get(F.transform(best, lambda b: after(state, h, b)), 0)
+
+    def after(state: Column, h: Column, best: Column) -> Column:
+        shift, last = h["place"] - h["at"], F.element_at(best["parts"], -1)
+        end = h["at"] + width - 1
+        grown = (last["shift"] == shift) & (h["at"] <= last["last"] + 1)
+        fresh = F.struct(shift.alias("shift"), F.greatest(h["at"], F.coalesce(last["last"] + 1, h["at"])).alias("first"), end.alias("last")).cast(part)
+        longer = F.struct(last["shift"].alias("shift"), last["first"].alias("first"), end.alias("last")).cast(part)
+        parts = (
+            F.when(best.isNull(), F.array(fresh))
+            .when(grown, F.concat(F.slice(best["parts"], 1, F.size(best["parts"]) - 1), F.array(longer)))
+            .otherwise(F.concat(best["parts"], F.array(fresh)))
+        )
+        new = F.struct(
+            h["place"].alias("place"), h["at"].alias("at"), (F.coalesce(best["agreeing"], F.lit(0)) + 1).alias("agreeing"), parts.alias("parts"), F.lit(True).alias("ends")
+        ).cast(chain)
+        # what lies too far back to be linked is done
+        near = F.filter(state["open"], lambda c: c["place"] >= h["place"] - reach)
+        used = F.transform(
+            near,
+            lambda c: F.struct(
+                c["place"].alias("place"),
+                c["at"].alias("at"),
+                c["agreeing"].alias("agreeing"),
+                c["parts"].alias("parts"),
+                (c["ends"] & ~F.coalesce((c["at"] == best["at"]) & (c["place"] == best["place"]), F.lit(False))).alias("ends"),
+            ).cast(chain),
+        )
+        done = F.concat(state["done"], F.filter(state["open"], lambda c: c["ends"] & (c["place"] < h["place"] - reach)))
+        return F.struct(F.concat(used, F.array(new)).alias("open"), done.alias("done"))
+
+    none = F.array().cast(f"array<{chain}>")
+    return F.aggregate(hits, F.struct(none.alias("open"), none.alias("done")), step, lambda s: F.concat(s["done"], F.filter(s["open"], lambda c: c["ends"])))
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -64,6 +136,7 @@ def leaks(
     width: int = 8,
     literal: int = 5,
     cover: float = 0.5,
+    drift: int = 8,
     doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
@@ -73,66 +146,80 @@ def leaks(
     if all values are the item's own, false if they are other ones).
 
     A window counts if ``literal`` of its words are no placeholders. An item is held
-    if at least ``cover`` of its windows agree along one alignment and no value in
-    those windows stands for two different ones. Items of fewer words than ``width`` + 3 are looked
-    for by windows of three words, two of them literal. Items of which no window
-    after the first counts, such as lists of names, are held if all their words, names and numbers
+    if at least ``cover`` of its windows agree in one chain, with at most ``drift``
+    words put in or left out at a time, and no value in those windows stands for two
+    different ones. Items of fewer words than ``width`` + 3 are looked for by windows
+    of three words, two of them literal. Items of which no window after the first
+    counts, such as lists of names, are held if all their words, names and numbers
     included, follow each other in a document. Items of fewer than three words, null
     texts and null items are never found. Rows equal in id and text give one result.
     Other columns are not read.
     """
+    def views(said: Column) -> list[Column]:
+        return [template(said, "inner").alias("inner"), template(said, "every").alias("every"), plain_words(said).alias("plain")]
+
+    def values(said: Column) -> list[Column]:
+        return [template_values(said, names).alias(f"{names}_values") for names in NAME_RE]
+
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
     items = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("said")).where("item IS NOT NULL AND said IS NOT NULL").distinct()
-    items = items.select("item", template(F.col("said")).alias("words"), plain_words(F.col("said")).alias("values"))
-    items = scratch.table(items.withColumn("n", F.size("words")).withColumn("text_key", F.xxhash64("values")), "items")
+    items = items.select("item", F.xxhash64("said").alias("text_key"), *views(F.col("said")), *values(F.col("said")))
+    items = scratch.table(items, "items")
     keyed = docs.select(F.col(doc_id).alias("id"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
     blank = F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT))
 
     def of_items(kind: str, chosen: DataFrame, width: int, literal: int) -> DataFrame:
-        """(kind, item, n, at, w) for windows of the column ``kind`` with enough literal words."""
-        all_windows = chosen.select("item", "text_key", F.size(kind).alias("n"), F.posexplode(window_digests(kind, width)).alias("at", "w"), kind)
+        """(kind, item, at, w) for windows of the column ``kind`` with enough literal words."""
+        all_windows = chosen.select("item", "text_key", F.posexplode(window_digests(kind, width)).alias("at", "w"), kind)
         words = F.filter(F.slice(kind, F.col("at") + 1, width), lambda x: ~F.array_contains(blank, x))
-        return all_windows.where(F.size(words) >= literal).select(F.lit(f"{kind} {width}").alias("kind"), "item", "text_key", "n", "at", "w")
+        return all_windows.where(F.size(words) >= literal).select(F.lit(f"{kind} {width}").alias("kind"), "item", "text_key", "at", "w")
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_WINDOWS else df
 
-    short = F.col("n") < width + 3
-    by_template = of_items("words", items.where(~short), width, literal).unionByName(of_items("words", items.where(short), 3, 2))
-    by_template = scratch.table(by_template, "windows")
-    # whether the first word is a name depends on what stands before it
-    rest = items.join(by_template.where("at > 0").select("item", "text_key").distinct(), ["item", "text_key"], "left_anti")
-    long = F.size("values") >= width
-    by_word = of_items("values", rest.where(long), width, 0).unionByName(of_items("values", rest.where(~long), 3, 0))
+    short = F.size("inner") < width + 3
+    by_template = [of_items(names, items.where(long), w, least) for names in NAME_RE for long, w, least in ((~short, width, literal), (short, 3, 2))]
+    by_template = scratch.table(reduce(DataFrame.unionByName, by_template), "windows")
+    # within a sentence only, whether the first word is a name depends on what stands before it
+    sure = by_template.where((F.col("at") > 0) | F.startswith("kind", F.lit("every"))).select("item", "text_key").distinct()
+    rest = items.join(sure, ["item", "text_key"], "left_anti")
+    long = F.size("plain") >= width
+    by_word = of_items("plain", rest.where(long), width, 0).unionByName(of_items("plain", rest.where(~long), 3, 0))
     wanted = scratch.table(by_template.unionByName(by_word), "wanted")
     kinds = [tuple(r["kind"].split(" ")) for r in wanted.select("kind").distinct().orderBy("kind").collect()]
     if not kinds:
         return keyed.where("false").select("id", "row", F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("covered"), F.lit(True).alias("same"))
-    told = keyed.select("id", "row", template(F.col("text")).alias("words"), plain_words(F.col("text")).alias("values"))
+    told = keyed.select("id", "row", *views(F.col("text")))
     met = told.select("id", "row", F.explode(F.concat(*[window_digests(kind, int(size)) for kind, size in kinds])).alias("w"))
     met = scratch.table(met.join(small(wanted.select("w").distinct()), "w").select("id", "row").distinct(), "met")
     texts = keyed.alias("k").join(met.alias("m"), F.expr("k.id <=> m.id AND k.row = m.row"), "left_semi").distinct()
-    told = scratch.table(texts.select("id", "row", template(F.col("text")).alias("words"), plain_words(F.col("text")).alias("values")), "told")
+    told = scratch.table(texts.select("id", "row", *views(F.col("text")), *values(F.col("text"))), "told")
     here = [told.select("id", "row", F.lit(f"{k} {size}").alias("kind"), F.posexplode(window_digests(k, int(size))).alias("place", "w")) for k, size in kinds]
-    here = reduce(DataFrame.unionByName, here)
-    agree = here.join(small(wanted), ["kind", "w"]).select("id", "row", "kind", "item", "text_key", "at", (F.col("place") - F.col("at")).alias("shift"))
-    lines = agree.groupBy("id", "row", "kind", "item", "text_key", "shift").agg(F.collect_set("at").alias("ats")).withColumn("agreeing", F.size("ats"))
+    agree = reduce(DataFrame.unionByName, here).join(small(wanted), ["kind", "w"])
     sizes = wanted.groupBy("kind", "item", "text_key").agg(F.count("*").alias("windows"))
-    least = F.when(F.startswith("kind", F.lit("values")), F.lit(1.0)).otherwise(F.lit(cover))
-    lines = lines.join(sizes, ["kind", "item", "text_key"]).where(F.col("agreeing") >= F.col("windows") * least)
-    whole = lines.join(items.select("item", "text_key", F.col("words").alias("asked"), F.col("values").alias("item_values"), "n"), ["item", "text_key"])
-    whole = whole.alias("l").join(told.alias("t"), F.expr("l.id <=> t.id AND l.row = t.row")).select("l.*", "words", "values")
+    met = agree.groupBy("id", "row", "kind", "item", "text_key").agg(F.array_sort(F.collect_set(F.struct("place", "at"))).alias("hits"), F.count_distinct("at").alias("most"))
+    exact = F.startswith("kind", F.lit("plain"))
+    enough = F.col("windows") * F.when(exact, F.lit(1.0)).otherwise(F.lit(cover))
+    met = met.join(sizes, ["kind", "item", "text_key"]).where(F.col("most") >= enough)
+    said = [F.when(F.startswith("kind", F.lit(names)), F.struct(F.col(names).alias("words"), F.col(f"{names}_values").alias("values"))) for names in NAME_RE]
+    said = F.coalesce(*said, F.struct(F.col("plain").alias("words"), F.col("plain").alias("values")))
+    met = met.join(items, ["item", "text_key"]).select("id", "row", "kind", "item", "hits", "windows", said.alias("asked"))
+    size, turn = F.split_part("kind", F.lit(" "), F.lit(2)).cast("int"), F.when(exact, F.lit(0)).otherwise(F.lit(drift))
+    lines = met.select("*", F.explode(chains("hits", size, F.size("asked.words") + turn, turn)).alias("line")).drop("hits").where(F.col("line.agreeing") >= enough)
+    lines = lines.alias("l").join(told.alias("t"), F.expr("l.id <=> t.id AND l.row = t.row")).select("l.*", said.alias("found"))
     # only words within windows that agree were aligned
-    size = F.split_part("kind", F.lit(" "), F.lit(2)).cast("int")
-    places = F.array_distinct(F.flatten(F.transform("ats", lambda at: F.sequence(at, at + size - 1))))
-    slots = F.filter(places, lambda i: F.array_contains(blank, F.get("asked", i)))
-    pairs = F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("a"), F.get("values", i + F.col("shift")).alias("b")))
-    aligned = (F.size("asked") == F.size("item_values")) & (F.size("words") == F.size("values")) & F.startswith("kind", F.lit("words"))
-    whole = whole.withColumn("pairs", F.when(aligned, pairs))
+    places = F.flatten(F.transform("line.parts", lambda p: F.transform(F.sequence(p["first"], p["last"]), lambda i: F.struct(i.alias("i"), (i + p["shift"]).alias("j")))))
+    slots = F.filter(places, lambda p: F.array_contains(blank, F.get("asked.words", p["i"])))
+    told_as = F.transform(slots, lambda p: F.struct(F.get("asked.values", p["i"]).alias("a"), F.get("found.values", p["j"]).alias("b")))
+    # names of equally many words are compared word by word, others by their last words: a run may begin with the first word of a sentence
+    a, b = (lambda p: F.split(p["a"], " ")), (lambda p: F.split(p["b"], " "))
+    last = lambda p: F.array(F.struct(F.element_at(a(p), -1).alias("a"), F.element_at(b(p), -1).alias("b")))
+    each = lambda p: F.zip_with(a(p), b(p), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    words = F.transform(told_as, lambda p: F.when(F.size(a(p)) == F.size(b(p)), each(p)).otherwise(last(p)))
+    aligned = (F.size("asked.words") == F.size("asked.values")) & (F.size("found.words") == F.size("found.values"))
+    lines = lines.select("id", "row", "item", (F.col("line.agreeing") / F.col("windows")).alias("covered"), F.when(aligned, F.array_distinct(F.flatten(words))).alias("pairs"))
     clash = F.exists("pairs", lambda p: F.exists("pairs", lambda q: (p["a"] == q["a"]) & (p["b"] != q["b"])))
     other = F.exists("pairs", lambda p: p["a"] != p["b"])
-    held = whole.where(~F.coalesce(clash, F.lit(False)))
-    return held.groupBy("id", "row", "item").agg(
-        F.max(F.col("agreeing") / F.col("windows")).alias("covered"), F.max(~F.coalesce(other, F.lit(False))).alias("same")
-    )
+    held = lines.where(~F.coalesce(clash, F.lit(False)))
+    return held.groupBy("id", "row", "item").agg(F.max("covered").alias("covered"), F.max(~F.coalesce(other, F.lit(False))).alias("same"))

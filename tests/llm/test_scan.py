@@ -76,6 +76,20 @@ def test_values_are_compared_where_words_agree(spark):
     assert {(r["id"], r["same"]) for r in leaks(table(spark, rows), bench).collect()} == {(i, True) for i, _ in rows}
 
 
+def test_names_of_any_form(spark):
+    asked = "Alice has 3 apples and gives 2 to her brother each day. Alice then buys 4 more pears at the market"
+    quoted = "The clerk asked: \"Robert, will you carry 3 boxes?\" (Robert says that he carries 2 boxes to Rome and that Robert rests)"
+    rows = [(1, asked.replace("Alice", "Bob")), (2, f"Once more. {asked.replace('Alice', 'Mary Ann')}."), (3, quoted.replace("Robert", "Anna Maria")), (4, asked.replace("day. Alice", "day. Carol"))]
+    more = QUESTION.replace("Alice", "Bob").split()
+    more = " ".join([*more[:15], "also", *more[15:30], "then", "exactly", *more[30:]])
+    rows += [(5, more), (6, asked.lower()), (7, more.replace("Then also Bob", "Then also Carol"))]
+    # another order, and the item twice with one of them whole
+    rows += [(8, " ".join(asked.split()[::-1])), (9, f"{rows[3][1]}. {asked}")]
+    bench = spark.createDataFrame([(70, asked), (71, quoted), (72, QUESTION)], "item_id long, text string")
+    got = {(r["id"], r["item"]): r["same"] for r in leaks(table(spark, rows), bench).collect()}
+    assert got == {(1, 70): False, (2, 70): False, (3, 71): False, (5, 72): False, (6, 70): True, (9, 70): True}
+
+
 def test_leaks_of_nothing(spark, nothing):
     bench = spark.createDataFrame([(70, QUESTION)], "item_id long, text string")
     assert leaks(nothing, bench).count() == 0
