@@ -44,9 +44,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest id."""
+    """Keeps one document of each group of near duplicates, alike in 80 of 100 shingles, the one with the smallest id."""
     # rows equal in id and text are kept together, so the first of them is taken
-    keep = near_duplicates(docs).where("keeper").select("id", "row").distinct()
+    keep = near_duplicates(docs, percent=80).where("keeper").select("id", "row").distinct()
     rows = docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias("key"))
     kept = rows.join(keep, F.expr("doc_id <=> id AND key = row"), "left_semi")
     return kept.groupBy("doc_id", "key").agg(*[F.first(c).alias(c) for c in COLUMNS[1:]]).select(COLUMNS)

@@ -17,7 +17,8 @@ survives is verified on the full shingle sets, unless the two are already joined
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,31 @@ from manyview.llm.word_arrays import BASES, Chunk, Runs, binary_column, chunks,
 from manyview.llm.worker_code import ship
 
 SHINGLE = 5
-#: At similarity 0.85, two documents agree in none of 40 bands of 8 with probability 3e-6.
-BANDS, ROWS = 40, 8
+#: Values in a band, and the chance that two documents at the threshold agree in no band.
+ROWS, APART = 8, 3e-6
 BATCHES = (32, 64, 128, 224, 320)
 #: Members of a block; a task holds two.
 BLOCK = 400
-_rng = np.random.default_rng(85)
-_a = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_b = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 SIGNATURES = "id long, row long, n long, class long, bands array<long>, sig binary"
 
 
+def bands_at(percent: int) -> int:
+    """The fewest bands with which documents at the threshold miss each other with at most ``APART``: 40 at 85, 70 at 80."""
+    agree = (percent / 100) ** ROWS
+    return max(1, math.ceil(math.log(APART) / math.log1p(-agree))) if agree < 1 else 1
+
+
+def hashes(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of the hash functions."""
+    rng = np.random.default_rng(85)
+    a = rng.integers(0, 1 << 32, bands * ROWS, dtype=np.uint32) | np.uint32(1)
+    return a, rng.integers(0, 1 << 32, bands * ROWS, dtype=np.uint32)
+
+
+def batch_ends(bands: int) -> list[int]:
+    return [*[end for end in BATCHES if end < bands * ROWS], bands * ROWS]
+
+
 def shingle_sets(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text of a chunk, sorted by text, and each text's number of them."""
     w = words(chunk)
@@ -63,29 +78,30 @@ def shingle_sets(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order][new], np.bincount(text[order][new].astype(np.int64), minlength=texts)
 
 
-def signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def signatures(batches: Iterator[pa.RecordBatch], size: int, count: int) -> Iterator[pa.RecordBatch]:
+    factors, addends = hashes(count)
     for batch in batches:
         for chunk in chunks(batch.column(2)):
             sets, n = shingle_sets(chunk, size)
             some = np.flatnonzero(n)
             begin = (np.cumsum(n) - n)[some]
-            sig = np.zeros((len(some), BANDS * ROWS), np.uint32)
+            sig = np.zeros((len(some), count * ROWS), np.uint32)
             kind = np.zeros(len(n), np.uint64)
             if len(some):
                 x = (sets >> np.uint64(32)).astype(np.uint32)
                 v = np.empty_like(x)
-                for i in range(BANDS * ROWS):
-                    np.multiply(x, _a[i], out=v)
-                    np.add(v, _b[i], out=v)
+                for i in range(count * ROWS):
+                    np.multiply(x, factors[i], out=v)
+                    np.add(v, addends[i], out=v)
                     sig[:, i] = np.minimum.reduceat(v, begin)
                 one, two = (np.add.reduceat(mix(sets ^ s), begin) for s in BASES)
                 kind[some] = mix(one ^ mix(two + n[some].astype(np.uint64)))
-            parts = sig.reshape(len(some), BANDS, ROWS).view(np.uint64)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(some), BANDS)).copy()
+            parts = sig.reshape(len(some), count, ROWS).view(np.uint64)
+            key = np.broadcast_to(np.arange(count, dtype=np.uint64), (len(some), count)).copy()
             for i in range(parts.shape[2]):
                 key = mix(key ^ parts[:, :, i])
             full = np.zeros(len(n), np.int64)
-            full[some] = BANDS
+            full[some] = count
             here = np.full(len(n), -1)
             here[some] = np.arange(len(some))
             yield pa.RecordBatch.from_arrays(
@@ -100,12 +116,12 @@ def signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             )
 
 
-def least_matches(threshold: float, miss: float) -> list[int]:
+def least_matches(threshold: float, miss: float, ends: Sequence[int] = BATCHES) -> list[int]:
     """For each batch end, the fewest agreements with which the similarity, uniform
     before and binomially observed, reaches ``threshold`` with probability ``miss``."""
     j = (np.arange(20000) + 0.5) / 20000
     out = []
-    for n in BATCHES:
+    for n in ends:
         for m in range(n + 1):
             log = m * np.log(j) + (n - m) * np.log1p(-j)
             p = np.exp(log - log.max())
@@ -129,7 +145,7 @@ class Joined:
         return True
 
 
-def links_of(task: pa.Table, size: int, percent: int, least: list[int]) -> pa.Table:
+def links_of(task: pa.Table, size: int, percent: int, ends: list[int], least: list[int]) -> pa.Table:
     """Links that join members of two blocks (or of one with itself)."""
     kind = task["class"].to_numpy()
     _, one = np.unique(kind, return_index=True)
@@ -149,7 +165,7 @@ def links_of(task: pa.Table, size: int, percent: int, least: list[int]) -> pa.Ta
         small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
         others = others[(100 * small >= percent * large) & (joined.root[others] != joined.root[i])]
         agree, done = np.zeros(len(others), np.int64), 0
-        for end, enough in zip(BATCHES, least, strict=True):
+        for end, enough in zip(ends, least, strict=True):
             if not len(others):
                 return
             agree = agree + (sig[others, done:end] == sig[i, done:end]).sum(1)
@@ -187,13 +203,15 @@ def near_duplicates(
     times those of either. A text of fewer words than a shingle has one shingle, all
     of it; null and empty texts have none and are linked with nothing. Null ids never
     are the smallest unless a component has no others. A link can be missed if its
-    documents meet in no band (3e-6 at 0.85, less above) or are dropped by a batch
+    documents meet in no band (3e-6 at ``percent``, less above) or are dropped by a batch
     (``miss``). Only the id and text of ``docs`` are read.
     """
     scratch = Scratch(docs.sparkSession, "near")
     ship(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-    every = scratch.table(keyed.mapInArrow(lambda it: signatures(it, shingle), SIGNATURES), "signatures")
+    bands = bands_at(percent)
+    ends = batch_ends(bands)
+    every = scratch.table(keyed.mapInArrow(lambda it: signatures(it, shingle, bands), SIGNATURES), "signatures")
     banded = every.select("class", F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
     members = scratch.table(banded.join(scratch.table(full, "buckets"), "band", "left_semi").distinct(), "members")
@@ -218,11 +236,11 @@ def near_duplicates(
     chosen = scratch.table(chosen, "chosen")
     items = chosen.alias("c").join(keyed.alias("k"), F.expr("c.id <=> k.id AND c.row = k.row")).select("class", "n", "sig", "text")
     items = scratch.table(items, "items")
-    least = least_matches(percent / 100, miss)
+    least = least_matches(percent / 100, miss, ends)
     links = (
         placed.join(items, "class")
         .groupBy("centre", "lo", "hi")
-        .applyInArrow(lambda t: links_of(t, shingle, percent, least), "a long, b long")
+        .applyInArrow(lambda t: links_of(t, shingle, percent, ends, least), "a long, b long")
     )
     links = scratch.table(links, "links")
     labels = label_components(links, scratch)

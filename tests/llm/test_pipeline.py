@@ -10,6 +10,7 @@ from conftest import SCHEMA, prose
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from manyview.llm import near_dedup
 
 LINE = "A line that stands in many of the documents, as menus do."
 ITEM = "Seven old foxes cross the frozen river each winter and nobody in the valley knows where they sleep at night."
@@ -102,3 +103,12 @@ def test_stages_of_nothing(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0, name
+
+
+def test_near_copies_at_four_fifths(spark, folder):
+    """Of 100 words two are others: 86 of 106 shingles are shared."""
+    text = " ".join(f"word{i}" for i in range(100))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([text, text.replace("word30 ", "x ").replace("word60 ", "y ")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()] == [0]
+    assert near_dedup.bands_at(85) == 40 and all((1 - (p / 100) ** 8) ** near_dedup.bands_at(p) <= 3e-6 for p in (70, 80, 85, 90))
