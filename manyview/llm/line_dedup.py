@@ -1,15 +1,19 @@
 """Line deduplication over levelled sorted runs of line keys.
 
-A run is a table of line keys, sorted within its parts, with the number of
-documents that hold a key and the largest id among them. A batch of new documents
-is merged against the runs: keys that no run has (an anti join) form a new run, and
-keys that some run has (a semi join) add to the counts. A level that has ``fanout``
-runs is compacted into one run of the next level, so that a batch meets few runs
-however many came before it.
+A run is a table of line keys, bucketed and sorted by key, with the number of documents
+that hold a key and the largest id among them. Every key is in one run only. A batch of
+new documents is merged against the runs: what an anti join with all of them leaves are
+new keys, which form a new run; keys that a run has already only leave a delta beside
+that run. A level that has more than ``fanout`` runs is compacted into one run of the
+next level, its deltas with it, so that a batch meets few runs however many came before.
+
+Batches, runs and deltas have the same buckets, so that a batch is shuffled once, when
+its own lines are counted, and runs never are until they are compacted.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,55 +44,77 @@ def keyed_lines(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: s
     return keys.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"), "id", "row", "pos")
 
 
+@dataclass
+class Run:
+    """Keys of one run, and what later batches add to them."""
+
+    keys: DataFrame
+    deltas: list[DataFrame] = field(default_factory=list)
+
+
 class LineRuns:
-    """The runs, by level, each a table in the shared folder."""
+    """The runs, by level, each a bucketed table in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.scratch = Scratch(spark, "line-runs")
         self.fanout = fanout
-        self.levels: list[list[DataFrame]] = [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[Run]] = [[]]
 
-    def known(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        return reduce(DataFrame.unionByName, runs) if runs else None
+    def runs(self) -> list[Run]:
+        return [run for level in self.levels for run in level]
+
+    def _sorted(self, keys: DataFrame, name: str) -> DataFrame:
+        return self.scratch.bucketed(keys.select(*KEY, "docs", "last"), name, self.buckets, KEY)
 
     def add(self, keyed: DataFrame) -> None:
         """Merge one batch of ``keyed_lines`` into the runs.
 
         Repeated lines of a document count once, as do repeated rows of it; a null
-        id counts as one document and as the smallest id.
+        id counts as one document and as the smallest id. A document's lines must all
+        come in the same batch.
         """
         own = keyed.groupBy(*KEY, "id").agg(F.lit(1).alias("n"))
         own = own.groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("id").alias("last"))
-        known = self.known()
-        if known is not None:
-            batch = self.scratch.table(own, "batch")
-            keys = known.select(*KEY)
-            fresh = batch.join(keys, KEY, "left_anti")
-            more = batch.join(keys, KEY, "left_semi")
-            own = fresh.unionByName(more)
-        self.levels[0].append(self.scratch.table(own.sortWithinPartitions(*KEY), "run"))
-        if known is not None:
-            self.scratch.drop(batch)
+        known = self.runs()
+        if not known:
+            self.levels[0].append(Run(self._sorted(own, "run")))
+            return
+        batch = self._sorted(own, "batch")
+        fresh = batch
+        for run in known:
+            fresh = fresh.join(run.keys.select(*KEY), KEY, "left_anti")
+            run.deltas.append(self._sorted(batch.join(run.keys.select(*KEY), KEY, "left_semi"), "delta"))
+        self.levels[0].append(Run(self._sorted(fresh, "run")))
+        self.scratch.drop(batch)
         level = 0
         while len(self.levels[level]) > self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._merge(self.levels[level], "run"))
-            self.scratch.drop(*self.levels[level])
+            merged = reduce(DataFrame.unionByName, [self._counted(run) for run in self.levels[level]])
+            self.levels[level + 1].append(Run(self._sorted(merged, "run")))
+            self._forget(self.levels[level])
             self.levels[level] = []
             level += 1
 
-    def _merge(self, runs: list[DataFrame], name: str, min_docs: int = 1) -> DataFrame:
-        merged = reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-        return self.scratch.table(merged.where(F.col("docs") >= min_docs).sortWithinPartitions(*KEY), name)
+    def _counted(self, run: Run) -> DataFrame:
+        """The keys of a run, each once, with all that was added to them."""
+        if not run.deltas:
+            return run.keys
+        more = reduce(DataFrame.unionByName, run.deltas).groupBy(*KEY).agg(F.sum("docs").alias("more"), F.max("last").alias("later"))
+        docs = (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs")
+        return run.keys.join(more, KEY, "left").select(*KEY, docs, F.greatest("last", "later").alias("last"))
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Keys in at least ``min_docs`` documents, from all runs merged."""
-        return self._merge([run for level in self.levels for run in level], "frequent", min_docs)
+        """Keys in at least ``min_docs`` documents, read off the runs."""
+        every = reduce(DataFrame.unionByName, [self._counted(run) for run in self.runs()])
+        return self.scratch.table(every.where(F.col("docs") >= min_docs), "frequent")
+
+    def _forget(self, runs: list[Run]) -> None:
+        self.scratch.drop(*[table for run in runs for table in (run.keys, *run.deltas)])
 
     def drop_runs(self) -> None:
-        self.scratch.drop(*[run for level in self.levels for run in level])
+        self._forget(self.runs())
         self.levels = [[]]
 
 

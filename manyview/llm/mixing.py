@@ -1,19 +1,17 @@
 """Mixing sources to target weights by systematic sampling.
 
-All documents of a source have the same expected number of copies, target over
-size of the source. The documents of a source stand in a fixed order; the running
-sum of their expected copies, shifted by one random offset, crosses an integer so
-many times within a document, and so many copies of it are taken.
-
-The order is by size first, so that a source's taken words come as near to its
-target as its documents' sizes allow. No source is sorted as a whole: cells of a
-few like-sized documents are counted, the counts are summed along each source, and
-a document's place is the sum before its cell plus its rank within the cell. The
-cells are many even in a single hot source, and no task gets more than a cell.
-
-The offset is random, but a few long documents can bring a small source far off its
-target with it. So it is turned by sixteenths of a copy, and the turn with which the
-source's words come nearest to its target is taken.
+The documents of a source stand in a fixed order, the longest first. The running sum
+of their expected copies, shifted by one random offset, crosses an integer so many
+times within a document, and so many copies of it are taken.
+
+Documents of like size form a bin and have the same expected copies: what is left of
+the source's target over what is left of its words. So what the few longest documents
+take too much or too little, whole as they are, the many shorter ones make up.
+
+No source is sorted as a whole: cells of a bin are counted, the counts are summed
+within the bin, and a document's place is the sum before its cell plus its rank within
+the cell. The cells are many even in a single hot source, and no task gets more than a
+few of them.
 """
 
 from __future__ import annotations
@@ -25,11 +23,10 @@ from pyspark.sql.window import Window
 from manyview.llm.scratch import Scratch
 from manyview.llm.text_columns import word_count
 
-#: Offsets that are tried for a source, evenly apart from a random one.
-OFFSETS = 16
-#: Hex digits of the id's digest that split like-sized documents of a source.
-SPLIT_DIGITS = 2
+#: Cells of a bin, by a digest of id and text.
+SPLITS = 256
 P = "__mix_"
+STATE = "struct<taken:double,left:double,upto:double,out:array<struct<bin:int,rate:double,before:double>>>"
 
 
 def _key(source: Column) -> Column:
@@ -37,40 +34,76 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+def running(rows: DataFrame, order: list[str], sums: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with ``place`` (from 1, along ``order``) and, for each of ``sums``, the
+    sum over all rows before, as ``before_...``.
+
+    Rows are dealt to tasks by ranges of ``order``; only one row for each task is put
+    in order as a whole.
+    """
+    parts = scratch.table(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"all_{c}") for c in sums])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    starts = totals.select("part", so_far("n", earlier).alias("skip"), *[so_far(f"all_{c}", earlier).alias(f"skip_{c}") for c in sums])
+    mine = Window.partitionBy("part").orderBy(*order)
+    upto = mine.rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(starts, "part").select(
+        *rows.columns,
+        (F.row_number().over(mine) + F.col("skip")).alias("place"),
+        *[(so_far(c, upto) + F.col(f"skip_{c}")).alias(f"before_{c}") for c in sums],
+    )
+
+
+def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float, scratch: Scratch) -> DataFrame:
     """Target words of each source: by weight, none above ``cap`` times its size.
 
-    One row per source is sorted in one task, since the weights repeat along the
-    order of all sources. With the sources in order of cap over weight, those that
-    reach their cap come first; the level that the others share follows from the
-    running sums of what is before them.
+    With the sources in order of cap over weight, those that reach their cap come
+    first; the level that the others share follows from the running sums of what is
+    before them. Sums are of whole numbers, so that their order does not matter.
     """
-    names = Window.orderBy(f"{P}key")
     s = sized.groupBy(f"{P}key").agg(F.sum(f"{P}size").alias(f"{P}total"))
-    place = (F.row_number().over(names) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
-    s = s.withColumn("w", weight).withColumn("c", F.col(f"{P}total") * F.lit(float(cap)))
-    every = Window.partitionBy()
-    fill = Window.orderBy(F.col("c") / F.col("w"), f"{P}key")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.select(
-        "*",
-        (F.sum(f"{P}total").over(every) * F.lit(float(share))).alias("all"),
-        F.sum("w").over(every).alias("w_all"),
-        F.coalesce(F.sum("c").over(before), F.lit(0.0)).alias("c_before"),
-        F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w_before"),
-    )
-    s = s.withColumn("level", (F.col("all") - F.col("c_before")) / (F.col("w_all") - F.col("w_before")))
+    s = running(s, [f"{P}key"], [], scratch)
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long")
+    s = s.select(f"{P}key", f"{P}total", weight.alias("w"))
+    s = s.withColumn("turn", F.col(f"{P}total") * F.lit(float(cap)) / F.col("w"))
+    s = scratch.table(running(s, ["turn", f"{P}key"], [f"{P}total", "w"], scratch), "sources")
+    whole = s.agg(F.sum(f"{P}total").alias("all"), F.sum("w").alias("w_all"))
+    s = s.crossJoin(F.broadcast(whole))  # one row
+    full_before = F.col(f"before_{P}total") * F.lit(float(cap))
+    s = s.withColumn("level", (F.col("all") * F.lit(float(share)) - full_before) / (F.col("w_all") - F.col("before_w")))
     # the first source that stays below its cap, all before it being full, has the level that the rest share
-    s = s.withColumn("place", F.row_number().over(fill))
-    s = s.withColumn("first", F.min(F.when(F.col("c") > F.col("level") * F.col("w"), F.col("place"))).over(every))
-    s = s.withColumn("level", F.max(F.when(F.col("place") == F.col("first"), F.col("level"))).over(every))
-    s = s.withColumn("full", F.col("first").isNull() | (F.col("place") < F.col("first")))
-    return s.select(
-        f"{P}key",
-        F.col(f"{P}total"),
-        F.when(F.col("full"), F.col("c")).otherwise(F.col("level") * F.col("w")).alias(f"{P}target"),
-    )
+    below = F.col("turn") > F.col("level")
+    first = s.where(below).agg(F.min(F.struct("place", "level")).alias("first"))
+    s = s.drop("level").crossJoin(F.broadcast(first))  # one row
+    full = F.col("first").isNull() | (F.col("place") < F.col("first.place"))
+    target = F.when(full, F.col(f"{P}total") * F.lit(float(cap))).otherwise(F.col("first.level") * F.col("w"))
+    return s.select(f"{P}key", f"{P}total", target.alias(f"{P}target"))
+
+
+def bin_rates(bins: Column, target: Column, total: Column, offset: Column, max_copies: int) -> Column:
+    """Along a source's ``bins`` (structs of down, bin, n, size, sorted), the expected
+    copies of a bin's documents and the sum of expected copies before it."""
+
+    def step(state: Column, b: Column) -> Column:
+        wanted = F.when(state["left"] > 0, (target - state["taken"]) / state["left"]).otherwise(F.lit(0.0))
+        # in an array, so that it is computed once
+        rate = F.array(F.least(F.greatest(wanted, F.lit(0.0)), F.lit(float(max_copies))))
+        return F.get(F.transform(rate, lambda r: after(state, b, r)), 0)
+
+    def after(state: Column, b: Column, rate: Column) -> Column:
+        upto = state["upto"] + b["n"] * rate
+        copies = F.floor(upto + offset) - F.floor(state["upto"] + offset)
+        own = F.struct(b["bin"].alias("bin"), rate.alias("rate"), state["upto"].alias("before"))
+        return F.struct(
+            (state["taken"] + copies * (b["size"] / b["n"])).alias("taken"),
+            (state["left"] - b["size"]).alias("left"),
+            upto.alias("upto"),
+            F.concat(state["out"], F.array(own)).alias("out"),
+        ).cast(STATE)
+
+    start = F.struct(F.lit(0.0).alias("taken"), total.cast("double").alias("left"), F.lit(0.0).alias("upto"), F.array().alias("out")).cast(STATE)
+    return F.aggregate(bins, start, step, lambda s: s["out"])
 
 
 def mix_sources(
@@ -80,6 +113,7 @@ def mix_sources(
     weights: tuple[int, ...] = (1, 2, 3),
     share: float = 1.0,
     max_copies: int = 3,
+    splits: int = SPLITS,
     seed: str = "mix",
     source: str = "source",
     text: str = "text",
@@ -89,50 +123,42 @@ def mix_sources(
     ``__mix_target`` and ``__mix_copies``.
 
     A null text has size 0; null sources form one source, the last; null ids sort
-    first among documents of equal size. Rows equal in id and size are alike to the
-    order, so that which of them is taken does not matter. A document of no words
-    can get copies, which take nothing. An empty table gives an empty result.
-    Columns of ``docs`` beside ``carry`` are not read; names that begin with
-    ``__mix_`` are reserved.
+    first among documents of equal size. Documents of one id and size stand in the
+    order of a digest of their texts; rows that are equal in all of that are alike, and
+    it does not matter which of them is taken. A document of no words can get copies,
+    which take nothing. An empty table gives an empty result. Very long texts make bins
+    of their own; a source has at most twice the square root of its longest text's words
+    as bins, which are taken along in one row. Columns of ``docs`` beside ``carry`` are
+    not read; names that begin with ``__mix_`` are reserved.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(
         *[F.col(c) for c in carry],
         F.col(doc_id).alias(f"{P}id"),
         _key(F.col(source)).alias(f"{P}key"),
         word_count(F.col(text)).alias(f"{P}size"),
-        F.substring(digest, 1, SPLIT_DIGITS).alias(f"{P}split"),
-    ).withColumn(f"{P}bin", F.floor(F.sqrt(F.col(f"{P}size").cast("double")) * 2))
-    cell = [f"{P}key", f"{P}bin", f"{P}split"]
-    # without texts, since they are read more than once
-    sized = scratch.table(rows.select(f"{P}id", f"{P}size", *cell), "sized")
-    cells = sized.groupBy(*cell).agg(F.count("*").alias("n"), F.sum(f"{P}size").alias(f"{P}size"))
-    targets = source_targets(cells, weights, share, max_copies)
-    along = Window.partitionBy(f"{P}key").orderBy(f"{P}bin", f"{P}split").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*cell, F.coalesce(F.sum("n").over(along), F.lit(0)).alias(f"{P}before")).join(targets, f"{P}key")
+        F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias(f"{P}digest"),
+    )
+    digest = F.md5(F.concat(F.coalesce(F.col(f"{P}id").cast("string"), F.lit("")), F.col(f"{P}digest")).cast("binary"))
+    rows = rows.withColumn(f"{P}split", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % splits)
+    rows = rows.withColumn(f"{P}bin", F.floor(F.sqrt(F.col(f"{P}size").cast("double")) * 2).cast("int"))
+    cell, one_bin = [f"{P}key", f"{P}bin", f"{P}split"], [f"{P}key", f"{P}bin"]
+    cells = scratch.table(rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum(f"{P}size").alias(f"{P}size")), "cells")
+    targets = source_targets(cells, weights, share, max_copies, scratch)
     start = F.md5(F.concat(F.lit(f"{seed}|"), F.col(f"{P}key")).cast("binary"))
     start = F.conv(F.substring(start, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    cells = scratch.table(cells.withColumn(f"{P}start", start), "cells")
-
-    def copies(offset: Column) -> Column:
-        rate = F.when(F.col(f"{P}total") > 0, F.col(f"{P}target") / F.col(f"{P}total")).otherwise(F.lit(0.0))
-        upto = (F.col(f"{P}before") + F.col(f"{P}rank")).cast("double")
-        crossed = F.floor(upto * rate + offset) - F.floor((upto - 1) * rate + offset)
-        return F.least(crossed, F.lit(max_copies)).cast("long")
-
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy(f"{P}size", f"{P}id"))
-    tried = sized.withColumn(f"{P}rank", rank).join(cells, cell)
-    step = [F.col(f"{P}start") + F.lit(i / OFFSETS) for i in range(OFFSETS)]
-    taken = [F.sum(copies(u) * F.col(f"{P}size")).alias(f"t{i}") for i, u in enumerate(step)]
-    sums = tried.groupBy(f"{P}key").agg(F.max(f"{P}target").alias("goal"), *taken)
-    errors = F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("goal")).alias("error"), F.lit(i).alias("i")) for i in range(OFFSETS)])
-    best = sums.select(f"{P}key", (F.array_min(errors)["i"] / F.lit(float(OFFSETS))).alias(f"{P}step"))
-    placed = rows.withColumn(f"{P}rank", rank).join(scratch.table(cells.join(best, f"{P}key"), "placed"), cell)
-    return placed.select(
-        *[F.col(c) for c in carry],
-        f"{P}size",
-        f"{P}total",
-        f"{P}target",
-        copies(F.col(f"{P}start") + F.col(f"{P}step")).alias(f"{P}copies"),
-    )
+    bins = cells.groupBy(*one_bin).agg(F.sum("n").alias("n"), F.sum(f"{P}size").alias("size"))
+    entry = F.struct((-F.col(f"{P}bin")).alias("down"), F.col(f"{P}bin").alias("bin"), "n", "size")
+    by_source = bins.groupBy(f"{P}key").agg(F.array_sort(F.collect_list(entry)).alias("bins")).join(targets, f"{P}key")
+    by_source = by_source.withColumn(f"{P}start", start)
+    rated = F.inline(bin_rates(F.col("bins"), F.col(f"{P}target"), F.col(f"{P}total"), F.col(f"{P}start"), max_copies))
+    rated = by_source.select(f"{P}key", f"{P}total", f"{P}target", f"{P}start", rated).withColumnRenamed("bin", f"{P}bin")
+    along = Window.partitionBy(*one_bin).orderBy(f"{P}split").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*cell, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("skip"))
+    cells = scratch.table(cells.join(scratch.table(rated, "rated"), one_bin), "placed")
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc(f"{P}size"), f"{P}id", f"{P}digest"))
+    placed = rows.withColumn("rank", rank).join(cells, cell)
+    upto = lambda i: F.floor(F.col("before") + F.col("rate") * i + F.col(f"{P}start"))
+    place = (F.col("skip") + F.col("rank")).cast("double")
+    copies = F.least(upto(place) - upto(place - 1), F.lit(max_copies)).cast("long")
+    return placed.select(*[F.col(c) for c in carry], f"{P}size", f"{P}total", f"{P}target", copies.alias(f"{P}copies"))

@@ -213,44 +213,49 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS split
+         md5(coalesce(text, '')) AS digest
   FROM documents
+), p AS (
+  SELECT *, floor(sqrt(size::DOUBLE) * 2)::INT AS bin,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || digest), 1, 8))::BIGINT % 256 AS split FROM d
 ), s AS (
-  SELECT key, sum(size)::BIGINT AS total, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT] AS w
+  SELECT key, sum(size)::BIGINT AS total, [1, 2, 3][((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT]::BIGINT AS w
   FROM d GROUP BY key
 ), f AS (
-  SELECT *, total * 3.0::DOUBLE AS c FROM s
-), g AS (
-  SELECT *, sum(total::DOUBLE) OVER () AS tot, sum(w) OVER () AS w_all,
-         coalesce(sum(c) OVER (ORDER BY c / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c_before,
-         coalesce(sum(w) OVER (ORDER BY c / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_before
-  FROM f
+  SELECT *, total * 3.0::DOUBLE / w AS turn, sum(total) OVER () AS every, sum(w) OVER () AS w_all FROM s
 ), h AS (
-  SELECT *, (tot - c_before) / (w_all - w_before) AS own_level, row_number() OVER (ORDER BY c / w, key) AS place FROM g
+  SELECT *, row_number() OVER (ORDER BY turn, key) AS place,
+         (every * 1.0::DOUBLE - coalesce(sum(total) OVER before, 0) * 3.0::DOUBLE) / (w_all - coalesce(sum(w) OVER before, 0)) AS level
+  FROM f WINDOW before AS (ORDER BY turn, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), i AS (
-  SELECT *, min(place) FILTER (c > own_level * w) OVER () AS first FROM h
-), j AS (
-  SELECT *, max(own_level) FILTER (place = first) OVER () AS level FROM i
+  SELECT *, min(place) FILTER (turn > level) OVER () AS first FROM h
 ), t AS (
-  SELECT key, total, CASE WHEN first IS NULL OR place < first THEN c ELSE level * w END AS target FROM j
+  SELECT key, total, CASE WHEN first IS NULL OR place < first THEN total * 3.0::DOUBLE
+                          ELSE max(level) FILTER (place = first) OVER () * w END AS target FROM i
+), b AS (
+  SELECT key, bin, count(*)::BIGINT AS n, sum(size)::BIGINT AS size, any_value(t.total) AS total, any_value(t.target) AS target,
+         row_number() OVER (PARTITION BY key ORDER BY bin DESC) AS k,
+         ('0x' || substr(md5('mix|' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
+  FROM p JOIN t USING (key) GROUP BY key, bin
 ), r AS (
-  SELECT d.*, t.total, t.target,
-         row_number() OVER (PARTITION BY d.key ORDER BY floor(sqrt(size::DOUBLE) * 2), split, size, doc_id)::DOUBLE AS upto,
-         CASE WHEN t.total > 0 THEN t.target / t.total ELSE 0 END AS rate,
-         ('0x' || substr(md5('mix|' || d.key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
-  FROM d JOIN t USING (key)
+  SELECT key, 0::BIGINT AS k, -1 AS bin, 0.0::DOUBLE AS taken, total::DOUBLE AS remaining, 0.0::DOUBLE AS upto, 0.0::DOUBLE AS rate, 0.0::DOUBLE AS before
+  FROM t
+  UNION ALL
+  SELECT key, k, bin, taken + (floor(upto + n * rate + start) - floor(upto + start)) * (size::DOUBLE / n), remaining - size, upto + n * rate, rate, upto
+  FROM (SELECT b.*, r.taken, r.remaining, r.upto,
+               least(greatest(CASE WHEN r.remaining > 0 THEN (b.target - r.taken) / r.remaining ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 3.0::DOUBLE) AS rate
+        FROM r JOIN b ON b.key = r.key AND b.k = r.k + 1)
 ), x AS (
-  SELECT *, least(floor(upto * rate + (start + i / 16.0::DOUBLE)) - floor((upto - 1) * rate + (start + i / 16.0::DOUBLE)), 3)::BIGINT AS copies
-  FROM r CROSS JOIN (SELECT unnest(range(16)) AS i)
-), e AS (
-  SELECT key, i, abs(sum(copies * size)::BIGINT - max(target)) AS error FROM x GROUP BY key, i
-), b AS (
-  SELECT key, i FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY error, i) = 1
+  SELECT p.*, b.total, b.target, r.rate, r.before, b.start,
+         row_number() OVER (PARTITION BY p.key, p.bin ORDER BY p.split, p.size DESC, p.doc_id, p.digest)::DOUBLE AS place
+  FROM p JOIN b ON b.key = p.key AND b.bin = p.bin JOIN r ON r.key = p.key AND r.bin = p.bin
+), y AS (
+  SELECT *, least(floor(before + rate * place + start) - floor(before + rate * (place - 1) + start), 3)::BIGINT AS copies FROM x
 )
-SELECT doc_id, size, total AS source_size, round(target, 6) AS target, copies * size AS taken, copies FROM x JOIN b ON x.key = b.key AND x.i = b.i
+SELECT doc_id, size, total AS source_size, round(target, 6) AS target, copies * size AS taken, copies FROM y
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,17 +44,35 @@ class Scratch:
         at the next garbage collection of the driver.
         """
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        with self._files_dropped():
+            df.write.parquet(path)
+        return self._kept(self.spark.read.schema(df.schema).parquet(path), path)
+
+    def bucketed(self, df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
+        """Like ``table``, in ``buckets`` by ``keys`` and sorted by them, so that joins on
+        the keys with another such table need no exchange."""
+        table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        path = f"{self.root}/{table}"
+        with self._files_dropped():
+            df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+        out = self._kept(self.spark.table(table), path)
+        out.scratch_name = table
+        return out
+
+    @contextmanager
+    def _files_dropped(self):
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            yield
         finally:
             if before is None:
                 self.spark.conf.unset(_CLEANUP)
             else:
                 self.spark.conf.set(_CLEANUP, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
+
+    def _kept(self, out: DataFrame, path: str) -> DataFrame:
+        out.scratch_path, out.scratch_name = path, None
         system, folder = self._place(path)
         system.deleteOnExit(folder)
         return out
@@ -65,5 +84,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for table in tables:
+            if table.scratch_name:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table.scratch_name}")
             system, folder = self._place(table.scratch_path)
             system.delete(folder, True)
