@@ -1,8 +1,10 @@
 """Words and digests of many texts at once, as numpy arrays over Arrow's buffers.
 
 A batch is cut into chunks of about a megabyte of whole texts, so that arrays stay
-small however long the batch is. Digests are 64-bit polynomials over the bytes of a
-word, or over the digests of a run of words; two bases give two independent ones.
+small however long the batch is. The digest of a word is a sum over its bytes of fixed
+random numbers, one for each byte at each place; that of a run of words comes from those
+of its halves, mixed at every step. Neither is linear in what it digests, so that texts
+with a regular build do not meet. Two tables give two independent digests.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Odd bases, so that powers have inverses modulo 2**64.
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_bytes = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64)
-_tables: dict[tuple[int, bool], np.ndarray] = {}
+#: Places with numbers of their own; beyond them, numbers are mixed with the place.
+PLACES = 64
+#: For each of two digests, a number for each byte at each place.
+_numbers = np.random.default_rng(20240229).integers(0, 1 << 64, (2, PLACES * 256), dtype=np.uint64)
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,19 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
-    """At least ``n`` powers of ``base`` (or of its inverse), from the zeroth."""
-    have = _tables.get((int(base), inverse))
-    if have is None or len(have) < n:
-        b = int(base)
-        if inverse:
-            b = pow(b, -1, 1 << 64)
-        step = np.full(1 << max(16, (n - 1).bit_length()), np.uint64(b))
-        step[0] = 1
-        have = _tables[(int(base), inverse)] = np.cumprod(step, dtype=np.uint64)
-    return have
-
-
 @dataclass
 class Chunk:
     """Whole texts first..last of a batch: bytes, and where each text begins and ends."""
@@ -104,8 +94,8 @@ def words(chunk: Chunk, inside: np.ndarray | None = None) -> Words:
     return Words(starts, ends, np.repeat(np.arange(len(off) - 1), np.diff(at)), at, keep)
 
 
-def word_digests(chunk: Chunk, w: Words, lower: bool = False) -> np.ndarray:
-    """A 64-bit digest of the bytes of each word."""
+def word_digests(chunk: Chunk, w: Words, lower: bool = False, which: int = 0) -> np.ndarray:
+    """A 64-bit digest of the bytes of each word; ``which`` of two independent ones."""
     if not len(w.starts):
         return np.zeros(0, np.uint64)
     data = chunk.data[w.keep]
@@ -114,30 +104,55 @@ def word_digests(chunk: Chunk, w: Words, lower: bool = False) -> np.ndarray:
     size = w.ends - w.starts
     begin = np.zeros(len(size), np.int64)
     np.cumsum(size[:-1], out=begin[1:])
-    place = np.arange(len(data)) - np.repeat(begin, size)
-    values = _bytes[data] * powers(BASES[0], int(size.max()))[place]
+    place = np.arange(len(data), dtype=np.int64)
+    place -= np.repeat(begin, size)
+    values = _numbers[which][((place & (PLACES - 1)) << 8) | data]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        values[far] = mix(values[far] + (place[far] // PLACES).astype(np.uint64) * _LEFT)
     return mix(np.add.reduceat(values, begin) + size.astype(np.uint64))
 
 
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = left * _LEFT
+    x ^= x >> np.uint64(29)
+    x += right
+    x *= _RIGHT
+    x ^= x >> np.uint64(32)
+    return x
+
+
 class Runs:
-    """Digests of runs of consecutive words, from prefix sums."""
+    """Digests of runs of consecutive words, each from two runs of a power of two words that cover it."""
+
+    def __init__(self, digests: np.ndarray):
+        self.levels = [digests]
 
-    def __init__(self, digests: np.ndarray, base: np.uint64):
-        n = len(digests)
-        self.base = base
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(digests * powers(base, n)[:n], dtype=np.uint64, out=self.sums[1:])
-        self.back = powers(base, n + 1, inverse=True)
+    def _level(self, k: int) -> np.ndarray:
+        """Digests of all runs of 2**k words."""
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            n = max(0, len(last) - half)
+            self.levels.append(_pair(last[:n], last[half : half + n]))
+        return self.levels[k]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start])
+        """Of words start..end-1, at least one."""
+        size = end - start
+        out = np.zeros(len(size), np.uint64)
+        level = np.frexp(size)[1] - 1
+        for k in np.unique(level):
+            mine = np.flatnonzero(level == k)
+            runs, a, b = self._level(int(k)), start[mine], end[mine]
+            out[mine] = mix(_pair(runs[a], runs[b - (1 << int(k))]) + size[mine].astype(np.uint64))
+        return out
 
     def every(self, length: int) -> np.ndarray:
         """Of all runs of ``length`` words, across text borders too."""
-        n = len(self.sums) - length
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[length:] - self.sums[:n]) * self.back[:n])
+        k = length.bit_length() - 1
+        n = max(0, len(self.levels[0]) - length + 1)
+        runs, shift = self._level(k), length - (1 << k)
+        return mix(_pair(runs[:n], runs[shift : shift + n]) + np.uint64(length))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -101,7 +101,7 @@ def test_words_and_runs():
     assert found == ["a", "b", "c", "b", "c", "é\x1cx", "a", "b", "c"]
     assert w.text.tolist() == [0, 0, 0, 3, 3, 4, 5, 5, 5] and w.offsets.tolist() == [0, 3, 3, 3, 5, 6, 9]
     d = word_digests(chunk, w)
-    runs = Runs(d, np.uint64(0x9E3779B97F4A7C15))
+    runs = Runs(d)
     assert runs.of(np.array([1]), np.array([3])) == runs.of(np.array([3]), np.array([5])) == runs.every(2)[7]
     assert runs.of(np.array([0]), np.array([3])) == runs.of(np.array([6]), np.array([9])) != runs.of(np.array([1]), np.array([3]))
 
