@@ -16,14 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from manyview.llm.ngram_features import averages, sparse_rows
 from manyview.llm.text_columns import fold_of
+from manyview.llm.training_sample import labelled_sample
 from manyview.llm.worker_code import ship
 
-#: Rows of a language that a model is trained on, at most.
-PER_LANGUAGE = 400
+#: Rows of a language that a model is trained on, languages, rows in all, and characters of a row, at most.
+PER_LANGUAGE, LANGUAGES, LIMIT, LONGEST = 400, 64, 8000, 20_000
 ORDERS, BITS, LOWER = (3, 4), 17, True
 UNKNOWN = "und"
 # Families by ISO 639-1 code. A language of no family here is one of its own.
@@ -122,24 +122,23 @@ def predict(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
     return lang, sure
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """A model from at most ``per_language`` rows of each language, chosen by a digest
-    of the id among rows with a language and a text, whatever their order."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    order = F.xxhash64("id", F.lit("language"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return train([], [])
-    # only about twice as many as are wanted are put in order
-    share = F.lit(None).cast("double")
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, (2 * per_language + 50) / n))).otherwise(share)
-    few = rows.select("id", "lang", order.alias("order")).where(F.pmod("order", F.lit(1 << 20)) < share * (1 << 20))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
-    chosen = few.withColumn("place", place).where(F.col("place") <= per_language).select("id").distinct()
-    # a bounded number of ids, so that every executor can have them
-    sample = rows.join(F.broadcast(chosen), "id", "left_semi").orderBy("id", "text").collect()
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+def fit(
+    docs: DataFrame,
+    per_language: int = PER_LANGUAGE,
+    languages: int = LANGUAGES,
+    limit: int = LIMIT,
+    longest: int = LONGEST,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+) -> LanguageModel:
+    """A model from a bounded sample of the rows that have a language and a text: at most
+    ``per_language`` rows of each of the ``languages`` most frequent ones, ``limit`` in
+    all, none of more than ``longest`` characters. A model of no language calls every
+    text unknown."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("label"), F.col(text).alias("text"))
+    sample = labelled_sample(rows, per_label=per_language, labels=languages, limit=limit, longest=longest, seed="language")
+    return train([t for t, _ in sample], [name for _, name in sample])
 
 
 def label(batches: Iterator[pa.RecordBatch], shared, carried: int) -> Iterator[pa.RecordBatch]:
@@ -165,7 +164,8 @@ def identify(docs: DataFrame, carry: list[str], model: LanguageModel, *, text: s
     """Columns ``carry`` of every row, with ``__lang`` and ``__lang_score`` (0 to 1).
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if
-    the model has seen no language. Columns of ``docs`` beside ``carry`` are not
+    the model has seen no language. Whole texts are read, in chunks, however long they
+    are. Rows are told apart by nothing: equal texts get equal answers. Columns of ``docs`` beside ``carry`` are not
     read; names that begin with ``__lang`` are reserved. Nothing is shuffled.
     """
     ship(docs.sparkSession)

@@ -10,25 +10,26 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from manyview.llm.word_arrays import LOWER, Chunk, chunks, word_digests, words
+from manyview.llm.word_arrays import LOWER, Chunk, chunks, mix, word_digests, words
 
 _odd = np.random.default_rng(11).integers(0, 1 << 32, 16, dtype=np.uint32) | np.uint32(1)
 
 
 def bucket_lists(
-    chunk: Chunk, orders: tuple[int, ...], bits: int, lower: bool, repeats: bool
+    chunk: Chunk, orders: tuple[int, ...], bits: int, lower: bool, pairs: bool
 ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For words, then each order of byte n-grams: buckets in text order, and where
-    each text's begin and end. ``repeats`` adds a feature for each word that tells
-    whether it is the one before it again: word pairs by what they have in common."""
+    """For words, pairs of neighbouring words if ``pairs`` says so, then each order of
+    n-grams of characters as bytes: buckets in text order, and where each text's begin
+    and end. A pair is hashed by what its two words differ in, whatever their order, so
+    that all pairs of a word and itself have one bucket."""
     shift = np.uint64(64 - bits)
     w = words(chunk)
     digests = word_digests(chunk, w, lower=lower)
     out = [((digests >> shift).astype(np.int64), w.offsets[:-1], w.offsets[1:])]
-    if repeats:
-        again = np.zeros(len(digests), np.int64)
-        again[1:] = (digests[1:] == digests[:-1]) & (w.text[1:] == w.text[:-1])
-        out.append((again, w.offsets[:-1], w.offsets[1:]))
+    if pairs:
+        both = mix(digests[1:] ^ digests[:-1])
+        begin = np.minimum(w.offsets[:-1], len(both))
+        out.append(((both >> shift).astype(np.int64), begin, np.clip(w.offsets[1:] - 1, begin, len(both))))
     data = (LOWER[chunk.data] if lower else chunk.data).astype(np.uint32) + np.uint32(1)
     off = chunk.offsets
     for order in orders:
@@ -50,14 +51,14 @@ def bucket_lists(
 
 
 def averages(
-    texts: pa.Array, weights: np.ndarray, orders: tuple[int, ...], bits: int, lower: bool, repeats: bool = False
+    texts: pa.Array, weights: np.ndarray, orders: tuple[int, ...], bits: int, lower: bool, pairs: bool = False
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each text, the mean weights of its features (rows of ``weights`` by bucket), and how many it has."""
     parts, counts = [np.zeros((0, weights.shape[1]))], [np.zeros(0, np.int64)]
     for chunk in chunks(texts):
         total = np.zeros((len(chunk.offsets) - 1, weights.shape[1]))
         count = np.zeros(len(chunk.offsets) - 1, np.int64)
-        for bucket, begin, end in bucket_lists(chunk, orders, bits, lower, repeats):
+        for bucket, begin, end in bucket_lists(chunk, orders, bits, lower, pairs):
             count += end - begin
             for c in range(weights.shape[1]):
                 run = np.zeros(len(bucket) + 1)
@@ -68,11 +69,11 @@ def averages(
     return np.concatenate(parts), np.concatenate(counts)
 
 
-def sparse_rows(texts: list[str], orders: tuple[int, ...], bits: int, lower: bool, repeats: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+def sparse_rows(texts: list[str], orders: tuple[int, ...], bits: int, lower: bool, pairs: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text: its buckets, and their shares of all its features."""
     out = []
     for chunk in chunks(pa.array(texts, pa.large_string())):
-        lists = bucket_lists(chunk, orders, bits, lower, repeats)
+        lists = bucket_lists(chunk, orders, bits, lower, pairs)
         for i in range(len(chunk.offsets) - 1):
             every = np.concatenate([bucket[begin[i] : end[i]] for bucket, begin, end in lists])
             bucket, count = np.unique(every, return_counts=True)

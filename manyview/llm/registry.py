@@ -135,7 +135,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_quality(docs, ["doc_id"], model)
     return out.select(
         "doc_id",
-        (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
         F.col("__quality_score").alias("score"),
         (F.col("__quality_score") >= 0.3).cast("int").alias("predicted"),
     )
@@ -180,7 +180,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify(docs, ["doc_id"], model)
     return out.select(
         "doc_id",
-        (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
         F.col("__lang").alias("lang_pred"),
         F.col("__lang_score").alias("score"),
     )
