@@ -22,14 +22,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what is in no language: null texts and texts without a letter."""
+    """Drops what the model rejects, which are null texts and texts without a letter,
+    and gives documents without a language the one that the model predicts.
+
+    Labels that are there stay. Where no document has a label, there is no model: what
+    has a letter stays, without a language. Repeated rows stay repeated, an empty table
+    stays empty, and texts are read whole, however long.
+    """
     model = language_id.fit(language_id.learnable(docs))
     out = language_id.identify(docs, COLUMNS, model)
-    return out.where(F.col("__lang") != language_id.UNKNOWN).select(COLUMNS)
+    if not model.languages:
+        return out.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
+    known = F.coalesce(F.col("lang"), F.col("__lang")).alias("lang")
+    return out.where(F.col("__lang") != language_id.UNKNOWN).select("doc_id", "text", known, "source", "n_chars")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes frequent lines out of texts, and drops documents of which no word is left."""
+    """Takes frequent lines out of texts, and drops documents of which no word is left.
+
+    A line stays in the document with the largest id that holds it; where all ids are
+    null, in all. Null and empty texts have no frequent line and stay as they are.
+    Repeated rows are one document, and change alike. An empty table stays empty.
+    """
     out = drop_repeated_lines(docs, COLUMNS)
     kept = F.col("__line_kept")
     left = out.where((F.col("__line_dropped") == 0) | kept.rlike(r"[^\x20\x09-\x0D]"))
@@ -44,16 +58,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, alike in 80 of 100 shingles, the one with the smallest id."""
-    # rows equal in id and text are kept together, so the first of them is taken
+    """Keeps one document of each group of near duplicates, alike in 80 of 100 shingles, the one with the smallest id.
+
+    A null id is never the smallest unless the group has no others. Texts without a word
+    are like nothing and stay. Of rows equal in id and text one stays, with the smallest
+    language, source and size among them. An empty table stays empty.
+    """
     keep = near_duplicates(docs, percent=80).where("keeper").select("id", "row").distinct()
     rows = docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias("key"))
     kept = rows.join(keep, F.expr("doc_id <=> id AND key = row"), "left_semi")
-    return kept.groupBy("doc_id", "key").agg(*[F.first(c).alias(c) for c in COLUMNS[1:]]).select(COLUMNS)
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    return kept.groupBy("doc_id", "key").agg(F.first("text").alias("text"), rest).select("doc_id", "text", "rest.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark, as it is or with other values."""
+    """Drops documents that hold an item of the benchmark, as it is or with other values.
+
+    Null and empty texts hold none and stay; so do all documents if the benchmark is
+    empty. Repeated rows stay or go together. An empty table stays empty.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     held = leaks(docs, benchmark).select("id", "row").distinct()
     rows = docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias("key"))
@@ -61,7 +84,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources in their target shares; a document comes once for each of its copies."""
+    """The sources in their target shares; a document comes once for each of its copies.
+
+    Null sources are one source, the last. Texts without words have no size, and may
+    come or not. Of rows alike in all but their place, it does not matter which comes.
+    An empty table stays empty.
+    """
     out = mix_sources(docs, COLUMNS).where("__mix_copies > 0")
     copies = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
     return out.select(*COLUMNS, copies.alias("copy"))
@@ -80,7 +108,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again."""
+    """All stages over ``documents``, each written and read again; one row for each copy of a document that the mixture takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch, before = Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
