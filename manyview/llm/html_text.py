@@ -3,16 +3,24 @@
 A page's markup is taken off so that each block becomes a line; blocks of menus,
 forms, notices and the like become empty lines, as markup does. The text lengths are
 summed over a sliding window of lines. The sums surge where running text begins and
-dive where it ends; the stretch from surge to dive with the most text is the core.
-The element that holds the core, an article if there is one, gives the text: all its
-blocks are kept, so that short paragraphs at its ends are not lost.
+dive where it ends; the stretch from surge to dive with the most text is the core, of
+every page. The core decides between elements: the innermost one that holds most of it
+gives the text, or the article around it if there is one. All blocks of that element
+are kept, so that short paragraphs at its ends are not lost, and what of the core stands
+before it, a headline or a lead.
+
+Elements are numbered in the order of the page and know what they inherit, so that time
+grows with a page's length, however deep it is.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +29,12 @@ from pyspark.sql import functions as F
 from manyview.llm.worker_code import ship
 
 WINDOW = 3
+#: Characters in a window of running text, if the page has any such.
+SURGE = 80
+#: The part of the core that an element must hold, and an article within another.
+HOLDS, HOLDS_WITHIN = 0.7, 0.9
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
@@ -36,7 +48,6 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-CLOSED_BY_BLOCK = frozenset("p".split())
 ENDS_ITSELF = {"li": "li", "dt": "dt", "dd": "dd", "td": "td", "th": "th", "tr": "tr", "option": "option"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -54,15 +65,11 @@ SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def in_article(names: list[str]) -> bool:
-    return "article" in names or "main" in names
-
-
-def set_apart(tag: str, attributes: str, inside: list[str], marked: bool = True) -> bool:
+def set_apart(tag: str, attributes: str, in_main: bool, marked: bool = True) -> bool:
     """Whether an element is a menu, a form, an advert or another thing beside the
     article; outside of articles, by its class and id only if ``marked``."""
     if tag in ASIDE:
-        return tag != "header" or not in_article(inside)
+        return tag != "header" or not in_main
     if not attributes:
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -73,161 +80,201 @@ def set_apart(tag: str, attributes: str, inside: list[str], marked: bool = True)
             continue
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if (marked or in_article(inside)) and name in ("class", "id"):
+        if (marked or in_main) and name in ("class", "id"):
             for mark in value.split():
                 words = [w.lower() for w in SPLIT.split(mark) if w]
                 # the header of an article, and a heading that is called one, are its text
-                own = words and words[-1] == "header" and (tag in HEADINGS or in_article(inside))
+                own = words and words[-1] == "header" and (tag in HEADINGS or in_main)
                 if words and not own and words[0] not in LAYOUT and (words[0] in MARKS or words[-1] in MARKS):
                     return True
     return False
 
 
-def blocks(html: str, marked: bool = True) -> list[tuple[str, tuple[int, ...], bool]]:
-    """The page's lines: text (empty for what is set apart), the elements around it
-    from the outside in, and whether most of it are links. Elements are numbered;
-    articles have even numbers and others odd ones."""
-    lines: list[tuple[str, tuple[int, ...], bool]] = []
-    names: list[str] = []
-    path: list[int] = []
-    away: list[bool] = []
-    text: list[str] = []
-    linked = total = count = 0
-
-    def flush() -> None:
-        nonlocal linked, total
-        if text:
-            words = " ".join("".join(text).split())
+@dataclass
+class Element:
+    """An open or closed element: the one around it, its last descendant, and what it
+    passes on: whether it is in an article, set apart, in a header, in a heading."""
+
+    tag: str
+    parent: int
+    main: bool = False
+    in_main: bool = False
+    away: bool = False
+    header: bool = False
+    heading: bool = False
+    last: int = 0
+
+
+@dataclass
+class Line:
+    """A block's text (empty for what is set apart), the element around it, and whether most of it are links."""
+
+    text: str
+    element: int
+    linked: bool
+
+
+class Page:
+    """The lines and elements of a page."""
+
+    def __init__(self, html: str, marked: bool = True):
+        self.marked = marked
+        self.lines: list[Line] = []
+        self.elements = [Element("", -1)]
+        self.open = [0]
+        self.at: dict[str, list[int]] = defaultdict(list)  # places in ``open``, by tag
+        self.blocks_open: list[int] = []  # places in ``open``
+        self.text: list[str] = []
+        self.linked = self.total = 0
+        self.read(html)
+        self.flush()
+        self.close(1)
+        self.elements[0].last = len(self.elements) - 1
+
+    def flush(self) -> None:
+        if self.text:
+            words = " ".join("".join(self.text).split())
             if words:
+                inner = self.elements[self.open[-1]]
                 # of an article's own header, only the headings are text
-                apart = any(away) or ("header" in names and not HEADINGS.intersection(names))
-                lines.append(("" if apart else words, tuple(path), 2 * linked > total))
-            text.clear()
-        linked = total = 0
-
-    def pop(to: int) -> None:
-        del names[to:], path[to:], away[to:]
-
-    at, end = 0, len(html)
-    while at < end:
-        found = TAG.search(html, at)
-        piece = html[at : found.start()] if found else html[at:]
-        if piece:
-            text.append(unescape(piece))
-            size = len(piece)
-            total += size
-            if "a" in names:
-                linked += size
-        if not found:
-            break
-        at = found.end()
-        tag = (found[2] or found[5] or "").lower()
-        if not tag:
-            continue
-        closing = (found[1] or found[4]) == "/"
-        attributes = found[3] or found[6] or ""
-        if tag == "br":
-            text.append(" ")
-        if tag in BLOCK:
-            flush()
-        if closing:
-            if tag in names:
-                pop(len(names) - 1 - names[::-1].index(tag))
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else (end if tag != "title" else at)
-            continue
-        if tag in BLOCK:
-            if names and tag in ENDS_ITSELF and ENDS_ITSELF[tag] in names[-3:]:
-                pop(len(names) - 1 - names[::-1].index(ENDS_ITSELF[tag]))
-            # an open paragraph ends where a block begins, with what was left open in it
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in CLOSED_BY_BLOCK:
-                    pop(i)
-                    break
-                if names[i] in BLOCK:
-                    break
-        if tag in VOID or attributes.endswith("/"):
-            continue
-        count += 1
+                apart = inner.away or (inner.header and not inner.heading)
+                self.lines.append(Line("" if apart else words, self.open[-1], 2 * self.linked > self.total))
+            self.text.clear()
+        self.linked = self.total = 0
+
+    def close(self, to: int) -> None:
+        """Elements from place ``to`` on end."""
+        while len(self.open) > to:
+            element = self.elements[self.open.pop()]
+            element.last = len(self.elements) - 1
+            self.at[element.tag].pop()
+            if self.blocks_open and self.blocks_open[-1] == len(self.open):
+                self.blocks_open.pop()
+
+    def begin(self, tag: str, attributes: str) -> None:
+        around = self.elements[self.open[-1]]
         main = tag in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes
-        names.append(tag)
-        path.append(2 * count + (0 if main else 1))
-        away.append(set_apart(tag, attributes, names[:-1], marked))
-    flush()
-    return lines
+        self.at[tag].append(len(self.open))
+        if tag in BLOCK:
+            self.blocks_open.append(len(self.open))
+        apart = around.away or set_apart(tag, attributes, around.in_main, self.marked)
+        element = Element(tag, self.open[-1], main, main or around.in_main, apart, around.header or tag == "header", around.heading or tag in HEADINGS)
+        self.open.append(len(self.elements))
+        self.elements.append(element)
+
+    def read(self, html: str) -> None:
+        at, end = 0, len(html)
+        unclosed: set[str] = set()
+        while at < end:
+            found = TAG.search(html, at)
+            piece = html[at : found.start()] if found else html[at:]
+            if piece:
+                self.text.append(unescape(piece))
+                self.total += len(piece)
+                if self.at["a"]:
+                    self.linked += len(piece)
+            if not found:
+                break
+            at = found.end()
+            tag = (found[2] or found[5] or "").lower()
+            if not tag:
+                continue
+            closing = (found[1] or found[4]) == "/"
+            attributes = found[3] or found[6] or ""
+            if tag == "br":
+                self.text.append(" ")
+            if tag in BLOCK:
+                self.flush()
+            if closing:
+                if self.at[tag]:
+                    self.close(self.at[tag][-1])
+                continue
+            if tag in RAW:
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+                if close is None:
+                    unclosed.add(tag)
+                at = close.end() if close else (end if tag != "title" else at)
+                continue
+            if tag in BLOCK:
+                ended = self.at[ENDS_ITSELF[tag]] if tag in ENDS_ITSELF else []
+                if ended and ended[-1] >= len(self.open) - 3:
+                    self.close(ended[-1])
+                # an open paragraph ends where a block begins, with what was left open in it
+                if self.blocks_open and self.elements[self.open[self.blocks_open[-1]]].tag == "p":
+                    self.close(self.blocks_open[-1])
+            if tag in VOID or attributes.endswith("/"):
+                continue
+            self.begin(tag, attributes)
 
 
-def core(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
-    """First and last-but-one line of the stretch from a surge to the next dive that has the most text."""
+def core(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+    """First and last-but-one line of the stretch from a surge to the next dive that has
+    the most text. Window sums surge to ``surge`` or, if none is so large, to the largest."""
+    before = [0, *accumulate(lengths)]
     n = len(lengths)
-    sums = [sum(lengths[i : i + window]) for i in range(n)]
+    sums = [before[min(n, i + window)] - before[i] for i in range(n)]
+    least = max(1, min(surge, max(sums, default=0)))
     best, i = (0, 0, 0), 0
     while i < n:
-        if not sums[i]:
+        if sums[i] < least:
             i += 1
             continue
         begin = i
-        while i < n and sums[i]:
+        while i < n and sums[i] >= least:
             i += 1
-        total = sum(lengths[begin:i])
+        end = min(n, i + window - 1)
+        total = before[end] - before[begin]
         if total > best[0]:
-            best = (total, begin, i)
-    return best[1], best[2]
+            best = (total, begin, end)
+    begin, end = best[1:]
+    while begin < end and not lengths[begin]:
+        begin += 1
+    while end > begin and not lengths[end - 1]:
+        end -= 1
+    return begin, end
 
 
 def main_text(html: str) -> str:
     """The blocks of the main text, joined by an empty line. Where the class or id of
     what is around an article sets all of it apart, it is not believed."""
-    return text_of(blocks(html or "")) or text_of(blocks(html or "", marked=False), articles=True)
-
+    return text_of(Page(html or "")) or text_of(Page(html or "", marked=False), articles=True)
 
-def heaviest(lines: list[tuple[str, tuple[int, ...], bool]], lengths: list[int], within: int | None) -> tuple[int | None, int]:
-    """The article or main element with the most text, nearest to ``within``, and that text's length."""
-    weight: dict[int, int] = {}
-    for (_, path, _), size in zip(lines, lengths, strict=True):
-        inner = path if within is None else path[path.index(within) + 1 :] if within in path else ()
-        outer = next((p for p in inner if p % 2 == 0), None)
-        if size and outer is not None:
-            weight[outer] = weight.get(outer, 0) + size
-    best = max(weight, key=weight.get, default=None)
-    return best, weight.get(best, 0)
 
-
-def text_of(lines: list[tuple[str, tuple[int, ...], bool]], articles: bool = False) -> str:
-    """The main text of a page's lines; only that of articles, if so asked."""
-    in_main = [bool(t) and any(p % 2 == 0 for p in path) for t, path, _ in lines]
+def text_of(page: Page, articles: bool = False) -> str:
+    """The main text of a page; only that of articles, if so asked."""
+    lines, elements = page.lines, page.elements
     # outside of articles, lines of links are menus
-    lengths = [0 if links and not inside else len(t) for (t, _, links), inside in zip(lines, in_main, strict=True)]
-    if any(in_main):
-        lengths = [size if inside else 0 for size, inside in zip(lengths, in_main, strict=True)]
-        holder, most = heaviest(lines, lengths, None)
-        while True:
-            # an article within has the text if it has most of it
-            inner, size = heaviest(lines, lengths, holder)
-            if inner is None or size < 0.7 * most:
-                return "\n\n".join(t for t, path, _ in lines if t and holder in path)
-            holder, most = inner, size
-    if articles:
-        return ""
+    lengths = [0 if line.linked and not elements[line.element].in_main else len(line.text) for line in lines]
     begin, end = core(lengths)
-    whole = sum(lengths[begin:end])
-    if not whole:
+    if begin == end:
+        return ""
+    # how much of the core an element holds, and how many lines
+    weight, count = [0] * len(elements), [0] * len(elements)
+    for i, line in enumerate(lines):
+        count[line.element] += bool(line.text)
+        if begin <= i < end:
+            weight[line.element] += lengths[i]
+    heaviest = [0] * len(elements)
+    for e in range(len(elements) - 1, 0, -1):
+        up = elements[e].parent
+        weight[up] += weight[e]
+        count[up] += count[e]
+        if not heaviest[up] or weight[e] >= weight[heaviest[up]]:
+            heaviest[up] = e
+    whole, holder, article = weight[0], 0, 0
+    step = heaviest[0]
+    while step and weight[step] >= HOLDS * whole:
+        if elements[step].main and weight[step] >= (HOLDS_WITHIN if article else HOLDS) * whole:
+            article = step
+        if count[step] > 1:
+            holder = step
+        step = heaviest[step]
+    if articles and not article:
         return ""
-    depth, holder = 0, None
-    while True:
-        # the element a step further in that still has most of the core
-        weight: dict[int, int] = {}
-        for (_, path, _), size in zip(lines[begin:end], lengths[begin:end], strict=True):
-            if len(path) > depth and (holder is None or holder in path):
-                weight[path[depth]] = weight.get(path[depth], 0) + size
-        best = max(weight, key=weight.get, default=None)
-        single = best is not None and sum(best in path for _, path, _ in lines) == 1
-        if best is None or single or weight[best] < 0.7 * whole:
-            break
-        holder, depth = best, depth + 1
-    return "\n\n".join(t for (t, path, _), size in zip(lines, lengths, strict=True) if size and (holder is None or holder in path))
+    holder = article or holder
+    last = elements[holder].last
+    kept = [line.text for i, line in enumerate(lines) if line.text and (holder <= line.element <= last or (begin <= i < end and lengths[i] and line.element < holder))]
+    return "\n\n".join(kept)
 
 
 def extract(batches: Iterator[pa.RecordBatch], carried: int) -> Iterator[pa.RecordBatch]:
@@ -243,7 +290,9 @@ def extract_text(pages: DataFrame, carry: list[str], *, html: str = "html") -> D
     """Columns ``carry`` of every row, with ``__html_text`` and ``__html_chars``.
 
     Null and empty pages give an empty text, as do pages of nothing but markup and
-    menus. Rows are independent: nothing is shuffled, and repeated rows repeat.
+    menus. Of stretches with equally much text, the first is the core. Whole pages are
+    read, in time that grows with their length. Rows are independent: nothing is
+    shuffled, repeated rows repeat, and an empty table gives an empty result.
     Columns of ``pages`` beside ``carry`` are not read; names that begin with
     ``__html_`` are reserved.
     """

@@ -1,6 +1,7 @@
 """Decontamination, web pages, licenses, mixing and search against plain Python."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from manyview.llm import registry
 from manyview.llm.decontamination import leaks, template
-from manyview.llm.html_text import blocks, core, extract_text, main_text
+from manyview.llm.html_text import Page, core, extract_text, main_text
 from manyview.llm.license_rules import rules
 from manyview.llm.license_scan import scan_licenses
 from manyview.llm.mixing import mix_sources
@@ -144,9 +145,32 @@ def test_odd_pages(page, text):
 
 
 def test_core_is_the_largest_stretch():
-    assert core([0, 0, 5, 0, 0, 0, 0, 40, 50, 0, 60, 0, 0, 0, 9]) == (5, 11)
+    assert core([0, 0, 5, 0, 0, 0, 0, 40, 50, 0, 60, 0, 0, 0, 9]) == (7, 11)
     assert core([]) == (0, 0)
-    assert [t for t, _, _ in blocks("<nav>a</nav><p>b")] == ["", "b"]
+    assert [line.text for line in Page("<nav>a</nav><p>b").lines] == ["", "b"]
+
+
+def test_the_core_decides_between_elements():
+    """The text is in a division, while articles are cards of other stories."""
+    text = "<p>This is the story itself, told in some sentences that go on.</p>" * 6
+    cards = "".join(f"<article><h3>Card {i}</h3><p>Teaser</p></article>" for i in range(4))
+    assert main_text(f"<body><div>{cards}</div><nav>m</nav><nav>m</nav><nav>m</nav><div>{text}</div></body>").split("\n\n") == ["This is the story itself, told in some sentences that go on."] * 6
+    # a headline and a lead beside an article are kept with it
+    lead = "<h2>A headline</h2><p>And a lead that says in one sentence what the story is.</p>"
+    assert main_text(f"<main>{lead}<article>{text}</article></main>").startswith("A headline\n\nAnd a lead")
+    assert main_text(f"<body>{lead}<article>{text}</article></body>").startswith("A headline\n\nAnd a lead")
+
+
+def test_links_within_the_text_stay():
+    page = "<article><p>Long text that runs on for a while, with no link in it at all.</p><p><a href=x>A link of its own</a></p></article>"
+    assert main_text(page).endswith("A link of its own")
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 20000, "<b>x" * 9000 + "<div>y</div>" * 9000, "<title>" * 20000, "<!" * 50000, "<article>" * 9000 + "text"])
+def test_deep_pages_take_little_time(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 5
 
 
 def test_extract(spark):
