@@ -86,7 +86,8 @@ def feed_page(
     stories: DataFrame, articles: DataFrame, sources: DataFrame, size: int = 6, topic: str | None = None, after: tuple | None = None
 ) -> Page:
     """The page with its cursor, which is the last story's before the topic is looked for."""
-    keys = page_of(stories.select(*RECENCY, "status"), size + 1, after).collect()
+    rows = published(stories.select(*RECENCY, "status"), after)
+    keys = rows.orderBy(*[F.desc(c) for c in RECENCY]).limit(size + 1).collect()
     cursor = tuple(keys[min(size, len(keys)) - 1][c] for c in RECENCY) if keys else after
     return Page(feed(stories, articles, sources, size, topic, after), cursor, len(keys) <= size)
 
@@ -109,7 +110,9 @@ def story_page(stories: DataFrame, articles: DataFrame, sources: DataFrame, slug
     null article if it has none; no row if there is no such story, whatever its status."""
     story = unique(stories.where(F.col("slug") == slug).drop("embedding"), f"slug {slug}")
     outlets = sources.select(F.col("_id").alias("sourceId"), F.struct(*sources.columns).alias("source"))
-    mine = articles.drop("embedding").join(outlets, "sourceId", "left")
+    # one story at most, so its key goes to the articles, and only its own meet the outlets
+    key = F.broadcast(stories.where(F.col("slug") == slug).select(F.col("_id").alias("eventId")).limit(1))
+    mine = articles.drop("embedding").join(key, "eventId", "left_semi").join(outlets, "sourceId", "left")
     packed = mine.select(F.col("eventId"), F.struct(*[c for c in mine.columns]).alias("article"))
     story = story.select(F.col("_id").alias("storyId"), F.struct(*story.columns).alias("story"))
     return story.join(packed, F.col("storyId") == F.col("eventId"), "left").select("story", "article").orderBy("article._creationTime", "article._id")

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.functions import bias, display, urls
-from manyview.operators import ingest, readers, similarity, stories, users
+from manyview.operators import ingest, readers, similarity, stories, todos, users
 from manyview.sources import adapters
+from manyview.sources.schema import schema
+from manyview.sources.store import SEEDED, Store
 from manyview.streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,7 +78,7 @@ def feed_topic_within_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of 60; the topic is looked for within it, so fewer are left."""
     s, a, o = _tables(spark, d, True)
     # topics are joined to the page's stories only, as the page does not depend on them
-    page = stories.about(adapters.with_topics(spark, d, stories.page_of(s, 60)), 2).drop("embedding")
+    page = stories.about(adapters.with_topics(spark, d, stories.page_of(s, 60), page=True), 2).drop("embedding")
     return _flat(stories.with_sources(page, a, o))
 
 
@@ -113,14 +115,16 @@ WITH {S_TOPICS}, page AS (
 ), {S_OUTLETS}, named AS (
   SELECT o_orderkey AS k2, (SELECT r_name FROM region WHERE r_regionkey = t[1]) AS topic FROM page
 )
-SELECT o_orderkey AS story, 'Story ' || o_orderkey || ' of ' || o_orderpriority AS title, coalesce(topic, 'General') AS topic, coalesce(topic, 'General') AS image,
+SELECT o_orderkey AS story, 'Story ' || o_orderkey || ' of ' || o_orderpriority AS title, coalesce(topic, 'General') AS topic,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'https://images.example.org/' || o_orderkey ELSE coalesce(topic, 'General') END AS image,
        array_to_string(string_split(coalesce(outlets, ''), ',')[1:5], ',') AS outlets,
        coalesce(articles, 0) || CASE WHEN articles = 1 THEN ' article' ELSE ' articles' END AS articles
 FROM page LEFT JOIN facts ON k = o_orderkey LEFT JOIN named ON k2 = o_orderkey
 """)
 def feed_cards(spark: SparkSession, d: str) -> DataFrame:
     s, a, o = _tables(spark, d, True)
-    page = adapters.with_topics(spark, d, stories.page_of(s, 60)).drop("embedding").withColumn("imageUrl", F.lit(""))
+    page = adapters.with_topics(spark, d, stories.page_of(s, 60), page=True).drop("embedding")
+    page = page.withColumn("imageUrl", F.when(F.col("_id") % 2 == 0, F.concat(F.lit("https://images.example.org/"), "_id")).otherwise(""))
     shown = stories.cards(stories.with_sources(page, a, o), adapters.topics(spark, d))
     return shown.select(F.col("_id").alias("story"), "title", "topic", "image", F.array_join("outlets", ",").alias("outlets"), "articles")
 
@@ -403,13 +407,13 @@ S_PAIRS = "list_sum([a.v[i] * b.v[i] FOR i IN range(1, len(a.v) + 1)])"
 
 
 @query(f"""
-WITH {S_UNITS}, s AS (SELECT a.vec_id AS query, b.vec_id AS key, {S_PAIRS} AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20),
+WITH {S_UNITS}, s AS (SELECT a.vec_id AS query, b.vec_id AS key, {S_PAIRS} AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, key)::INT AS rank FROM s)
 SELECT query, rank, key, round(c, 6) AS similarity FROM r WHERE rank <= 5
 """)
 def related_by_vector(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
-    out = similarity.nearest(rows.where("_id < 20"), rows, 5)
+    out = similarity.nearest(rows.where("_id % 50 = 0"), rows, 5)
     return out.select("query", "rank", "key", F.round("similarity", 6).alias("similarity"))
 
 
@@ -431,8 +435,8 @@ def embeddings_outdated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _insights(spark: SparkSession, d: str) -> DataFrame:
-    """An insight for each order of a tenth of the customers, with times from the order's date."""
-    rows = adapters.stories(spark, d).where("customer % 10 = 0")
+    """An insight for each order, with times from the order's date."""
+    rows = adapters.stories(spark, d)
     made = F.col("firstPublishedAt")
     return rows.select(
         F.col("_id"),
@@ -446,7 +450,7 @@ def _insights(spark: SparkSession, d: str) -> DataFrame:
 
 S_MS = "epoch_ms(o_orderdate)"
 S_MID = 946684800000
-S_INSIGHTS = f"(SELECT o_orderkey AS k, o_custkey AS c, {S_MS} AS t FROM orders WHERE o_custkey % 10 = 0)"
+S_INSIGHTS = f"(SELECT o_orderkey AS k, o_custkey AS c, {S_MS} AS t FROM orders)"
 
 
 @query(f"SELECT k AS insight, c AS user_id FROM {S_INSIGHTS} WHERE t + 2 * 86400000 > {S_MID} AND k % 3 - 1 >= 0")
@@ -498,15 +502,20 @@ def interactions_by_day(spark: SparkSession, d: str) -> DataFrame:
     return readers.by_day(adapters.interactions(spark, d)).withColumn("day", F.col("day").cast("string"))
 
 
-def _streamed(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
-    name = f"streamed_{uuid.uuid4().hex}"
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="manyview-")
-    activity.to_table(out, name, f"{root}/{name}", mode).awaitTermination()
-    return spark.table(name)
+    return root
+
+
+def _streamed(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
+    name, root = f"streamed_{uuid.uuid4().hex}", _shared(spark)
+    activity.to_files(out, f"{root}/{name}/out", f"{root}/{name}/state", mode).awaitTermination()
+    return activity.written(spark, f"{root}/{name}/out", out.schema, mode)
 
 
 @query("""
@@ -542,3 +551,101 @@ def streamed_once(spark: SparkSession, d: str) -> DataFrame:
     """The log read twice over: each event comes once."""
     rows = activity.read_activity(spark, d)
     return _streamed(spark, activity.once(rows.unionByName(rows)).select("event_id", "event_type"), "append")
+
+
+@query("""
+WITH p AS (SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 60)
+SELECT 60 AS size, arg_min(o_orderkey, row(o_orderdate, o_orderkey)) AS cursor, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') <= 60 AS done FROM p
+UNION ALL SELECT 1000, -1, true
+""")
+def feed_cursors(spark: SparkSession, d: str) -> DataFrame:
+    """The cursor of a page with more behind it; a page after the last story has no row (-1), and is done."""
+    s, a, o = _tables(spark, d, True)
+    page = stories.feed_page(s, a, o, 60)
+    end = stories.feed_page(s, a, o, 1000, after=(float("-inf"), 0.0, 0))
+    rows = [(60, page.cursor[2], page.done), (1000, end.stories.count() - 1, end.done)]
+    return spark.createDataFrame(rows, "size int, cursor long, done boolean")
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{_shared(spark)}/store_{uuid.uuid4().hex}")
+
+
+def _rows_of(store: Store) -> DataFrame:
+    return stories.counts(**{t: store.read(t) for t in (*SEEDED, "users")})
+
+
+@query("""
+SELECT * FROM (VALUES ('topics', 2), ('sources', 3), ('stories', 2), ('articles', 6), ('users', 0), ('first: seeded', 1), ('second: already seeded', 1), ('dimension', 1536)) t(name, n)
+""")
+def seeded(spark: SparkSession, d: str) -> DataFrame:
+    """The seed twice: the second time there is a topic, and nothing is written."""
+    store = _store(spark)
+    said = [(f"{turn}: {store.seed()}", 1) for turn in ("first", "second")]
+    wide = store.read("stories").agg(F.max(F.size("embedding")).cast("long").alias("n")).select(F.lit("dimension").alias("name"), "n")
+    return _rows_of(store).unionByName(spark.createDataFrame(said, "name string, n long")).unionByName(wide)
+
+
+@query("SELECT name, CASE WHEN name = 'users' THEN (SELECT count(*) FROM customer) ELSE 0 END AS n FROM (VALUES ('topics'), ('sources'), ('stories'), ('articles'), ('users')) t(name)")
+def cleared(spark: SparkSession, d: str) -> DataFrame:
+    """Clearing empties what the seed writes, and leaves users alone."""
+    store = _store(spark)
+    store.seed()
+    store.insert("users", adapters.users(spark, d).select(*schema("users").names))
+    store.clear()
+    return _rows_of(store)
+
+
+@query("SELECT * FROM (VALUES ('nobody', 'Not authenticated'), ('stranger', 'User not found - please refresh and try again')) t(who, error)")
+def account_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for who, identity in (("nobody", None), ("stranger", "auth:none")):
+        try:
+            users.update_profile(adapters.users(spark, d), identity, {"job": "Editor"})
+        except users.AccountError as error:
+            rows.append((who, str(error)))
+    return spark.createDataFrame(rows, "who string, error string")
+
+
+@query("""
+WITH days AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events),
+runs AS (SELECT user_id, day - (row_number() OVER (PARTITION BY user_id ORDER BY day))::INT AS g, day FROM days),
+lengths AS (SELECT user_id, g, count(*) AS n, max(day) AS last FROM runs GROUP BY 1, 2),
+streaks AS (SELECT user_id, coalesce(max(n) FILTER (last >= DATE '2024-01-31' - 1), 0) AS current, max(n) AS longest FROM lengths GROUP BY 1),
+opened AS (SELECT user_id, count(*) AS n, avg((event_id % 11 - 5)::DOUBLE) * 100 / 5 AS balance FROM events WHERE event_type = 'click' GROUP BY 1)
+SELECT 'users:' || c_custkey AS user_id, coalesce(current, 0)::DOUBLE AS current_streak, coalesce(longest, 0)::DOUBLE AS longest_streak,
+       coalesce(n, 0)::DOUBLE AS articles_read, round(coalesce(balance, 0), 6) AS bias_balance
+FROM customer LEFT JOIN streaks s ON s.user_id = c_custkey LEFT JOIN opened o ON o.user_id = c_custkey AND s.user_id IS NOT NULL
+""")
+def reader_stats_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    log = adapters.interactions(spark, d).withColumn("userId", F.concat(F.lit("users:"), "userId"))
+    out = readers.refreshed_stats(adapters.users(spark, d), log, NOW)
+    return out.select(
+        F.col("_id").alias("user_id"),
+        F.col("stats.currentStreak").alias("current_streak"),
+        F.col("stats.longestStreak").alias("longest_streak"),
+        F.col("stats.articlesRead").alias("articles_read"),
+        F.round("stats.biasBalance", 6).alias("bias_balance"),
+    )
+
+
+def _todos(spark: SparkSession, d: str) -> DataFrame:
+    """One for each customer, half of them done; every third is asked for with white space around it, every tenth is empty."""
+    n = F.col("c_custkey")
+    text = F.when(n % 10 == 0, "  ").when(n % 3 == 0, F.concat(F.lit(" "), "c_name", F.lit("  "))).otherwise(F.col("c_name"))
+    asked = adapters.load(spark, d, "customer").select(n.cast("string").alias("_id"), text.alias("text"))
+    made = todos.create(spark.createDataFrame([], todos.DDL), asked, NOW)
+    return todos.toggle(made, made.where(F.col("_id").cast("long") % 2 == 0).select("_id", F.lit(True).alias("completed")))
+
+
+@query("SELECT c_custkey::VARCHAR AS todo, c_name AS text, c_custkey % 2 = 0 AS completed FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 7 <> 0")
+def todos_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Created, toggled and every seventh deleted."""
+    rows = _todos(spark, d)
+    out = todos.delete(rows, rows.where(F.col("_id").cast("long") % 7 == 0))
+    return todos.every(out).select(F.col("_id").alias("todo"), "text", "completed")
+
+
+@query("SELECT count(*) FILTER (c_custkey % 2 = 0) AS done, count(*) AS n FROM customer WHERE c_custkey % 10 <> 0")
+def todos_counted(spark: SparkSession, d: str) -> DataFrame:
+    return todos.completed(_todos(spark, d))

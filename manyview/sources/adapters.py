@@ -70,10 +70,13 @@ def topics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def with_topics(spark: SparkSession, folder: str, some: DataFrame) -> DataFrame:
-    """Stories with ``topicIds``: the sorted regions of their suppliers."""
+def with_topics(spark: SparkSession, folder: str, some: DataFrame, page: bool = False) -> DataFrame:
+    """Stories with ``topicIds``: the sorted regions of their suppliers. The keys of a
+    ``page``, which has a largest size, go to the lines first."""
     place = load(spark, folder, "supplier").join(load(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
     lines = load(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    if page:
+        lines = lines.join(F.broadcast(some.select(F.col("_id").alias("l_orderkey"))), "l_orderkey", "left_semi")
     each = lines.join(place, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("n_regionkey")).alias("topicIds"))
     out = some.join(each, F.col("_id") == F.col("l_orderkey"), "left").drop("l_orderkey")
     return out.withColumn("topicIds", F.coalesce("topicIds", F.array().cast("array<int>")))

@@ -40,7 +40,23 @@ def sessions(activity: DataFrame, gap: str = "30 minutes", late: str = LATE) ->
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "user_id", "n", "total")
 
 
-def to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Run over what is there and stop. Complete mode gives every group once; in append
-    mode the groups that late events could still change are held back."""
-    return stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_files(stream: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+    """Run over what is there, write Parquet files and stop. In append mode the groups
+    that late events could still change are held back. Complete mode gives every group
+    once: each batch is a folder of its own, and the last one counts (``written``)."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        return writer.format("parquet").option("path", folder).start()
+    return writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/{number:012d}")).start()
+
+
+def written(spark: SparkSession, folder: str, schema: StructType, mode: str = "complete") -> DataFrame:
+    """What ``to_files`` wrote; of complete batches the last."""
+    if mode != "append":
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = sorted(s.getPath().getName() for s in system.listStatus(path)) if system.exists(path) else []
+        if not done:
+            return spark.createDataFrame([], schema)
+        folder = f"{folder}/{done[-1]}"
+    return spark.read.schema(schema).parquet(folder)
