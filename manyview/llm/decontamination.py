@@ -17,15 +17,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from manyview.llm.scratch import Scratch
 from manyview.llm.text_columns import row_key
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+#: Around a run of capitals: its first word if that may only be a sentence's, and the words after it.
+RUN, FIRST, REST = "\u0004", "\u0005", "\u0006"
+MARKS = NAME + NUMBER + UNIT + RUN + FIRST + REST
 CAPITAL = r"\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{M}])"
 CAPITALS = rf"{CAPITAL}(?:\s{{1,4}}{CAPITAL})*+"
+WITHIN = r"(?<=[\p{L}\p{N},;]\s{1,4})"
 #: Names in two ways of reading: capitals within a sentence, after a word or a comma and a little white space; all capitals.
-NAME_RE = {"inner": rf"(?<=[\p{{L}}\p{{N}},;]\s{{1,4}}){CAPITALS}", "every": rf"(?<![\p{{L}}\p{{M}}]){CAPITALS}"}
+NAME_RE = {"inner": f"{WITHIN}{CAPITALS}", "every": rf"(?<![\p{{L}}\p{{M}}]){CAPITALS}"}
+RUN_RE = rf"(?<![\p{{L}}\p{{M}}])(?:{WITHIN}{CAPITALS}|({CAPITAL})((?:\s{{1,4}}{CAPITAL})*+))"
+#: What of a marked run is a name.
+READ_AS = {"inner": f"{RUN}{FIRST}{REST}|{FIRST}[^{REST}]+{REST}", "every": f"{RUN}[^{REST}]*{REST}"}
 NUMBER_RE = r"\p{N}+(?:[.,:]\p{N}+)*"
 # Units, spelled out or short, after a number.
 UNITS = (
@@ -33,7 +41,7 @@ UNITS = (
     "ml|l|lit(?:er|re)s?|gallons?|cups?|s|ms|sec|secs|seconds?|min|mins|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|"
     "usd|eur|gbp|dollars?|euros?|cents?|percent|degrees?|celsius|fahrenheit|mph|kmh|hz|khz|mhz|w|kw|kwh|v|a|b|kb|mb|gb|tb"
 )
-UNIT_RE = rf"(?<={NUMBER}\s{{0,4}})(?:{UNITS})(?![\p{{L}}\p{{M}}])"
+UNIT_RE = rf"{NUMBER}(\s{{0,4}})(?:{UNITS})(?![\p{{L}}\p{{M}}])"
 TEMPLATE_WORD = rf"[\p{{L}}\p{{M}}]+|[{NAME}{NUMBER}{UNIT}]"
 PLAIN_WORD = rf"{NUMBER_RE}|[\p{{L}}\p{{M}}]+"
 #: A word of the template with its value, once names are marked.
@@ -42,18 +50,31 @@ VALUE_WORD = rf"{NAME}{CAPITALS}|{PLAIN_WORD}"
 BROADCAST_WINDOWS = 200_000
 
 
-def template(text: Column, names: str = "inner") -> Column:
-    """The words of a text's template."""
-    marks = F.translate(text, NAME + NUMBER + UNIT, "   ")
-    named = F.lower(F.regexp_replace(marks, NAME_RE[names], NAME))
-    counted = F.regexp_replace(named, NUMBER_RE, NUMBER)
-    return F.regexp_extract_all(F.regexp_replace(counted, UNIT_RE, UNIT), F.lit(TEMPLATE_WORD), 0)
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def unmarked(text: Column) -> Column:
+    """The text with a space for each of the characters that serve as marks here."""
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in MARKS])
+    return F.when(odd, F.translate(text, MARKS, " " * len(MARKS))).otherwise(text)
+
+
+def marked(text: Column) -> Column:
+    """The text in lower case, its runs of capitals marked, with placeholders for numbers and units."""
+    runs = F.lower(F.regexp_replace(unmarked(text), RUN_RE, f"{RUN}$1{FIRST}$2{REST}"))
+    return F.regexp_replace(F.regexp_replace(runs, NUMBER_RE, NUMBER), UNIT_RE, f"{NUMBER}$1{UNIT}")
+
+
+def template(marked: Column, names: str = "inner") -> Column:
+    """The words of the template of a text that is ``marked``."""
+    return F.regexp_extract_all(F.regexp_replace(marked, READ_AS[names], NAME), F.lit(TEMPLATE_WORD), 0)
 
 
 def template_values(text: Column, names: str) -> Column:
     """What the words of the template stand for, in lower case; the words of a name with one space between."""
-    marks = F.translate(text, NAME + NUMBER + UNIT, "   ")
-    found = F.regexp_extract_all(F.regexp_replace(marks, NAME_RE[names], NAME + "$0"), F.lit(VALUE_WORD), 0)
+    found = F.regexp_extract_all(F.regexp_replace(unmarked(text), NAME_RE[names], NAME + "$0"), F.lit(VALUE_WORD), 0)
     return F.transform(found, lambda v: F.regexp_replace(F.lower(F.translate(v, NAME, "")), r"\s+", " "))
 
 
@@ -63,10 +84,20 @@ def plain_words(text: Column) -> Column:
 
 
 def window_digests(words: str, width: int) -> Column:
-    """Digests of windows of ``width`` words, one for each word; ``words`` names a column."""
-    last = F.size(words) - (width - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i, width)))
+    """Digests of windows of ``width`` words, one for each word; ``words`` names a column.
+    Those of twice as many words come from those of half, so that no window is copied."""
+
+    def pairs(digests: Column, apart: int) -> Column:
+        return F.transform(digests, lambda x, i: F.xxhash64(x, F.get(digests, i + apart)))
+
+    def grown(digests: Column, size: int) -> Column:
+        if 2 * size <= width:
+            return bound(pairs(digests, size), lambda d: grown(d, 2 * size))
+        # the last step takes two that overlap
+        whole = pairs(digests, width - size) if size < width else digests
+        return F.slice(whole, 1, F.greatest(F.size(digests) - (width - 1), F.lit(0)))
+
+    return bound(F.transform(F.col(words), lambda x: F.xxhash64(x)), lambda d: grown(d, 1))
 
 
 def chains(hits: str, width: Column, reach: Column, drift: Column) -> Column:
@@ -152,11 +183,18 @@ def leaks(
     of three words, two of them literal. Items of which no window after the first
     counts, such as lists of names, are held if all their words, names and numbers
     included, follow each other in a document. Items of fewer than three words, null
-    texts and null items are never found. Rows equal in id and text give one result.
-    Other columns are not read.
+    texts and null items are never found. Two values of an item may become one, as other
+    questions may ask for the same number twice. Rows equal in id and text give one
+    result, as do items. Whole texts are read, however long; an empty table or benchmark
+    gives an empty result. Windows that many items share are not asked for where an item
+    has rarer ones, so that documents meet only items that they can hold. Other columns
+    are not read.
     """
-    def views(said: Column) -> list[Column]:
-        return [template(said, "inner").alias("inner"), template(said, "every").alias("every"), plain_words(said).alias("plain")]
+    def viewed(rows: DataFrame, said: str, *more: Column) -> DataFrame:
+        """``rows`` with the words of the text ``said`` in each way of reading it."""
+        readings = [template(F.col("marked"), names).alias(names) for names in NAME_RE]
+        kept = [c for c in rows.columns if c != said]
+        return rows.withColumn("marked", marked(F.col(said))).select(*kept, *readings, plain_words(F.col(said)).alias("plain"), *more)
 
     def values(said: Column) -> list[Column]:
         return [template_values(said, names).alias(f"{names}_values") for names in NAME_RE]
@@ -164,7 +202,7 @@ def leaks(
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
     items = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("said")).where("item IS NOT NULL AND said IS NOT NULL").distinct()
-    items = items.select("item", F.xxhash64("said").alias("text_key"), *views(F.col("said")), *values(F.col("said")))
+    items = viewed(items.withColumn("text_key", F.xxhash64("said")), "said", *values(F.col("said")))
     items = scratch.table(items, "items")
     keyed = docs.select(F.col(doc_id).alias("id"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
     blank = F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT))
@@ -190,23 +228,31 @@ def leaks(
     kinds = [tuple(r["kind"].split(" ")) for r in wanted.select("kind").distinct().orderBy("kind").collect()]
     if not kinds:
         return keyed.where("false").select("id", "row", F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("covered"), F.lit(True).alias("same"))
-    told = keyed.select("id", "row", *views(F.col("text")))
+    exact = F.startswith("kind", F.lit("plain"))
+    sizes = wanted.groupBy("kind", "item", "text_key").agg(F.count("*").alias("windows"))
+    sizes = scratch.table(sizes.withColumn("enough", F.ceil(F.col("windows") * F.when(exact, F.lit(1.0)).otherwise(F.lit(cover)))), "sizes")
+    # a document with enough windows of an item has one of any that are more than the rest; the item's rarest ones are asked for
+    common = wanted.groupBy("kind", "w").agg(F.count("*").alias("common"))
+    turn = F.row_number().over(Window.partitionBy("kind", "item", "text_key").orderBy("common", "at"))
+    probes = wanted.join(common, ["kind", "w"]).withColumn("turn", turn).join(sizes, ["kind", "item", "text_key"])
+    probes = scratch.table(probes.where(F.col("turn") <= F.col("windows") - F.col("enough") + 1).select("kind", "item", "text_key", "w").distinct(), "probes")
+    told = viewed(keyed, "text")
     met = told.select("id", "row", F.explode(F.concat(*[window_digests(kind, int(size)) for kind, size in kinds])).alias("w"))
-    met = scratch.table(met.join(small(wanted.select("w").distinct()), "w").select("id", "row").distinct(), "met")
+    met = scratch.table(met.join(small(probes.select("w").distinct()), "w").select("id", "row").distinct(), "met")
     texts = keyed.alias("k").join(met.alias("m"), F.expr("k.id <=> m.id AND k.row = m.row"), "left_semi").distinct()
-    told = scratch.table(texts.select("id", "row", *views(F.col("text")), *values(F.col("text"))), "told")
+    told = scratch.table(viewed(texts, "text", *values(F.col("text"))), "told")
     here = [told.select("id", "row", F.lit(f"{k} {size}").alias("kind"), F.posexplode(window_digests(k, int(size))).alias("place", "w")) for k, size in kinds]
-    agree = reduce(DataFrame.unionByName, here).join(small(wanted), ["kind", "w"])
-    sizes = wanted.groupBy("kind", "item", "text_key").agg(F.count("*").alias("windows"))
+    here = reduce(DataFrame.unionByName, here)
+    pairs = scratch.table(here.join(small(probes), ["kind", "w"]).select("id", "row", "kind", "item", "text_key").distinct(), "pairs")
+    asked = pairs.join(small(wanted), ["kind", "item", "text_key"]).withColumnsRenamed({"id": "p_id", "row": "p_row", "kind": "p_kind", "w": "p_w"})
+    agree = here.join(asked, F.expr("id <=> p_id AND row = p_row AND kind = p_kind AND w = p_w"))
     met = agree.groupBy("id", "row", "kind", "item", "text_key").agg(F.array_sort(F.collect_set(F.struct("place", "at"))).alias("hits"), F.count_distinct("at").alias("most"))
-    exact = F.startswith("kind", F.lit("plain"))
-    enough = F.col("windows") * F.when(exact, F.lit(1.0)).otherwise(F.lit(cover))
-    met = met.join(sizes, ["kind", "item", "text_key"]).where(F.col("most") >= enough)
+    met = met.join(sizes, ["kind", "item", "text_key"]).where(F.col("most") >= F.col("enough"))
     said = [F.when(F.startswith("kind", F.lit(names)), F.struct(F.col(names).alias("words"), F.col(f"{names}_values").alias("values"))) for names in NAME_RE]
     said = F.coalesce(*said, F.struct(F.col("plain").alias("words"), F.col("plain").alias("values")))
-    met = met.join(items, ["item", "text_key"]).select("id", "row", "kind", "item", "hits", "windows", said.alias("asked"))
+    met = met.join(items, ["item", "text_key"]).select("id", "row", "kind", "item", "hits", "windows", "enough", said.alias("asked"))
     size, turn = F.split_part("kind", F.lit(" "), F.lit(2)).cast("int"), F.when(exact, F.lit(0)).otherwise(F.lit(drift))
-    lines = met.select("*", F.explode(chains("hits", size, F.size("asked.words") + turn, turn)).alias("line")).drop("hits").where(F.col("line.agreeing") >= enough)
+    lines = met.select("*", F.explode(chains("hits", size, F.size("asked.words") + turn, turn)).alias("line")).drop("hits").where(F.col("line.agreeing") >= F.col("enough"))
     lines = lines.alias("l").join(told.alias("t"), F.expr("l.id <=> t.id AND l.row = t.row")).select("l.*", said.alias("found"))
     # only words within windows that agree were aligned
     places = F.flatten(F.transform("line.parts", lambda p: F.transform(F.sequence(p["first"], p["last"]), lambda i: F.struct(i.alias("i"), (i + p["shift"]).alias("j")))))
