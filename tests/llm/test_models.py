@@ -1,6 +1,7 @@
 """Language and quality models: held-out accuracy and odd inputs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,8 @@ import pytest
 from conftest import SCHEMA
 
 from manyview.llm import language_id, quality
-from manyview.llm.ngram_features import averages, sparse_rows
+from manyview.llm.ngram_features import averages, bucket_lists, sparse_rows
+from manyview.llm.training_sample import labelled_sample
 from manyview.llm.word_arrays import Runs, chunks, word_digests, words
 
 SYLLABLES = {"en": "the th ing er on an re", "de": "der sch ung ei ich en ge", "fr": "le que ou eau ai é ment", "es": "el os ado ción que ar ie", "xx": "zzu kla mbo iri ndu"}
@@ -48,6 +50,17 @@ def test_language_learns_from_its_rows_only(spoken):
     assert a.languages == b.languages and np.array_equal(a.weights, b.weights)
 
 
+def test_the_sample_is_bounded_in_rows_and_languages(spark):
+    """Rows that share an id count one by one, equal rows once, and rare labels not at all."""
+    rows = [(1, f"some text number {i}", "en") for i in range(3000)] + [(2, "the same text", "en")] * 500
+    rows += [(i, f"dirty {i}", f"l{i:04d}") for i in range(3, 300)] + [(9000 + i, "x" * 21_000, "zz") for i in range(3)]
+    docs = spark.createDataFrame(rows, "id long, text string, label string")
+    sample = labelled_sample(docs, per_label=400, labels=64, limit=8000, longest=20_000, seed="s")
+    each = Counter(label for _, label in sample)
+    assert each["en"] <= 400 and len(each) == 64 and max(len(t) for t, _ in sample) <= 20_000 and sum(t == "the same text" for t, _ in sample) <= 1
+    assert sample == labelled_sample(docs.repartition(9), per_label=400, labels=64, limit=8000, longest=20_000, seed="s")
+
+
 @pytest.mark.parametrize("langs", [[], ["en"], ["de", "en"], ["en", "fr"]])
 def test_language_of_few(spark, langs):
     rng = random.Random(9)
@@ -85,11 +98,23 @@ def test_quality(spark):
     assert {r["__quality_score"] for r in quality.score_quality(docs, ["doc_id"], without).collect()} == {0.5}
 
 
+def test_pairs_of_a_word_and_itself_have_one_bucket():
+    lists = [bucket_lists(c, (3,), 12, False, True)[1] for c in chunks(pa.array(["a a b b", "zz zz", "one", ""]))]
+    ((bucket, begin, end),) = lists
+    assert begin.tolist() == [0, 4, 5, 5][:1] + begin.tolist()[1:] and (end - begin).tolist() == [3, 1, 0, 0]
+    assert bucket[0] == bucket[2] == bucket[begin[1]] == 0
+
+
 def test_averages_are_those_of_the_rows():
     texts = ["", "a", "ab", "the quick brown fox", " \n ", "x" * 50, "é ü ß", "the"]
     weights = np.random.default_rng(0).normal(size=(1 << 12, 2))
-    got, n = averages(pa.array(texts), weights, (3, 4), 12, True)
-    for i, (bucket, share) in enumerate(sparse_rows(texts, (3, 4), 12, True)):
+    for pairs in (False, True):
+        same_averages(texts, weights, pairs)
+
+
+def same_averages(texts, weights, pairs):
+    got, n = averages(pa.array(texts), weights, (3, 4), 12, True, pairs)
+    for i, (bucket, share) in enumerate(sparse_rows(texts, (3, 4), 12, True, pairs)):
         assert np.allclose(got[i], (weights[bucket] * share[:, None]).sum(0)) and (n[i] > 0) == (len(bucket) > 0)
 
 

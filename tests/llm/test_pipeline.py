@@ -52,8 +52,10 @@ def test_stages(spark, folder, tmp_path):
         got = [tuple(r) for r in out.select(COLUMNS).collect()]
         pairs = [(r[0], r[1]) for r in plain_rows]
         if name == "language_id":
-            want = [r for r in plain_rows if any(c.isalpha() for c in r[1] or "")]
-            assert len(want) < len(plain_rows)
+            kept = [r for r in plain_rows if any(c.isalpha() for c in r[1] or "")]
+            # one language is known, so documents without one get it
+            want = [(*r[:2], r[2] or "en", *r[3:]) for r in kept]
+            assert len(kept) < len(plain_rows) and want != kept
         elif name == "line_dedup":
             want = []
             for r, (_, dropped, digest) in zip(plain_rows, plain.without_lines(pairs), strict=True):
@@ -93,6 +95,26 @@ def test_stages(spark, folder, tmp_path):
         docs, plain_rows = out, got
 
 
+def test_documents_without_a_language(spark, folder):
+    """The model's answer is filled in; without any label there is no model, and what has a letter stays."""
+    english, german = "the thing is there and on the other hand ing", "der stein und die schwester ungeheuer schlich"
+    rows = [(i, f"{english if i % 2 else german} {'the' if i % 2 else 'sch'} {i}", ("en", "de")[i % 2 == 0] if i < 60 else None, "s", 9) for i in range(80)]
+    docs = spark.createDataFrame([*rows, (99, "12 ...", None, "s", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, docs, folder).collect()}
+    assert got == {i: "en" if i % 2 else "de" for i in range(80)}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, bare, folder).collect()}
+    assert got == dict.fromkeys(range(80))
+
+
+def test_rows_equal_in_id_and_text_keep_one_language(spark, folder):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, lang, source, 9) for lang, source in (("fr", "b"), ("en", "z"), ("en", "a"), (None, None))][:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in (1, 5):
+        assert [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs.repartition(n), folder).collect()] == [(1, text, "en", "a", 9)]
+
+
 def test_run_is_registered(spark, folder):
     out = __spark_entry__.queries()["pipeline"](spark, folder)
     assert out.columns == [*COLUMNS, "copy"] and out.count() > 0

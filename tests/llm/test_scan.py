@@ -1,22 +1,25 @@
 """Decontamination, web pages, licenses, mixing and search against plain Python."""
 
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import plain
+import plain_templates
+import pyarrow as pa
 import pytest
 from conftest import SCHEMA
 from pyspark.sql import functions as F
 
 from manyview.llm import registry
-from manyview.llm.decontamination import leaks, template
+from manyview.llm.decontamination import leaks, marked, template
 from manyview.llm.html_text import Page, core, extract_text, main_text
-from manyview.llm.license_rules import rules
+from manyview.llm.license_rules import GATE, MOST_WORDS, rules
 from manyview.llm.license_scan import scan_licenses
 from manyview.llm.mixing import mix_sources
-from manyview.llm.topk_search import top_k
+from manyview.llm.topk_search import Shard, top_k
 
 # --- benchmark ---
 
@@ -32,7 +35,7 @@ def table(spark, rows):
 
 
 def test_template(spark):
-    row = spark.createDataFrame([("In May, Bob ran 3.5 km. Then he saw 2 cats\u0001.",)], "t string").select(template(F.col("t"))).first()[0]
+    row = spark.createDataFrame([("In May, Bob ran 3.5 km. Then he saw 2 cats\u0001.",)], "t string").select(template(marked(F.col("t")))).first()[0]
     assert row == ["in", "may", "bob", "ran", "\u0002", "\u0003", "then", "he", "saw", "\u0002", "cats"] or row[:2] == ["in", "\u0001"]
 
 
@@ -91,6 +94,69 @@ def test_names_of_any_form(spark):
     assert got == {(1, 70): False, (2, 70): False, (3, 71): False, (5, 72): False, (6, 70): True, (9, 70): True}
 
 
+ITEMS = [
+    "A farmer called Boris keeps 14 goats and 3 cows. Each day Boris feeds every goat 2 kg of hay. How much hay does he need for the goats in a week?",
+    "The train from Lisbon leaves at 9:40 and covers 310 km in 4 hours. What is its mean speed, and when does it reach the town of Porto?",
+    "Why do the leaves of many trees turn red before the winter, while those of pines stay green all year round?",
+    "Which painter made the ceiling of the chapel in that old palace by the river?",
+    "Mix 3 cups of flour, 2 eggs and 100 ml of milk, then wait.",
+    "Name the largest moon of Saturn.",
+    "12 + 7 - 3 * 4 / 2 + 9 - 1 = 16",
+    "Anna, Ben, Cleo, Dan, Eva, Finn, Gus, Hal, Ina, Jon",
+]
+
+
+def spoiled(rng, item):
+    """An item with words, names and numbers changed, put in or left out."""
+    words = item.split(" ")
+    for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
+        i = rng.randrange(len(words))
+        how = rng.randrange(5)
+        if how == 0:
+            words[i] = rng.choice(["red", "Otto", "77", "so", "Mary Ann"])
+        elif how == 1:
+            words.insert(i, rng.choice(["then", "Zoe", "5", "well"]))
+        elif how == 2 and len(words) > 1:
+            del words[i]
+        elif how == 3:
+            words = [w.replace("Boris", "Clara").replace("14", "19").replace("Porto", "Faro") for w in words]
+        else:
+            words = words[i:] if rng.random() < 0.3 else words
+    return " ".join(words)
+
+
+def test_leaks_as_in_plain_python(spark):
+    rng = random.Random(41)
+    noise = lambda n: " ".join(rng.choice(["and", "the", "river", "Ada", "9", "goes", "over", "hills.", "Then", "we", "saw", "it,"]) for _ in range(n))
+    rows = []
+    for i in range(240):
+        text = noise(rng.randrange(12))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            text += f" {spoiled(rng, rng.choice(ITEMS))} {noise(rng.randrange(9))}"
+        rows.append((i, text if i % 9 else text.lower()))
+    bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
+    got = {(r["id"], r["item"]) for r in leaks(table(spark, rows), bench).collect()}
+    want = {(i, k) for i, text in rows for k, item in enumerate(ITEMS) if plain_templates.holds(text, item)}
+    assert got == want and len(want) > 60
+    assert len({k for _, k in want}) == len(ITEMS)
+
+
+def test_a_window_that_all_items_share(spark):
+    """Documents meet only the items whose rarer windows they hold."""
+    start = "In the following task you are asked to find out as well as you can"
+    ends = ["how high the tower of the old town hall is", "who wrote the song about the seven lost sailors", "where the small boat was seen last on the lake"]
+    bench = spark.createDataFrame([(i, f"{start} {e}") for i, e in enumerate(ends)], "item_id long, text string")
+    rows = [(10, f"{start} nothing"), (11, f"so {start} {ends[1]}"), (12, f"{ends[2]} so")]
+    got = {(r["id"], r["item"]) for r in leaks(table(spark, rows), bench).collect()}
+    assert got == {(i, k) for i, t in rows for k, e in enumerate(ends) if plain_templates.holds(t, f"{start} {e}")} and (11, 1) in got
+
+
+def test_leaks_of_very_long_texts(spark):
+    bench = spark.createDataFrame([(70, QUESTION)], "item_id long, text string")
+    rows = [(1, "many words go by " * 30000 + QUESTION), (2, f"{QUESTION} " * 60)]
+    assert {r["id"] for r in leaks(table(spark, rows), bench).collect()} == {1, 2}
+
+
 def test_leaks_of_nothing(spark, nothing):
     bench = spark.createDataFrame([(70, QUESTION)], "item_id long, text string")
     assert leaks(nothing, bench).count() == 0
@@ -216,9 +282,74 @@ def test_licenses(spark, corpus):
     assert scan_licenses(table(spark, []), ["doc_id"]).count() == 0
 
 
+def held_by(words):
+    """Labels of the detections that hold, by trying all rules on all words."""
+    said, found = f" {' '.join(words)} ", []
+    for r in rules():
+        for m in re.finditer(rf"(?<= )(?:{r.pattern})(?= )", said):
+            found.append((m.start(), m.end(), r.priority, r.label))
+    inside = lambda s, o: o[0] <= s[0] and o[1] >= s[1] and (o[2] > s[2] or (o[2] == s[2] and o[1] - o[0] > s[1] - s[0]))
+    # what is inside something that is itself suppressed is inside what suppresses that
+    return sorted({s[3] for s in found if not any(inside(s, o) for o in found)})
+
+
+def test_licenses_as_in_plain_python(spark):
+    rng = random.Random(3)
+    pieces = """mit license|licensed under the mit license|apache license version 2 0|the gnu general public license v3|spdx license identifier bsd 3 clause|all rights reserved
+    copyright 2019|redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+    neither the name of the group nor the names of its contributors may be used to endorse or promote products|https www apache org licenses license 2 0|is in the public domain
+    this work is licensed under a creative commons attribution share alike 4 0 international license|you may not reverse engineer decompile or disassemble|some words
+    released under the terms of the gnu general public license|dual licensed under the|proprietary license|cc0 1 0|the software shall be used for good not evil""".replace("\n", "|").split("|")
+    rows = [(i, " ".join(rng.choice(pieces).strip() for _ in range(rng.choice([1, 2, 5, 12])))) for i in range(150)]
+    for r in scan_licenses(table(spark, rows), ["doc_id", "text"]).collect():
+        words = r["text"].split()
+        want = {*held_by(words), *filter(None, r["__lic_base_labels"].split(","))}
+        assert r["__lic_labels"] == ",".join(sorted(want)), r["text"]
+
+
+def test_long_texts_are_scanned_in_blocks(spark):
+    """A mention is found wherever it stands, also across the edges of blocks, and holds only once."""
+    notice = "licensed under the apache license version 2 0"
+    rows = [(n, f"{'word ' * n}{notice} {'word ' * 700}") for n in (0, 500, 505, 508, 511, 512, 513, 1020, 5000)]
+    for r in scan_licenses(table(spark, rows), ["doc_id"]).collect():
+        n = r["doc_id"]
+        assert [(s["start"], s["stop"], s["label"]) for s in r["__lic_spans"]] == [(n, n + 8, "apache-2.0")] and r["__lic_labels"] == "apache,apache-2.0"
+    many = scan_licenses(table(spark, [(1, "mit license " * 20000)]), ["doc_id"]).first()
+    assert many["__lic_base"] == 20000 and many["__lic_last"] == 39998
+
+
+def test_rules_are_bounded_and_gated():
+    """No pattern repeats without end, none is longer than a block's margin, and each needs a word of the gate."""
+    for r in rules():
+        words = re.sub(r"\(\?:\\S\+ \)\{1,(\d+)\}\?", lambda m: "x " * int(m[1]), r.pattern).replace(r"\S+", "x")
+        assert "*" not in words and "+" not in words and len(words.split()) <= MOST_WORDS, r
+        bare = r.pattern
+        while (less := re.sub(r"\((?:\?:)?[^()]*\)(?:\?|\{[^}]*\}\??)?", " ", bare)) != bare:
+            bare = less
+        choices = re.findall(r"[a-z]+", r.pattern) if not bare.strip() or bare.strip() == "org" else [bare]
+        assert any(g in c for c in choices for g in GATE), r
+    assert any(g in "mit license" for g in GATE) and any(g in "general public license" for g in GATE)
+
+
 # --- mixing ---
 
 
+def test_ties_are_ordered_by_text(spark):
+    """Rows of one id and size get the same copies however they are stored."""
+    rows = [(7, f"w{i} x y", "a") for i in range(40)] + [(i, "one two", "b") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = ({r["text"]: r["__mix_copies"] for r in mix_sources(docs.repartition(n), ["text", "source"]).where("source = 'a'").collect()} for n in (1, 9))
+    assert one == two and len(one) == 40 and len(set(one.values())) > 1
+
+
+def test_sources_of_some_documents_come_near_their_targets(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["x"] * int(rng.lognormvariate(5, 1.2) + 1)), f"s{i % 6}") for i in range(600)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["source"])
+    for r in out.groupBy("source").agg(F.sum(F.expr("__mix_copies * __mix_size")).alias("taken"), F.max("__mix_target").alias("target")).collect():
+        assert abs(r["taken"] / r["target"] - 1) < 0.02
+
+
 def test_mixing(documents, corpus):
     out = mix_sources(documents, ["doc_id", "source", "text", "words"]).collect()
     again = mix_sources(documents.repartition(7), ["doc_id", "source", "text", "words"]).collect()
@@ -266,17 +397,15 @@ def test_top_k(spark, tmp_path):
     rows += [(350_000, None, 1), (350_050, [1.0, None], 1), (350_100, [float("nan")] * 8, 1), (350_150, [float("inf")] * 8, 1), (None, [1.0] * 8, 1), (-50, [0.5] * 8, 1)]
     rows += [rows[0], (10**15, [0.25] * 8, 1), (10**15 + 50, [], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    whole = {i: np.floor(256 * np.array(v, "float32").astype(float)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    whole[10**15 + 50] = np.zeros(8)
-    ids = np.array(sorted(whole))
-    m = np.stack([whole[i] for i in ids])
-    want = set()
-    for q in (i for i in ids if i % 50 == 0):
-        scores = m @ whole[q]
-        best = sorted((-s, i) for s, i in zip(scores, ids, strict=True) if i != q)[:5]
-        want |= {(q, r, i, int(-s)) for r, (s, i) in enumerate(best, 1)}
+    whole = [(i, np.floor(256 * np.array(v or [0] * 8, "float32").astype(float))) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    m = np.stack([v for _, v in whole])
+    want = Counter()
+    for q, (i, v) in enumerate(whole):
+        if i % 50 == 0:
+            best = sorted((-s, j) for r, ((j, _), s) in enumerate(zip(whole, m @ v, strict=True)) if r != q)[:5]
+            want.update((i, r, j, int(-s)) for r, (s, j) in enumerate(best, 1))
     got = registry.op5_topk_search(spark, str(tmp_path)).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert Counter(tuple(r) for r in got) == want
 
 
 def test_top_k_of_few(spark):
@@ -284,5 +413,30 @@ def test_top_k_of_few(spark):
     assert [tuple(r) for r in top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
     assert top_k(few.where("false")).count() == 0
     assert top_k(few.where("vec_id = 0")).count() == 0
+    # rows that share an id are rows of their own; two of them are queries here
+    same = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [2.0]), (1, [3.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r["rank"], r["id"]) for r in top_k(same).orderBy("rank").collect()] == [(1, 1), (2, 1), (3, 1), (4, 2)]
+    assert top_k(few.union(few)).where("rank = 1").count() == 2
+    # scores beyond what floats hold exactly
+    odd = [(0, [1.0, 2.0**40]), (1, [3.0, 2.0**30]), (2, [2.0, 2.0**30])]
+    got = top_k(spark.createDataFrame(odd, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(i, min(2**63 - 1, int(256 * v[0]) * 256 + int(256 * v[1]) * 2**48)) for i, v in odd[1:]]
     huge = spark.createDataFrame([(0, [1.0, 1e300]), (1, [2.0, 0.0]), (2, [3e8, -1.0])], "vec_id long, embedding array<double>")
     assert [r["id"] for r in top_k(huge).orderBy("rank").collect()][0] == 1
+
+
+def test_blocks_are_pruned():
+    """Of rows in a few tight groups, a query's own group is scored and little else."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 32)) * 200
+    v = np.floor(np.repeat(centres, 128, 0) + rng.normal(size=(2048, 32)) * 4)
+    rows = pa.table({"uid": np.arange(2048), "id": np.arange(2048), "code": [f"{i // 128:03d}" for i in range(2048)], "v": pa.array(v.tolist())})
+    shard = Shard(rows, 32, 128)
+    ids, scores = shard.search(np.arange(64), v[:64], np.full(64, -np.inf), 5)
+    exact = v[:64] @ v.T
+    exact[np.arange(64), np.arange(64)] = -np.inf
+    assert (scores == -np.sort(-exact, 1)[:, :5]).all() and shard.visited < 0.2 * shard.blocks
+    # a floor spares what a query has found elsewhere
+    shard.visited = shard.blocks = 0
+    ids, scores = shard.search(np.arange(64), v[:64], np.full(64, 1e12), 5)
+    assert shard.visited == 0 and not np.isfinite(scores).any()
