@@ -10,6 +10,7 @@ from manyview.sources.schema import schema
 
 PROFILE = ("name", "age", "avatar", "job", "location")
 CONTEXT = ("incomeBracket", "concerns", "interests", "politicalLeaning")
+# How a change is refused.
 NOT_AUTHENTICATED = "Not authenticated"
 NOT_FOUND = "User not found - please refresh and try again"
 
@@ -89,6 +90,11 @@ def update_private_context(users: DataFrame, identity: str | None, context: dict
     return users.withColumn("privateContext", F.when(F.col("authUserId") == identity, new).otherwise(F.col("privateContext")))
 
 
+def returned(users: DataFrame, identity: str) -> DataFrame:
+    """What a change gives back: the row of the one who made it, as it is now."""
+    return users.where(F.col("authUserId") == identity)
+
+
 def on_create(users: DataFrame, created: DataFrame, now: float) -> DataFrame:
     """Users with one more for each new account: name and picture from it, statistics zero."""
     kinds = {f.name: f.dataType for f in schema("users").fields}

@@ -361,6 +361,20 @@ def constant_answers(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(answers, "name string, answer string")
 
 
+@query("SELECT 'users:3' AS user_id, c_name AS name, 'Editor' AS job, CASE WHEN c_acctbal > 5000 THEN 'high' WHEN c_acctbal > 0 THEN 'low' END AS income FROM customer WHERE c_custkey = 3")
+def profile_returned(spark: SparkSession, d: str) -> DataFrame:
+    """The row that a change of profile gives back."""
+    out = users.returned(users.update_profile(adapters.users(spark, d), "auth:3", {"job": "Editor"}), "auth:3")
+    return out.select(F.col("_id").alias("user_id"), F.col("profile.name").alias("name"), F.col("profile.job").alias("job"), F.col("privateContext.incomeBracket").alias("income"))
+
+
+@query("SELECT 'users:3' AS user_id, NULL::VARCHAR AS income, 'rent' AS concerns, c_mktsegment AS job FROM customer WHERE c_custkey = 3")
+def private_context_returned(spark: SparkSession, d: str) -> DataFrame:
+    out = users.returned(users.update_private_context(adapters.users(spark, d), "auth:3", {"concerns": ["rent"], "interests": []}), "auth:3")
+    c = "privateContext"
+    return out.select(F.col("_id").alias("user_id"), F.col(f"{c}.incomeBracket").alias("income"), F.array_join(f"{c}.concerns", ",").alias("concerns"), F.col("profile.job").alias("job"))
+
+
 S_CANONICAL = r"""
 (SELECT page_id, url, p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM (
   SELECT page_id, url, regexp_extract(b, '^[^?]*') AS p,

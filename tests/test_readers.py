@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from manyview.functions import urls
-from manyview.operators import ingest, readers, similarity, users
+from manyview.operators import ingest, readers, similarity, todos, users
 from manyview.sources.schema import schema
 from manyview.streaming import activity
 
@@ -100,6 +100,23 @@ def test_ingestion(spark):
     assert {r["_id"]: r["sourceId"] for r in ingest.with_source(incoming, outlets).collect()} == {2: "s1", 3: "s1", 5: None}
 
 
+def test_todos(spark):
+    none = spark.createDataFrame([], todos.DDL)
+    asked = spark.createDataFrame([("a", "  milk "), ("b", "   "), ("c", None), ("d", "bread")], "_id string, text string")
+    made = todos.create(none, asked, 5.0)
+    assert [tuple(r) for r in todos.every(made).collect()] == [("a", 5.0, "milk", False), ("d", 5.0, "bread", False)]
+    done = todos.toggle(made, spark.createDataFrame([("d", True), ("z", True)], "_id string, completed boolean"))
+    assert tuple(todos.completed(done).first()) == (1, 2) and tuple(todos.completed(none).first()) == (0, 0)
+    assert [r["_id"] for r in todos.delete(done, asked.where("_id = 'a'")).collect()] == ["d"]
+
+
+def test_similarity_of_repeated_keys_and_other_widths(spark):
+    v = [(1, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.8, 0.2]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0])]
+    rows = spark.createDataFrame(v, "_id long, embedding array<double>")
+    got = similarity.nearest(rows, rows, 2).select("query", "key").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2), (1, 2), (2, 1), (2, 1), (3, 4), (4, 3)]
+
+
 def test_similarity(spark, monkeypatch):
     v = [("a", [1.0, 0.0]), ("b", [2.0, 0.1]), ("c", [0.0, 1.0]), ("zero", [0.0, 0.0]), ("none", None)]
     rows = spark.createDataFrame([(i, x, "unprocessed", 1.0) for i, x in v], "_id string, embedding array<double>, status string, embeddingVersion double")
@@ -108,6 +125,7 @@ def test_similarity(spark, monkeypatch):
     want = [("a", 1, "b"), ("b", 1, "a"), ("c", 1, "b")]
     assert sorted(tuple(r)[:3] for r in similarity.nearest(rows, rows, 1).collect()) == want
     monkeypatch.setattr(similarity, "GROUP", 2)
+    monkeypatch.setattr(similarity, "SHARD", 2)
     assert sorted(tuple(r)[:3] for r in similarity.nearest(rows, rows, 1).collect()) == want
     told = {r["_id"]: r["eventId"] for r in similarity.assign(rows, rows.where("_id = 'a'").withColumn("_id", F.lit("s")), 0.9).collect()}
     assert told == {"a": "s", "b": "s", "c": None, "zero": None, "none": None}
@@ -161,3 +179,13 @@ def test_stream_takes_later_files(spark, tmp_path):
 def test_entry():
     found, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(found) and len(found) > 40
+
+
+def test_what_a_change_gives_back(accounts):
+    u, _ = accounts
+    out = users.returned(users.update_profile(u, "a1", {"job": "pilot"}), "a1").collect()
+    assert [(r["_id"], r["profile"]["job"], r["profile"]["name"]) for r in out] == [("u1", "pilot", "Ann")]
+
+
+def test_nothing_was_streamed(spark, tmp_path):
+    assert activity.written(spark, f"{tmp_path}/none", schema("topics")).count() == 0

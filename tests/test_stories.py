@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from manyview.functions import bias, display
 from manyview.operators import stories
+from manyview.sources import adapters
 from manyview.sources.schema import BASE, DDL, schema, violations
 from manyview.sources.seed import seed
 from manyview.sources.store import Store
@@ -224,3 +225,19 @@ def test_store(spark, tmp_path):
     store.clear()
     assert {t: df.count() for t, df in store.tables().items()} == {t: int(t == "users") for t in DDL}
     assert store.seed() == "seeded"
+
+
+def test_a_story_page_shuffles_its_own_articles_only(spark):
+    """The story's key goes to the scan of the articles before anything else is joined."""
+    folder = "/root/testdata/sf0.001"
+    page = stories.story_page(adapters.stories(spark, folder), adapters.articles(spark, folder), adapters.sources(spark, folder), "order-7")
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    semi = next(i for i, line in enumerate(plan.splitlines()) if "LeftSemi" in line)
+    outlets = next(i for i, line in enumerate(plan.splitlines()) if "l_suppkey" in line and "LeftOuter" in line or "sourceId" in line and "LeftOuter" in line)
+    assert outlets < semi
+
+
+def test_the_largest_page_has_a_cursor(spark):
+    folder = "/root/testdata/sf0.001"
+    s, a, o = adapters.stories(spark, folder, True), adapters.articles(spark, folder), adapters.sources(spark, folder)
+    assert stories.feed_page(s, a, o, stories.LARGEST_PAGE).done
