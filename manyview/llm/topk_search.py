@@ -213,10 +213,15 @@ def top_k(
     edges = home.where("uid IS NULL").select("shard", "most", "least").orderBy("shard").collect()
     if not edges:
         return home.select("query", F.lit(0).alias("rank"), "id", "score")
+    first = home.where("uid IS NOT NULL")
+    order = Window.partitionBy("uid").orderBy(F.desc("score"), "id")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    if len(edges) == 1:
+        # no other shard to send a query to
+        return ranked(first)
     width = max(len(r["most"]) for r in edges)
     wide = lambda name: np.array([r[name] + [0.0] * (width - len(r[name])) for r in edges])
     shared = spark.sparkContext.broadcast((np.array([r["shard"] for r in edges], np.int32), wide("most"), wide("least")))
-    first = home.where("uid IS NOT NULL")
     # a floor holds only where k rows were found
     floors = first.groupBy("uid").agg(F.when(F.count("*") >= k, F.max("floor")).alias("floor"))
     asked = placed.where(F.col("id") % every == 0).join(floors, "uid", "left")
@@ -224,6 +229,4 @@ def top_k(
     away = asked.mapInArrow(lambda it: sent(it, shared), "shard int, uid long, id long, v array<double>, floor double, group int")
     tiles = placed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy("shard", "group")
     found = away.groupBy("shard", "group").cogroup(tiles).applyInArrow(lambda key, q, r: search_tile(key[0].as_py(), q, r, k), FOUND)
-    every_found = first.unionByName(found)
-    order = Window.partitionBy("uid").orderBy(F.desc("score"), "id")
-    return every_found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    return ranked(first.unionByName(found))
