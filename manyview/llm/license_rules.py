@@ -96,7 +96,7 @@ address | artistic | perlfoundation | perlfoundation org (?:legal licenses )?art
 address | zlib | zlib | zlib net zlib license(?: html)?
 address | cddl | sun | sun com cddl(?: cddl)?(?: html)?
 address | polyform | polyformproject | polyformproject org licenses (?:noncommercial|small business|shield|strict) 1 0 0
-notice | mit | permission | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)?
+notice | mit | permission | permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?(?: the software)?
 notice | mit | permission | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 notice | x11 | consortium | except as contained in this notice the name of the x consortium shall not be used in advertising
 notice | isc | permission | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted

@@ -136,7 +136,9 @@ def drop_repeated_lines(
     holds it. A null or empty text is one empty line, which stays. Rows that repeat
     an id are the same document. Where all ids are null, the lines stay. Columns of
     ``docs`` beside ``carry`` are not read; names that begin with ``__line_`` are
-    reserved. The documents come in ``batches`` by a digest of their id.
+    reserved. The documents come in ``batches`` by a digest of their id. Texts are split
+    whole, however long or many-lined; a very frequent line is one key of a run, and its
+    rows are dealt out by the join. An empty table gives an empty result.
     """
     runs = LineRuns(docs.sparkSession, fanout)
     keyed = runs.scratch.table(keyed_lines(docs, min_chars, doc_id, text), "lines")
