@@ -42,7 +42,7 @@ SHINGLE = 5
 ROWS, APART = 8, 3e-6
 BATCHES = (32, 64, 128, 224, 320)
 #: Members of a block of signatures, of which a task holds two; bytes of text in a part or a block of texts.
-BLOCK, TEXT_BYTES = 1000, 4 << 20
+BLOCK, TEXT_BYTES = 1000, 512 << 10
 SIGNATURES = "id long, row long, n long, class long, check long, bytes long, bands array<long>, sig binary"
 
 
