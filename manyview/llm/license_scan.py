@@ -22,7 +22,7 @@ from manyview.llm.text_columns import ascii_lower
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RULES = "array<struct<label:string,keyword:string,pattern:string,priority:int,confidence:double>>"
+RULES = "array<struct<keyword:string,rules:array<struct<label:string,pattern:string,priority:int,confidence:double>>>>"
 SPAN = "struct<start:int,stop:int,priority:int,label:string,confidence:double>"
 BEGIN, END = "\u0001", "\u0002"
 #: Words of a block, and those before and after it that it is looked at with: what holds a
@@ -88,8 +88,10 @@ def scan_licenses(docs: DataFrame, carry: list[str], *, table: list[Rule] | None
     rows repeat, and an empty table gives an empty result. Columns of ``docs`` beside ``carry`` are not read;
     names that begin with ``__lic_`` are reserved. Nothing is shuffled.
     """
-    ordered = [asdict(r) for r in (rules() if table is None else table)]
-    known = F.from_json(F.lit(json.dumps(ordered)), RULES)
+    by_keyword: dict[str, list[dict]] = {}
+    for r in rules() if table is None else table:
+        by_keyword.setdefault(r.keyword, []).append(asdict(r))
+    known = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": rs} for k, rs in by_keyword.items()])), RULES)
     some = F.coalesce(F.col(text), F.lit(""))
     lower = F.lower(some)
     gate = F.lit(False)
@@ -116,7 +118,7 @@ def scan_licenses(docs: DataFrame, carry: list[str], *, table: list[Rule] | None
         return F.flatten(F.transform(F.array(block), lambda said: of_block(said, first, begin)))
 
     def of_block(said: Column, first: Column, begin: Column) -> Column:
-        tried = F.filter(known, lambda r: F.contains(said, r["keyword"]))
+        tried = F.flatten(F.transform(F.filter(known, lambda g: F.contains(said, g["keyword"])), lambda g: g["rules"]))
         found = F.flatten(F.transform(tried, lambda r: F.transform(places(said, r["pattern"]), lambda s: span(s, r, first))))
         return F.filter(holding(found), lambda s: (s["start"] >= begin) & (s["start"] < begin + BLOCK))
 
