@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyview.llm import language_id, quality
+from manyview.llm import conversation_queries, language_id, quality
 from manyview.llm.decontamination import leaks
 from manyview.llm.html_text import extract_text
 from manyview.llm.license_scan import scan_licenses
@@ -269,6 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
+    **conversation_queries.QUERIES,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL, "op5_topk_search": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL, "op5_topk_search": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_mixing": OP10_SQL, **conversation_queries.ORACLES}

@@ -37,15 +37,15 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a reader of what was written.
+    def table(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+        """Write ``df``, in a folder for each value of ``by`` if given, and return a reader of what was written.
 
         The shuffle files of the job that wrote it are dropped at once instead of
         at the next garbage collection of the driver.
         """
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         with self._files_dropped():
-            df.write.parquet(path)
+            (df.write.partitionBy(*by) if by else df.write).parquet(path)
         return self._kept(self.spark.read.schema(df.schema).parquet(path), path)
 
     def bucketed(self, df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
