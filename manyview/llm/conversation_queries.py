@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from manyview.llm import conversation_trie
+from manyview.llm import conversation_trie, simhash
 from manyview.llm.scratch import Scratch
 
 # CRC-32 bit by bit, of a text column {0}
@@ -54,5 +55,10 @@ SELECT n.conv_id, n.d::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n AS n_co
 FROM full_nodes n JOIN sums USING (key) LEFT JOIN nodes m ON m.key = n.above
 """
 
-QUERIES = {"op11_conversation_trie": op11_conversation_trie}
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("__fingerprint"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
+
+
+QUERIES = {"op11_conversation_trie": op11_conversation_trie, "op12_simhash_dedup": op12_simhash_dedup}
 ORACLES = {"op11_conversation_trie": OP11_SQL}
