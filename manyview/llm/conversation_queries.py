@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.llm import conversation_trie, simhash
+from manyview.llm.conversation_repair import Repair, damage
 from manyview.llm.scratch import Scratch
 
 # CRC-32 bit by bit, of a text column {0}
@@ -60,5 +61,60 @@ def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fingerprint"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
-QUERIES = {"op11_conversation_trie": op11_conversation_trie, "op12_simhash_dedup": op12_simhash_dedup}
-ORACLES = {"op11_conversation_trie": OP11_SQL}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Repair(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).report()
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {S_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM given
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM damaged
+), judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY pos) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed
+), put(before, middle, letters, names) AS (
+  VALUES (0, 0, '', []::VARCHAR[]), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']),
+         (1, 3, 'II', ['user:', 'assistant:']), (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])
+), rules(middle, after, initial, name) AS (
+  VALUES (0, 1, 's', ''), (0, 2, 'u', 'user'), (1, 2, 'u', 'user'), (3, 2, 'u', 'user'), (2, 3, 'a', 'assistant')
+), ways AS (
+  SELECT before, after, initial, name, letters, names FROM put JOIN rules USING (middle)
+  UNION ALL SELECT symbol, symbol, NULL, NULL, '', [] FROM (SELECT unnest(range(4)) AS symbol)
+), chart AS (
+  SELECT DISTINCT c, 0::BIGINT AS pos, 0 AS symbol, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM judged
+  UNION ALL
+  SELECT c, pos, symbol, cost, audit, lines FROM (
+    SELECT t.c, t.pos, w.after AS symbol,
+           t.cost + CASE WHEN w.initial IS NULL THEN 2 ELSE 5 * length(w.letters) + CASE WHEN j.cut THEN 5 ELSE 0 END + CASE WHEN w.initial = j.initial THEN 0 ELSE 1 END END AS cost,
+           t.audit || w.letters || CASE WHEN w.initial IS NULL THEN 'D' WHEN w.initial = j.initial THEN 'K' ELSE 'R' END AS audit,
+           CASE WHEN w.initial IS NULL THEN t.lines
+                ELSE list_concat(t.lines, w.names, [CASE WHEN w.initial = j.initial THEN j.role ELSE w.name END || ':' || j.text]) END AS lines
+    FROM (SELECT c, pos + 1 AS pos, symbol, cost, audit, lines FROM chart) t JOIN judged j ON j.c = t.c AND j.pos = t.pos JOIN ways w ON w.before = t.symbol
+    WHERE w.initial IS NULL OR NOT (j.blank OR j.again) AND (w.initial = j.initial OR w.initial <> 's')
+  ) QUALIFY row_number() OVER (PARTITION BY c, pos, symbol ORDER BY cost, audit) = 1
+), sizes AS (
+  SELECT c, count(*) AS pos, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM judged GROUP BY 1
+), ends AS (
+  SELECT c, cost + 5 * length(letters) AS cost, audit || letters AS audit, list_concat(lines, names) AS lines
+  FROM chart JOIN sizes USING (c, pos) JOIN put ON before = symbol WHERE middle IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY c ORDER BY cost + 5 * length(letters), audit || letters) = 1
+)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN sizes s ON s.c = coalesce(g.conv_id::VARCHAR, '') LEFT JOIN ends e ON e.c = s.c
+"""
+
+QUERIES = {"op11_conversation_trie": op11_conversation_trie, "op12_simhash_dedup": op12_simhash_dedup, "op13_conversation_repair": op13_conversation_repair}
+ORACLES = {"op11_conversation_trie": OP11_SQL, "op13_conversation_repair": OP13_SQL}
