@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from manyview.operators.stories import unique
 from manyview.sources.schema import schema
 
 PROFILE = ("name", "age", "avatar", "job", "location")
@@ -33,9 +34,11 @@ def auth_user(auth_users: DataFrame, identity: str | None) -> DataFrame:
 
 
 def current_user(auth_users: DataFrame, users: DataFrame, identity: str | None) -> DataFrame:
-    """Identity and profile together; no row unless both are there."""
-    a = auth_user(auth_users, identity).alias("a")
-    u = users.alias("u")
+    """Identity and profile together; no row unless both are there. Several profiles or
+    accounts of one identity are an error, raised when the row is computed."""
+    none = F.lit(False) if identity is None else F.col("authUserId") == identity
+    a = unique(auth_user(auth_users, identity), f"identity {identity}").alias("a")
+    u = unique(users.where(none), f"authUserId {identity}").alias("u")
     return a.join(u, F.col("a._id") == F.col("u.authUserId")).select(
         F.col("a._id").alias("authId"),
         "a.email",
@@ -113,8 +116,14 @@ def on_create(users: DataFrame, created: DataFrame, now: float) -> DataFrame:
 
 
 def on_update(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Users with new addresses. ``changes`` (_id, old, new) counts where the address differs."""
-    moved = changes.where(~F.col("old").eqNullSafe(F.col("new"))).select(F.col("_id").alias("authUserId"), F.col("new"))
+    """Users with new addresses. ``changes`` (_id, old, new) counts where the address differs.
+
+    Of several changes of one account the one with the largest ``seq`` counts, or, where
+    there is no such column or number, the one with the largest address. Changes that come
+    late or in batches are for ``account_log``.
+    """
+    moved = changes.where(~F.col("old").eqNullSafe(F.col("new"))).select(F.col("_id").alias("authUserId"), "new", F.col("seq") if "seq" in changes.columns else F.lit(0).alias("seq"))
+    moved = moved.groupBy("authUserId").agg(F.max(F.struct("seq", "new"))["new"].alias("new"))
     out = users.join(moved, "authUserId", "left")
     return out.withColumn("email", F.coalesce("new", "email")).select(*users.columns)
 
