@@ -35,21 +35,9 @@ def unit(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select("key", F.transform("raw", lambda x: x.cast("double") / F.col("length")).alias("unit"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "_id", vector: str = "embedding", at_least: float = -1.0) -> DataFrame:
-    """(query, rank, key, similarity): the k most similar rows for each query, not counting itself.
-
-    Queries come in groups and rows in shards, so that neither grows with its table; a
-    group meets a shard in one task, as a product of two matrices, which gives back the
-    k best of the shard. Vectors of unlike length are not compared. Ties go to the
-    smaller key; a key that occurs twice is two rows.
-    """
-    asked, found = unit(queries, key, vector), unit(rows, key, vector)
-    groups, shards = -(-queries.count() // GROUP) or 1, -(-rows.count() // SHARD) or 1
-    kind = found.schema["key"].dataType.simpleString()
-    part = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = asked.withColumn("group", part(groups, "key")).withColumn("shard", every(shards))
-    found = found.withColumn("shard", part(shards, "key")).withColumn("group", every(groups))
+def tile_of(k: int, at_least: float):
+    """What compares a group of queries with a shard of rows, both (key, unit): the k best of
+    the shard for each query. Similarities count to twelve digits, so that copies tie."""
 
     def tile(q: pa.Table, r: pa.Table) -> pa.Table:
         """A function of its own, so that executors need nothing but numpy and Arrow."""
@@ -64,7 +52,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "_id", vecto
             asking, keys = (t["key"].to_pylist() for t in some)
             place = {x: i for i, x in enumerate(keys)}
             for begin in range(0, len(a), 256):
-                scores = a[begin : begin + 256] @ b.T
+                scores = np.round(a[begin : begin + 256] @ b.T, 12)
                 for i, line in enumerate(scores):
                     own = place.get(asking[begin + i])
                     while own is not None and own >= 0 and keys[own] == asking[begin + i]:
@@ -78,7 +66,26 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "_id", vecto
                         out["similarity"].append(float(line[j]))
         return pa.table({"query": pa.array(out["query"], q.schema.field("key").type), "key": pa.array(out["key"], r.schema.field("key").type), "similarity": pa.array(out["similarity"], pa.float64())})
 
-    best = asked.groupBy("shard", "group").cogroup(found.groupBy("shard", "group")).applyInArrow(tile, f"query {kind}, key {kind}, similarity double")
+    return tile
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "_id", vector: str = "embedding", at_least: float = -1.0) -> DataFrame:
+    """(query, rank, key, similarity): the k most similar rows for each query, not counting itself.
+
+    Queries come in groups and rows in shards, so that neither grows with its table; a
+    group meets a shard in one task, as a product of two matrices, which gives back the
+    k best of the shard. Vectors of unlike length are not compared. Ties go to the
+    smaller key; a key that occurs twice is two rows.
+    """
+    asked, found = unit(queries, key, vector), unit(rows, key, vector)
+    groups, shards = -(-queries.count() // GROUP) or 1, -(-rows.count() // SHARD) or 1
+    kind = found.schema["key"].dataType.simpleString()
+    part = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("group", part(groups, "key")).withColumn("shard", every(shards))
+    found = found.withColumn("shard", part(shards, "key")).withColumn("group", every(groups))
+
+    best = asked.groupBy("shard", "group").cogroup(found.groupBy("shard", "group")).applyInArrow(tile_of(k, at_least), f"query {kind}, key {kind}, similarity double")
     whole = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
     return best.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("query", "rank", "key", "similarity")
 

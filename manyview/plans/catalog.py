@@ -7,8 +7,6 @@ has them.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,7 @@ from manyview.functions import bias, display, urls
 from manyview.operators import ingest, readers, similarity, stories, todos, users
 from manyview.sources import adapters
 from manyview.sources.schema import schema
+from manyview.sources.shared import new_root
 from manyview.sources.store import SEEDED, Store
 from manyview.streaming import activity
 
@@ -516,20 +515,10 @@ def interactions_by_day(spark: SparkSession, d: str) -> DataFrame:
     return readers.by_day(adapters.interactions(spark, d)).withColumn("day", F.col("day").cast("string"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="manyview-")
-    return root
-
-
 def _streamed(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
-    name, root = f"streamed_{uuid.uuid4().hex}", _shared(spark)
-    activity.to_files(out, f"{root}/{name}/out", f"{root}/{name}/state", mode).awaitTermination()
-    return activity.written(spark, f"{root}/{name}/out", out.schema, mode)
+    root = new_root(spark, "streamed")
+    activity.to_files(out, f"{root}/out", f"{root}/state", mode).awaitTermination()
+    return activity.written(spark, f"{root}/out", out.schema, mode)
 
 
 @query("""
@@ -582,7 +571,7 @@ def feed_cursors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _store(spark: SparkSession) -> Store:
-    return Store(spark, f"{_shared(spark)}/store_{uuid.uuid4().hex}")
+    return Store(spark, new_root(spark, "store"))
 
 
 def _rows_of(store: Store) -> DataFrame:
