@@ -9,6 +9,10 @@ gives the text, or the article around it if there is one. All blocks of that ele
 are kept, so that short paragraphs at its ends are not lost, and what of the core stands
 before it, a headline or a lead.
 
+Some things that set an element apart are weak: a form may be around a whole page, and a
+word within a longer class may mean something else ("side-by-side"). Where nothing else
+has running text, the weakly marked element that holds the core is not set apart.
+
 Elements are numbered in the order of the page and know what they inherit, so that time
 grows with a page's length, however deep it is.
 """
@@ -49,6 +53,10 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 ENDS_ITSELF = {"li": "li", "dt": "dt", "dd": "dd", "td": "td", "th": "th", "tr": "tr", "option": "option"}
+#: Parts of forms that stand in a line.
+CONTROLS = frozenset("button option".split())
+#: Without their end they swallow the rest of a page; other raw elements are then passed over.
+SWALLOWS = frozenset("script style".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Words of a class or id that mark what is not the article.
@@ -58,42 +66,62 @@ MARKS = frozenset(
     "disqus replies discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay "
     "widget widgets toolbar pagination pager copyright skip disclaimer alert".split()
 )
+# Words of a class, and elements, that tell of an article and are not its text.
+BYLINE = frozenset("byline author authors date dateline time published updated meta metadata timestamp".split())
+#: Marks that within a longer class may mean something else.
+AMBIGUOUS = frozenset("side social widget widgets share sharing head header masthead banner notice notices alert overlay modal popup toolbar skip promo promotion subscription login signup".split())
 #: Elements that may carry a mark for their layout, and words before one that make it no mark ("has-sidebar").
 FRAMES = frozenset("html body main article".split())
 LAYOUT = frozenset("has with no without not is in show hide".split())
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+LINK = re.compile(r"</(?=a\b)|<(?=a\b)", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def set_apart(tag: str, attributes: str, in_main: bool, marked: bool = True) -> bool:
-    """Whether an element is a menu, a form, an advert or another thing beside the
-    article; outside of articles, by its class and id only if ``marked``."""
+def set_apart(tag: str, attributes: str, in_main: bool, marked: bool = True) -> str:
+    """"strong" or "weak" if an element is a menu, a form, an advert or another thing beside
+    the article, "" if not; outside of articles, by its class and id only if ``marked``."""
+    if tag == "form":
+        return "weak"
     if tag in ASIDE:
-        return tag != "header" or not in_main
+        return "strong" if tag != "header" or not in_main else ""
     if not attributes:
-        return False
+        return ""
+    weak = ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
-            return True
+            return "strong"
         if tag in FRAMES:
             continue
         if name == "role" and value.strip().lower() in ROLES:
-            return True
+            return "weak" if value.strip().lower() == "form" else "strong"
         if (marked or in_main) and name in ("class", "id"):
             for mark in value.split():
                 words = [w.lower() for w in SPLIT.split(mark) if w]
                 # the header of an article, and a heading that is called one, are its text
                 own = words and words[-1] == "header" and (tag in HEADINGS or in_main)
                 if words and not own and words[0] not in LAYOUT and (words[0] in MARKS or words[-1] in MARKS):
-                    return True
-    return False
+                    found = {w for w in (words[0], words[-1]) if w in MARKS}
+                    if len(words) == 1 or not found <= AMBIGUOUS:
+                        return "strong"
+                    weak = "weak"
+    return weak
+
+
+def byline(tag: str, attributes: str) -> bool:
+    """Whether an element says who wrote an article, or when."""
+    if tag in ("time", "address"):
+        return True
+    named = [a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "rel", "itemprop")] if attributes else []
+    return any(w.lower() in BYLINE for value in named for w in SPLIT.split(value))
 
 
 @dataclass
 class Element:
     """An open or closed element: the one around it, its last descendant, and what it
-    passes on: whether it is in an article, set apart, in a header, in a heading."""
+    passes on: whether it is in an article, set apart, in a header, in a heading or a
+    paragraph, and the outermost weakly marked element that sets it apart."""
 
     tag: str
     parent: int
@@ -102,23 +130,30 @@ class Element:
     away: bool = False
     header: bool = False
     heading: bool = False
+    told: bool = False
+    weak: int = 0
     last: int = 0
 
 
 @dataclass
 class Line:
-    """A block's text (empty for what is set apart), the element around it, and whether most of it are links."""
+    """A block's text (empty for what is set apart), the element around it, whether most of it are links, and what
+    its length would be if weak marks did not count."""
 
     text: str
     element: int
     linked: bool
+    hidden: int = 0
 
 
 class Page:
     """The lines and elements of a page."""
 
-    def __init__(self, html: str, marked: bool = True):
-        self.marked = marked
+    def __init__(self, html: str, marked: bool = True, spared: frozenset[int] = frozenset()):
+        self.marked, self.spared = marked, spared
+        ends = [(m.start(), m[0] == "</") for m in LINK.finditer(html)]
+        #: Links that end before the next begins. An anchor that is left open is none.
+        self.links = {at for (at, close), (_, next_close) in zip(ends, ends[1:], strict=False) if not close and next_close}
         self.lines: list[Line] = []
         self.elements = [Element("", -1)]
         self.open = [0]
@@ -136,9 +171,11 @@ class Page:
             words = " ".join("".join(self.text).split())
             if words:
                 inner = self.elements[self.open[-1]]
-                # of an article's own header, only the headings are text
-                apart = inner.away or (inner.header and not inner.heading)
-                self.lines.append(Line("" if apart else words, self.open[-1], 2 * self.linked > self.total))
+                # of an article's own header, only headings and paragraphs are text, but those that name the author
+                beside = inner.header and (not inner.heading or inner.told)
+                apart = inner.away or beside
+                hidden = len(words) if inner.weak and inner.away and not beside else 0
+                self.lines.append(Line("" if apart else words, self.open[-1], 2 * self.linked > self.total, hidden))
             self.text.clear()
         self.linked = self.total = 0
 
@@ -157,21 +194,30 @@ class Page:
         self.at[tag].append(len(self.open))
         if tag in BLOCK:
             self.blocks_open.append(len(self.open))
-        apart = around.away or set_apart(tag, attributes, around.in_main, self.marked)
-        element = Element(tag, self.open[-1], main, main or around.in_main, apart, around.header or tag == "header", around.heading or tag in HEADINGS)
+        number = len(self.elements)
+        mark = "" if number in self.spared else set_apart(tag, attributes, around.in_main, self.marked)
+        weak = around.weak or (number if mark == "weak" and not around.away else 0)
+        if mark == "strong":
+            weak = 0
+        header = around.header or tag == "header"
+        element = Element(
+            tag, self.open[-1], main, main or around.in_main, bool(around.away or mark), header, around.heading or tag in HEADINGS or (header and tag == "p"),
+            around.told or (header and byline(tag, attributes)), weak,
+        )
         self.open.append(len(self.elements))
         self.elements.append(element)
 
     def read(self, html: str) -> None:
         at, end = 0, len(html)
+        self.linking = False
         unclosed: set[str] = set()
         while at < end:
             found = TAG.search(html, at)
             piece = html[at : found.start()] if found else html[at:]
-            if piece:
+            if piece and self.elements[self.open[-1]].tag not in CONTROLS:
                 self.text.append(unescape(piece))
                 self.total += len(piece)
-                if self.at["a"]:
+                if self.linking:
                     self.linked += len(piece)
             if not found:
                 break
@@ -183,6 +229,8 @@ class Page:
             attributes = found[3] or found[6] or ""
             if tag == "br":
                 self.text.append(" ")
+            if tag == "a":
+                self.linking = not closing and found.start() in self.links and "name" not in attributes.split("=")[0].lower()
             if tag in BLOCK:
                 self.flush()
             if closing:
@@ -190,10 +238,11 @@ class Page:
                     self.close(self.at[tag][-1])
                 continue
             if tag in RAW:
-                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                if close is None:
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
+                ends = html.find(">", close.end()) if close else -1
+                if ends < 0:
                     unclosed.add(tag)
-                at = close.end() if close else (end if tag != "title" else at)
+                at = ends + 1 if ends >= 0 else (end if tag in SWALLOWS else at)
                 continue
             if tag in BLOCK:
                 ended = self.at[ENDS_ITSELF[tag]] if tag in ENDS_ITSELF else []
@@ -237,14 +286,43 @@ def core(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[
 def main_text(html: str) -> str:
     """The blocks of the main text, joined by an empty line. Where the class or id of
     what is around an article sets all of it apart, it is not believed."""
-    return text_of(Page(html or "")) or text_of(Page(html or "", marked=False), articles=True)
+    page = unveiled(html or "")
+    return text_of(page) or text_of(Page(html or "", marked=False), articles=True)
+
+
+def unveiled(html: str) -> Page:
+    """The page, without the weak marks that set its running text apart. They are looked for
+    from outside to inside, once for each that is nested."""
+    page, spared = Page(html), frozenset()
+    while True:
+        lengths = lengths_of(page)
+        begin, end = core(lengths)
+        if sum(lengths[begin:end]) >= SURGE:
+            return page
+        hidden = [line.hidden for line in page.lines]
+        begin, end = core(hidden)
+        total = sum(hidden[begin:end])
+        held: dict[int, list[int]] = defaultdict(list)
+        for line in page.lines[begin:end]:
+            if line.hidden:
+                held[page.elements[line.element].weak].append(line.hidden)
+        holder = max(held, key=lambda e: sum(held[e]), default=0)
+        # running text: more than one block, and most of what there is
+        if total < SURGE or len(held[holder]) < 2 or sum(held[holder]) < HOLDS * total:
+            return page
+        spared |= {holder}
+        page = Page(html, spared=spared)
+
+
+def lengths_of(page: Page) -> list[int]:
+    """Of each line; outside of articles, lines of links are menus."""
+    return [0 if line.linked and not page.elements[line.element].in_main else len(line.text) for line in page.lines]
 
 
 def text_of(page: Page, articles: bool = False) -> str:
     """The main text of a page; only that of articles, if so asked."""
     lines, elements = page.lines, page.elements
-    # outside of articles, lines of links are menus
-    lengths = [0 if line.linked and not elements[line.element].in_main else len(line.text) for line in lines]
+    lengths = lengths_of(page)
     begin, end = core(lengths)
     if begin == end:
         return ""
@@ -273,7 +351,12 @@ def text_of(page: Page, articles: bool = False) -> str:
         return ""
     holder = article or holder
     last = elements[holder].last
-    kept = [line.text for i, line in enumerate(lines) if line.text and (holder <= line.element <= last or (begin <= i < end and lengths[i] and line.element < holder))]
+    kept = []
+    for i, line in enumerate(lines):
+        # before the element, a headline or a lead of the core; the sums begin to surge a few lines too soon
+        leads = begin <= i < end and line.element < holder and lengths[i] and (elements[line.element].heading or lengths[i] * WINDOW >= SURGE)
+        if line.text and (holder <= line.element <= last or leads):
+            kept.append(line.text)
     return "\n\n".join(kept)
 
 

@@ -227,12 +227,83 @@ def test_the_core_decides_between_elements():
     assert main_text(f"<body>{lead}<article>{text}</article></body>").startswith("A headline\n\nAnd a lead")
 
 
+PARAGRAPHS = [f"The mayor said on Monday that the bridge would open again before the winter comes, number {i} of the things said." for i in range(5)]
+RUNNING = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form action=x><div id=content>{}</div><input name=q><button>Go</button></form></body>",
+        '<body><a name="top"><div>{}</div></body>',
+        '<body><div class="elementor-element elementor-widget elementor-widget-text">{}</div></body>',
+        '<body><div class="side-by-side">{}</div></body>',
+        '<body><div class="social-news">{}</div></body>',
+        '<body><div class="elementor-widget"><form><div class="side-by-side">{}</div></form></div></body>',
+        "<body><svg><path d=x><div>{}</div></body>",
+        "<body><form><article>{}</article></form><nav>menu</nav></body>",
+    ],
+)
+def test_weak_marks_do_not_hide_the_text(page):
+    assert main_text(page.format(RUNNING)) == "\n\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("mark", ["comments", "comment-list", "sidebar", "ad", "cookie-banner", "site-footer", "related-posts"])
+def test_strong_marks_stay(mark):
+    """However much there is of it."""
+    assert main_text(f'<body><p>Short article.</p><div class="{mark}">{RUNNING}</div></body>') == "Short article."
+    assert main_text(f'<body><div class="{mark}">{RUNNING}</div></body>') == ""
+
+
+def test_standfirst_stays():
+    page = '<article><header><h1>T</h1><p>What it is about.</p><p class="byline">By X</p><time>today</time><ul><li>Share</ul></header><p>Text of it.</p></article>'
+    assert main_text(page) == "T\n\nWhat it is about.\n\nText of it."
+
+
+def plain_core(lengths, window=3, surge=80):
+    """Surge and dive, every stretch tried: the one with the most text, the first of equals."""
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    least = max(1, min(surge, max(sums, default=0)))
+    found = (0, 0, 0)
+    for i in range(len(sums)):
+        for j in range(i + 1, len(sums) + 1):
+            if all(s >= least for s in sums[i:j]) and (i == 0 or sums[i - 1] < least) and (j == len(sums) or sums[j] < least):
+                stop = min(len(lengths), j + window - 1)
+                if sum(lengths[i:stop]) > found[0]:
+                    found = (sum(lengths[i:stop]), i, stop)
+    some = [i for i in range(found[1], found[2]) if lengths[i]]
+    return (some[0], some[-1] + 1) if some else (0, 0)
+
+
+def test_core_against_plain():
+    rng = random.Random(3)
+    for _ in range(400):
+        lengths = [rng.choice([0, 0, 3, 20, 40, 90]) for _ in range(rng.randrange(30))]
+        got = core(lengths)
+        assert (got if got[0] < got[1] else (0, 0)) == plain_core(lengths)
+
+
+def test_without_a_core_pages_are_wrong(monkeypatch):
+    """Generated pages without an article element, with teasers and short blocks around the text: the core finds it."""
+    from manyview.llm import html_text
+
+    rng = random.Random(1)
+    pages = []
+    for _ in range(40):
+        text = [f"Sentence {i} of a story that goes on and on, with {rng.randrange(100)} things in it to be told." for i in range(rng.randrange(4, 9))]
+        short = lambda k: "".join(f"<div><p>Card {rng.randrange(99)}</p></div><div></div><hr>" for _ in range(k))
+        pages.append((f"<body><div>{short(rng.randrange(5, 9))}</div><hr><hr><div>{''.join(f'<p>{t}</p>' for t in text)}</div><hr><hr><div>{short(rng.randrange(5, 9))}</div></body>", "\n\n".join(text)))
+    assert all(main_text(page) == text for page, text in pages)
+    monkeypatch.setattr(html_text, "core", lambda lengths: (0, len(lengths)))
+    assert sum(main_text(page) == text for page, text in pages) < 20
+
+
 def test_links_within_the_text_stay():
     page = "<article><p>Long text that runs on for a while, with no link in it at all.</p><p><a href=x>A link of its own</a></p></article>"
     assert main_text(page).endswith("A link of its own")
 
 
-@pytest.mark.parametrize("page", ["<div>x " * 20000, "<b>x" * 9000 + "<div>y</div>" * 9000, "<title>" * 20000, "<!" * 50000, "<article>" * 9000 + "text"])
+@pytest.mark.parametrize("page", ["<div>x " * 20000, "<b>x" * 9000 + "<div>y</div>" * 9000, "<title>" * 20000, "<!" * 50000, "<article>" * 9000 + "text", "<script>" + "</script " * 20000, "<a href=x>y" * 30000])
 def test_deep_pages_take_little_time(page):
     began = time.perf_counter()
     main_text(page)
