@@ -292,7 +292,7 @@ def test_without_a_core_pages_are_wrong(monkeypatch):
     for _ in range(40):
         text = [f"Sentence {i} of a story that goes on and on, with {rng.randrange(100)} things in it to be told." for i in range(rng.randrange(4, 9))]
         short = lambda k: "".join(f"<div><p>Card {rng.randrange(99)}</p></div><div></div><hr>" for _ in range(k))
-        pages.append((f"<body><div>{short(rng.randrange(5, 9))}</div><hr><hr><div>{''.join(f'<p>{t}</p>' for t in text)}</div><hr><hr><div>{short(rng.randrange(5, 9))}</div></body>", "\n\n".join(text)))
+        pages.append((f"<body><div>{short(rng.randrange(60, 90))}</div><hr><hr><div>{''.join(f'<p>{t}</p>' for t in text)}</div><hr><hr><div>{short(rng.randrange(60, 90))}</div></body>", "\n\n".join(text)))
     assert all(main_text(page) == text for page, text in pages)
     monkeypatch.setattr(html_text, "core", lambda lengths: (0, len(lengths)))
     assert sum(main_text(page) == text for page, text in pages) < 20
