@@ -4,9 +4,10 @@ The documents of a source stand in a fixed order, the longest first. The running
 of their expected copies, shifted by one random offset, crosses an integer so many
 times within a document, and so many copies of it are taken.
 
-Documents of like size form a bin and have the same expected copies: what is left of
-the source's target over what is left of its words. So what the few longest documents
-take too much or too little, whole as they are, the many shorter ones make up.
+Documents of like size form a bin and have the same expected copies, the source's target
+over its words. Only documents that have more than a hundredth of the target are not
+left to the offset: a bin of them has a whole number of expected copies, and what the
+rounding leaves goes to the shorter ones. Expected copies are fixed before the offset.
 
 No source is sorted as a whole: cells of a bin are counted, the counts are summed
 within the bin, and a document's place is the sum before its cell plus its rank within
@@ -26,7 +27,7 @@ from manyview.llm.text_columns import word_count
 #: Cells of a bin, by a digest of id and text.
 SPLITS = 256
 P = "__mix_"
-STATE = "struct<taken:double,left:double,upto:double,out:array<struct<bin:int,rate:double,before:double>>>"
+STATE = "struct<goal:double,left:double,upto:double,out:array<struct<bin:int,rate:double,before:double>>>"
 
 
 def _key(source: Column) -> Column:
@@ -81,28 +82,40 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap
     return s.select(f"{P}key", f"{P}total", target.alias(f"{P}target"))
 
 
-def bin_rates(bins: Column, target: Column, total: Column, offset: Column, max_copies: int) -> Column:
+def bin_rates(bins: Column, target: Column, total: Column, max_copies: int) -> Column:
     """Along a source's ``bins`` (structs of down, bin, n, size, sorted), the expected
-    copies of a bin's documents and the sum of expected copies before it."""
+    copies of a bin's documents and the sum of expected copies before it.
 
-    def step(state: Column, b: Column) -> Column:
-        wanted = F.when(state["left"] > 0, (target - state["taken"]) / state["left"]).otherwise(F.lit(0.0))
+    All depends on sizes and target alone. A bin gets what is left of the target over what
+    is left of the words. Where a document has more than a hundredth of the target, the
+    bin's copies are rounded down to a whole number, and what that leaves goes to shorter
+    documents; not if those could not take it up, then it is rounded to the nearer side.
+    """
+    most = F.lit(float(max_copies))
+
+    def once(value: Column, use) -> Column:
         # in an array, so that it is computed once
-        rate = F.array(F.least(F.greatest(wanted, F.lit(0.0)), F.lit(float(max_copies))))
-        return F.get(F.transform(rate, lambda r: after(state, b, r)), 0)
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def step(state: Column, b: Column) -> Column:
+        base = F.when(total > 0, target / total).otherwise(F.lit(0.0))
+        wanted = F.when(state["left"] > 0, state["goal"] / state["left"]).otherwise(base)
+        return once(F.least(F.greatest(wanted, F.lit(0.0)), most), lambda r: whole(state, b, r))
+
+    def whole(state: Column, b: Column, rate: Column) -> Column:
+        mean, rest = b["size"] / b["n"], state["left"] - b["size"]
+        low = F.floor(b["n"] * rate).cast("double")
+        lacks = state["goal"] - low * mean - most * rest
+        copies = F.when((lacks > 0) & (lacks > (low + 1) * mean - state["goal"]), F.least(low + 1, most * b["n"])).otherwise(low)
+        return once(F.when(mean * 100 > target, copies / b["n"]).otherwise(rate), lambda r: after(state, b, r))
 
     def after(state: Column, b: Column, rate: Column) -> Column:
-        upto = state["upto"] + b["n"] * rate
-        copies = F.floor(upto + offset) - F.floor(state["upto"] + offset)
         own = F.struct(b["bin"].alias("bin"), rate.alias("rate"), state["upto"].alias("before"))
         return F.struct(
-            (state["taken"] + copies * (b["size"] / b["n"])).alias("taken"),
-            (state["left"] - b["size"]).alias("left"),
-            upto.alias("upto"),
-            F.concat(state["out"], F.array(own)).alias("out"),
+            (state["goal"] - rate * b["size"]).alias("goal"), (state["left"] - b["size"]).alias("left"), (state["upto"] + b["n"] * rate).alias("upto"), F.concat(state["out"], F.array(own)).alias("out")
         ).cast(STATE)
 
-    start = F.struct(F.lit(0.0).alias("taken"), total.cast("double").alias("left"), F.lit(0.0).alias("upto"), F.array().alias("out")).cast(STATE)
+    start = F.struct(target.alias("goal"), total.cast("double").alias("left"), F.lit(0.0).alias("upto"), F.array().alias("out")).cast(STATE)
     return F.aggregate(bins, start, step, lambda s: s["out"])
 
 
@@ -125,8 +138,8 @@ def mix_sources(
     A null text has size 0; null sources form one source, the last; null ids sort
     first among documents of equal size. Documents of one id and size stand in the
     order of a digest of their texts; rows that are equal in all of that are alike, and
-    it does not matter which of them is taken. A document of no words can get copies,
-    which take nothing. An empty table gives an empty result. Very long texts make bins
+    it does not matter which of them is taken. A document of no words has the
+    expected copies of its source as a whole, target over words, and takes nothing. An empty table gives an empty result. Very long texts make bins
     of their own; a source has at most twice the square root of its longest text's words
     as bins, which are taken along in one row. Columns of ``docs`` beside ``carry`` are
     not read; names that begin with ``__mix_`` are reserved.
@@ -151,7 +164,7 @@ def mix_sources(
     entry = F.struct((-F.col(f"{P}bin")).alias("down"), F.col(f"{P}bin").alias("bin"), "n", "size")
     by_source = bins.groupBy(f"{P}key").agg(F.array_sort(F.collect_list(entry)).alias("bins")).join(targets, f"{P}key")
     by_source = by_source.withColumn(f"{P}start", start)
-    rated = F.inline(bin_rates(F.col("bins"), F.col(f"{P}target"), F.col(f"{P}total"), F.col(f"{P}start"), max_copies))
+    rated = F.inline(bin_rates(F.col("bins"), F.col(f"{P}target"), F.col(f"{P}total"), max_copies))
     rated = by_source.select(f"{P}key", f"{P}total", f"{P}target", f"{P}start", rated).withColumnRenamed("bin", f"{P}bin")
     along = Window.partitionBy(*one_bin).orderBy(f"{P}split").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*cell, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("skip"))

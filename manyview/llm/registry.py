@@ -241,13 +241,19 @@ WITH RECURSIVE d AS (
          ('0x' || substr(md5('mix|' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
   FROM p JOIN t USING (key) GROUP BY key, bin
 ), r AS (
-  SELECT key, 0::BIGINT AS k, -1 AS bin, 0.0::DOUBLE AS taken, total::DOUBLE AS remaining, 0.0::DOUBLE AS upto, 0.0::DOUBLE AS rate, 0.0::DOUBLE AS before
+  SELECT key, 0::BIGINT AS k, -1 AS bin, target AS goal, total::DOUBLE AS remaining, 0.0::DOUBLE AS upto, 0.0::DOUBLE AS rate, 0.0::DOUBLE AS before
   FROM t
   UNION ALL
-  SELECT key, k, bin, taken + (floor(upto + n * rate + start) - floor(upto + start)) * (size::DOUBLE / n), remaining - size, upto + n * rate, rate, upto
-  FROM (SELECT b.*, r.taken, r.remaining, r.upto,
-               least(greatest(CASE WHEN r.remaining > 0 THEN (b.target - r.taken) / r.remaining ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 3.0::DOUBLE) AS rate
-        FROM r JOIN b ON b.key = r.key AND b.k = r.k + 1)
+  SELECT key, k, bin, goal - rate * size, rest, upto + n * rate, rate, upto
+  FROM (
+    SELECT *, CASE WHEN mean * 100 > target
+                   THEN CASE WHEN lacks > 0 AND lacks > (low + 1) * mean - goal THEN least(low + 1, 3.0::DOUBLE * n) ELSE low END / n ELSE wanted END AS rate
+    FROM (
+      SELECT *, goal - low * mean - 3.0::DOUBLE * rest AS lacks FROM (
+        SELECT *, floor(n * wanted) AS low, size::DOUBLE / n AS mean, remaining - size AS rest FROM (
+          SELECT b.*, r.goal, r.remaining, r.upto,
+                 least(greatest(CASE WHEN r.remaining > 0 THEN r.goal / r.remaining WHEN b.total > 0 THEN b.target / b.total ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 3.0::DOUBLE) AS wanted
+          FROM r JOIN b ON b.key = r.key AND b.k = r.k + 1))))
 ), x AS (
   SELECT p.*, b.total, b.target, r.rate, r.before, b.start,
          row_number() OVER (PARTITION BY p.key, p.bin ORDER BY p.split, p.size DESC, p.doc_id, p.digest)::DOUBLE AS place

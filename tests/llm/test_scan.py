@@ -453,6 +453,34 @@ def test_taken_is_near_target(spark):
         assert abs(r["taken"] / r["target"] - 1) < 0.02
 
 
+def test_inclusion_is_proportional(spark):
+    """Over many offsets a document comes as often as its expected copies say; what it is does not depend on the draw."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["x"] * rng.choice([1, 2, 3, 5])), f"s{i % 2}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2).persist()
+    total = Counter()
+    for seed in range(12):
+        for r in mix_sources(docs, ["doc_id"], seed=f"seed {seed}").collect():
+            total[r["doc_id"]] += r["__mix_copies"]
+            rate = r["__mix_target"] / r["__mix_total"]
+            assert r["__mix_copies"] in (int(rate), int(rate) + 1)
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("s0", "s1")}
+    goal = plain.targets(sizes)
+    for s in sizes:
+        mean = sum(total[i] for i, _, x in rows if x == s) / 400 / 12
+        assert abs(mean - goal[s] / sizes[s]) < 0.01
+
+
+def test_long_documents_leave_room(spark):
+    """A text longer than its source's target is left out where shorter ones can make up for it; texts without words come as the source does."""
+    rows = [(0, "x " * 20000, "a")] + [(i, "y " * 100, "a") for i in range(1, 201)] + [(1000 + i, " ", "a") for i in range(300)] + [(5000, "z " * 10000, "b")]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id", "source"], weights=(1, 3)).where("source = 'a'").collect()
+    target = out[0]["__mix_target"]
+    assert target == 20000.0 and abs(sum(r["__mix_copies"] * r["__mix_size"] for r in out) - target) <= 200
+    light = [r["__mix_copies"] for r in out if not r["__mix_size"]]
+    assert 0.4 < sum(light) / len(light) < 0.6
+
+
 def test_mixing_nothing(nothing):
     assert mix_sources(nothing, ["doc_id"]).count() == 0
 
