@@ -354,10 +354,15 @@ def accounts_deleted(spark: SparkSession, d: str) -> DataFrame:
     return users.on_delete(adapters.users(spark, d), gone).select(F.col("_id").alias("user_id"))
 
 
-@query("SELECT 'health' AS name, 'OK' AS answer UNION ALL SELECT 'private', 'Not authenticated' UNION ALL SELECT 'private as someone', 'This is private'")
+@query("""
+SELECT c_custkey AS customer, 'OK' AS health, CASE WHEN c_custkey % 3 = 0 THEN 'Not authenticated' ELSE 'This is private' END AS message FROM customer
+""")
 def constant_answers(spark: SparkSession, d: str) -> DataFrame:
-    answers = [("health", users.health()), ("private", users.private_message(None)), ("private as someone", users.private_message("auth:3"))]
-    return spark.createDataFrame(answers, "name string, answer string")
+    """What everyone is told, a third of whom has no identity."""
+    n = F.col("c_custkey")
+    identity = F.when(n % 3 != 0, F.concat(F.lit("auth:"), n))
+    told = F.when(identity.isNull(), users.private_message(None)).otherwise(users.private_message("someone"))
+    return adapters.load(spark, d, "customer").select(n.alias("customer"), F.lit(users.health()).alias("health"), told.alias("message"))
 
 
 @query("SELECT 'users:3' AS user_id, c_name AS name, 'Editor' AS job, CASE WHEN c_acctbal > 5000 THEN 'high' WHEN c_acctbal > 0 THEN 'low' END AS income FROM customer WHERE c_custkey = 3")
@@ -579,14 +584,20 @@ def _rows_of(store: Store) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES ('topics', 2), ('sources', 3), ('stories', 2), ('articles', 6), ('users', 0), ('first: seeded', 1), ('second: already seeded', 1), ('dimension', 1536)) t(name, n)
+SELECT * FROM (VALUES ('topics', 2), ('sources', 3), ('stories', 2), ('articles', 6), ('empty: seeded', 1), ('dimension', 1536),
+                      ('topics there: already seeded', 1)) t(name, n)
+UNION ALL SELECT 'users', count(*) FROM customer UNION ALL SELECT 'topics there', count(*) FROM region
 """)
 def seeded(spark: SparkSession, d: str) -> DataFrame:
-    """The seed twice: the second time there is a topic, and nothing is written."""
-    store = _store(spark)
-    said = [(f"{turn}: {store.seed()}", 1) for turn in ("first", "second")]
+    """The seed beside users, and where topics are there already, when nothing is written."""
+    store, other = _store(spark), _store(spark)
+    store.insert("users", adapters.users(spark, d).select(*schema("users").names))
+    rows = adapters.topics(spark, d)
+    other.insert("topics", rows.select(F.concat(F.lit("topics:"), "_id").alias("_id"), "_creationTime", "slug", "displayName"))
+    said = [(f"{what}: {s.seed()}", 1) for what, s in (("empty", store), ("topics there", other))]
     wide = store.read("stories").agg(F.max(F.size("embedding")).cast("long").alias("n")).select(F.lit("dimension").alias("name"), "n")
-    return _rows_of(store).unionByName(spark.createDataFrame(said, "name string, n long")).unionByName(wide)
+    left = stories.counts(**{"topics there": other.read("topics")})
+    return _rows_of(store).unionByName(spark.createDataFrame(said, "name string, n long")).unionByName(wide).unionByName(left)
 
 
 @query("SELECT name, CASE WHEN name = 'users' THEN (SELECT count(*) FROM customer) ELSE 0 END AS n FROM (VALUES ('topics'), ('sources'), ('stories'), ('articles'), ('users')) t(name)")
