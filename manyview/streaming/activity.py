@@ -60,3 +60,20 @@ def written(spark: SparkSession, folder: str, schema: StructType, mode: str = "c
             return spark.createDataFrame([], schema)
         folder = f"{folder}/{done[-1]}"
     return spark.read.schema(schema).parquet(folder)
+
+
+def with_stories(activity: DataFrame, stories: DataFrame, key: str = "story") -> DataFrame:
+    """Activity with ``title`` and ``status`` of its story, a table that is read with each batch; null where there is none."""
+    known = stories.select(F.col("_id").alias(key), "title", "status")
+    return activity.join(known, key, "left")
+
+
+def followed_by(first: DataFrame, second: DataFrame, within: str = "1 hour", late: str = LATE) -> DataFrame:
+    """(user_id, event_id, ts, next_id, next_ts): each event of one stream with every event of the
+    other by the same reader at the same time or up to ``within`` later. One that nothing follows
+    comes with nulls, once the watermark has passed the time in which something could. Both
+    streams keep in state only what can still be met."""
+    a = first.withWatermark("ts", late).select("user_id", "event_id", "ts").alias("a")
+    b = second.withWatermark("ts", late).select(F.col("user_id").alias("next_user"), F.col("event_id").alias("next_id"), F.col("ts").alias("next_ts")).alias("b")
+    on = F.expr(f"user_id = next_user AND next_ts >= ts AND next_ts <= ts + INTERVAL {within}")
+    return a.join(b, on, "left").select("user_id", "event_id", "ts", "next_id", "next_ts")
