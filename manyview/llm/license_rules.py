@@ -89,7 +89,8 @@ address | cc-by-nd | creativecommons | creativecommons org licenses by nd [1-4]
 address | unlicense | unlicense | (?:http|https) unlicense org
 address | wtfpl | wtfpl | wtfpl net(?: about)?
 address | bsl-1.0 | boost | boost org license 1 0(?: txt)?
-address | ofl-1.1 | sil | (?:scripts|openfontlicense) (?:sil )?org(?: ofl)?
+address | ofl-1.1 | sil | scripts sil org(?: ofl)?
+address | ofl-1.1 | openfontlicense | openfontlicense org(?: ofl)?
 address | odbl | opendatacommons | opendatacommons org licenses (?:odbl|by|pddl)(?: 1 0)?
 address | php | php | php net license 3 01?(?: txt)?
 address | artistic | perlfoundation | perlfoundation org (?:legal licenses )?artistic(?: license)? 2 0
@@ -158,7 +159,7 @@ clause | gpl | warranty | but without any warranty without even the implied warr
 clause | apache-2.0 | unless | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
 clause | zlib | warranty | this software is provided as is without any express or implied warranty in no event will the authors be held liable
 clause | unlicense | dedication | we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors
-clause | apache-2.0 | patent | hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license
+clause | apache-2.0 | perpetual | hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license
 clause | gpl-3.0 | propagate | to propagate a work means to do anything with it that without permission would make you directly or secondarily liable
 clause | gpl-2.0 | freedom | the licenses for most software are designed to take away your freedom to share and change it
 clause | agpl-3.0 | network | interacting with it remotely through a computer network if your version supports such interaction
@@ -176,7 +177,8 @@ clause | proprietary | confidential | (?:is )?(?:proprietary and confidential|co
 clause | proprietary | prohibited | unauthorized copying of this file via any medium is strictly prohibited
 clause | proprietary | reproduced | no part of this (?:publication|document|book|software|work) may be reproduced(?: stored| distributed| or transmitted){0,3}
 clause | proprietary | reverse | you may not reverse engineer decompile or disassemble
-grant | mit | mit | (?:released|licensed|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:mit|expat|mit x11) licen[sc]e
+grant | mit | mit | (?:released|licensed|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:mit|mit x11) licen[sc]e
+grant | mit | expat | (?:released|licensed|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?expat licen[sc]e
 grant | apache-2.0 | apache | (?:released|licensed|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?apache(?: software)? licen[sc]e(?: version)?(?: v)? ?2(?: 0)?
 grant | apache | apache | (?:released|licensed|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?apache(?: software)? licen[sc]e
 grant | gpl | general public | (?:released|licensed|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:gnu )?general public licen[sc]e
@@ -190,7 +192,8 @@ grant | cc | creative commons | (?:released|licensed|distributed|available|provi
 grant | public-domain | public domain | (?:released|placed|dedicated|donated) (?:in|into|to) the public domain
 grant | dual | dual | (?:is )?dual licensed under(?: the)?
 grant | gpl | same terms | under the same terms as perl itself
-title | mit | mit | (?:the )?(?:mit|expat|mit x11) licen[sc]e
+title | mit | mit | (?:the )?(?:mit|mit x11) licen[sc]e
+title | mit | expat | (?:the )?expat licen[sc]e
 title | apache-2.0 | apache | apache(?: software)? licen[sc]e(?: version)?(?: v)? ?2(?: 0)?
 title | apache | apache | (?:the )?apache(?: software)? licen[sc]e
 title | gpl-2.0 | general public | (?:gnu )?general public licen[sc]e(?: version| v)? ?2(?: 0)?
@@ -241,7 +244,8 @@ title | cecill | cecill | cecill(?: [bc])?(?: free software)?(?: licen[sc]e)?(?:
 title | vim | vim | vim licen[sc]e
 title | intel | intel | intel (?:open source|simplified software) licen[sc]e
 title | nvidia | nvidia | nvidia (?:source code|software) licen[sc]e
-title | openrail | rail | (?:creativeml |bigscience |big code )?(?:open ?rail|responsible ai)(?: [md])? licen[sc]e
+title | openrail | rail | (?:creativeml |bigscience |big code )?open ?rail(?: [md])? licen[sc]e
+title | openrail | responsible ai | (?:creativeml |bigscience |big code )?responsible ai(?: [md])? licen[sc]e
 title | llama | llama | llama [23](?: [0-9])? community licen[sc]e(?: agreement)?
 title | cc-by-sa | creative | creative commons attribution share ?alike(?: licen[sc]e)?(?: [1-4] [05])?
 title | cc-by-nc | creative | creative commons attribution non ?commercial(?: share ?alike| no ?deriv(?:s|atives))?(?: licen[sc]e)?(?: [1-4] [05])?

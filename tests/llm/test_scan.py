@@ -402,6 +402,38 @@ def test_rules_are_bounded_and_gated():
     assert any(g in "mit license" for g in GATE) and any(g in "general public license" for g in GATE)
 
 
+def shortest(parsed):
+    """Of all that a pattern matches, the shortest text for each choice of alternatives."""
+    out = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            some = [chr(value)]
+        elif kind == "IN":
+            some = [next((chr(v if str(k) == "LITERAL" else v[0]) for k, v in value if str(k) in ("LITERAL", "RANGE")), "1")]
+        elif kind == "BRANCH":
+            some = [x for way in value[1] for x in shortest(way)]
+        elif kind == "SUBPATTERN":
+            some = shortest(value[3])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            some = [x * value[0] for x in shortest(value[2])] if value[0] else [""]
+        else:
+            some = [""]
+        out = [a + b for a in out for b in dict.fromkeys(some)][:500]
+    return out
+
+
+def test_no_alternative_lacks_its_keyword():
+    for r in rules():
+        for text in shortest(re._parser.parse(r.pattern)):
+            assert r.keyword in text, (r, text)
+
+
+def test_responsible_ai(spark):
+    out = scan_licenses(spark.createDataFrame([(1, "Released under the Responsible AI License.")], "doc_id long, text string"), ["doc_id"]).first()
+    assert out["__lic_labels"] == "openrail"
+
+
 # --- mixing ---
 
 
