@@ -13,25 +13,42 @@ import pyarrow as pa
 from manyview.llm.word_arrays import LOWER, Chunk, chunks, mix, word_digests, words
 
 _odd = np.random.default_rng(11).integers(0, 1 << 32, 16, dtype=np.uint32) | np.uint32(1)
+#: An odd factor that tells the first word of a pair from the second.
+PAIR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def code_points(chunk: Chunk, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts of a chunk as numbers, and where each text's begin; the last entry is their end."""
+    data = LOWER[chunk.data] if lower else chunk.data
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    first = data[at].astype(np.uint32)
+    long = (first >= 0xC0).astype(np.uint32) + (first >= 0xE0) + (first >= 0xF0)
+    points = first & np.array([0x7F, 0x1F, 0x0F, 0x07], np.uint32)[long]
+    for k in (1, 2, 3):
+        more = np.flatnonzero(long >= k)
+        points[more] = points[more] << np.uint32(6) | data[np.minimum(at[more] + k, len(data) - 1)] & np.uint32(0x3F)
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(lead, out=before[1:])
+    return points, before[chunk.offsets]
 
 
 def bucket_lists(
     chunk: Chunk, orders: tuple[int, ...], bits: int, lower: bool, pairs: bool
 ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For words, pairs of neighbouring words if ``pairs`` says so, then each order of
-    n-grams of characters as bytes: buckets in text order, and where each text's begin
-    and end. A pair is hashed by what its two words differ in, whatever their order, so
-    that all pairs of a word and itself have one bucket."""
+    """For words, pairs of neighbouring words in their order if ``pairs`` says so, then
+    each order of n-grams of characters: buckets in text order, and where each text's
+    begin and end."""
     shift = np.uint64(64 - bits)
     w = words(chunk)
     digests = word_digests(chunk, w, lower=lower)
     out = [((digests >> shift).astype(np.int64), w.offsets[:-1], w.offsets[1:])]
     if pairs:
-        both = mix(digests[1:] ^ digests[:-1])
+        both = mix(digests[:-1] * PAIR + digests[1:])
         begin = np.minimum(w.offsets[:-1], len(both))
         out.append(((both >> shift).astype(np.int64), begin, np.clip(w.offsets[1:] - 1, begin, len(both))))
-    data = (LOWER[chunk.data] if lower else chunk.data).astype(np.uint32) + np.uint32(1)
-    off = chunk.offsets
+    data, off = code_points(chunk, lower)
+    data += np.uint32(1)
     for order in orders:
         n = len(data) - order + 1
         if n <= 0:

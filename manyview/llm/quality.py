@@ -23,8 +23,8 @@ from manyview.llm.worker_code import ship
 
 #: Labelled documents that a model is trained on, and characters of one, at most.
 LABELLED, LONGEST = 3000, 30_000
-ORDERS, BITS, LOWER, PAIRS = (3, 4), 17, False, True
-DIMENSIONS, EPOCHS, RATE = 8, 8, 20.0
+ORDERS, BITS, LOWER, PAIRS = (6,), 18, False, True
+DIMENSIONS, EPOCHS, RATE = 8, 5, 20.0
 
 
 @dataclass
@@ -104,7 +104,8 @@ def rate(batches: Iterator[pa.RecordBatch], shared, carried: int) -> Iterator[pa
 def score_quality(docs: DataFrame, carry: list[str], model: QualityModel, *, text: str = "text") -> DataFrame:
     """Columns ``carry`` of every row, with ``__quality_score`` (0 to 1).
 
-    Null and empty texts have the score that the labels alone suggest. Whole texts are
+    Null and empty texts have the score that the labels alone suggest; a model that saw
+    labels of one class, or none, is defined too: without labels all scores are 0.5. Whole texts are
     read, in chunks, however long they are; equal texts get equal scores, whatever their
     ids. An empty table gives an empty result. Columns of
     ``docs`` beside ``carry`` are not read; names that begin with ``__quality_`` are
