@@ -2,7 +2,7 @@
 
 One linear machine for each family tells it from the rest; within the family that
 wins, a linear support vector machine for each pair of its languages votes. All are
-trained by subgradient steps on hashed n-grams of a bounded sample of each language,
+trained by subgradient steps on hashed n-grams of characters, from a bounded sample of each language,
 and share one weight table, so that a text is read once whatever their number.
 """
 
@@ -22,9 +22,11 @@ from manyview.llm.text_columns import fold_of
 from manyview.llm.training_sample import labelled_sample
 from manyview.llm.worker_code import ship
 
-#: Rows of a language that a model is trained on, languages, rows in all, and characters of a row, at most.
-PER_LANGUAGE, LANGUAGES, LIMIT, LONGEST = 400, 64, 8000, 20_000
+#: Rows of a language that a model is trained on, rows in all, and characters of a row, at most.
+PER_LANGUAGE, LIMIT, LONGEST = 400, 8000, 20_000
 ORDERS, BITS, LOWER = (3, 4), 17, True
+#: Weight of the L2 term, and passes over the rows.
+L2, EPOCHS = 1e-3, 6
 UNKNOWN = "und"
 # Families by ISO 639-1 code. A language of no family here is one of its own.
 FAMILIES = {
@@ -50,30 +52,43 @@ class LanguageModel:
     pairs: list[tuple[int, int]]
     weights: np.ndarray  # bucket x (families, then pairs)
     scale: np.ndarray  # of each column's margin
+    bits: int  # of the buckets
 
 
-def margins(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, epochs: int = 6) -> tuple[np.ndarray, float]:
-    """Weights of a linear machine that separates rows by ``sign``, averaged over all
-    steps, and the factor that brings its typical margin on mean features to 3."""
-    weights, sums, rng, step = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float64), np.random.default_rng(5), 0
+def margins(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights of a linear support vector machine that separates rows by ``sign``, and the
+    factor that brings its typical margin on mean features to 3.
+
+    Subgradient steps on the hinge loss with an L2 term, of rate 1 / (L2 * step). Under that rate
+    the weights at a step are the sum of all moves over the number of steps, so that only
+    the sum is kept; the result is the average over all steps. Both classes weigh alike.
+    """
+    total, sums, rng = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float64), np.random.default_rng(5)
     cost = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())) * len(sign)
     units = [(b, (x / np.sqrt((x * x).sum())).astype(np.float32)) for b, x in rows]
+    harmonic = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, epochs * len(rows) + 1))])
+    step = 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             bucket, x = units[i]
-            if sign[i] * (weights[bucket] @ x) < 1:
-                move = np.float32(sign[i] * min(cost[i], 4.0) * 0.5) * x
-                weights[bucket] += move
-                sums[bucket] += move * np.float64(step)
+            if sign[i] * (total[bucket] @ x) < step:
+                move = np.float32(sign[i] * cost[i] / L2) * x
+                total[bucket] += move
+                sums[bucket] += move * harmonic[step]
             step += 1
-    final = weights - sums / max(1, step)
+    # a move made at a step counts in all later averages, each time over their number of steps
+    final = (harmonic[step] * total - sums) / max(1, step)
     typical = np.median([abs(final[b] @ x) for b, x in rows]) if rows else 1.0
     return final.astype(np.float32), 3.0 / max(float(typical), 1e-9)
 
 
+def bits_for(machines: int) -> int:
+    """Bits of the buckets: fewer from 256 machines on, so that the weight table stays within 2^25 numbers, 128 MB."""
+    return BITS - max(0, int(np.ceil(np.log2(max(1, machines) / 256))))
+
+
 def train(texts: list[str], langs: list[str]) -> LanguageModel:
     keep = [i for i, t in enumerate(texts) if t and t.strip()]
-    rows = sparse_rows([texts[i] for i in keep], ORDERS, BITS, LOWER)
     langs = [langs[i] for i in keep]
     languages = sorted(set(langs))
     family_of = [FAMILY_OF.get(x, x) for x in languages]
@@ -81,17 +96,19 @@ def train(texts: list[str], langs: list[str]) -> LanguageModel:
     label = np.array([languages.index(x) for x in langs], int)
     family = np.array([families.index(family_of[i]) for i in label], int)
     pairs = [(a, b) for a, b in combinations(range(len(languages)), 2) if family_of[a] == family_of[b]]
-    columns = [margins(rows, np.where(family == f, 1, -1)) for f in range(len(families))] if len(families) > 1 else []
+    bits = bits_for(len(families) + len(pairs))
+    rows = sparse_rows([texts[i] for i in keep], ORDERS, bits, LOWER)
+    columns = [margins(rows, np.where(family == f, 1, -1), bits) for f in range(len(families))] if len(families) > 1 else []
     for a, b in pairs:
         mine = np.flatnonzero((label == a) | (label == b))
-        columns.append(margins([rows[i] for i in mine], np.where(label[mine] == a, 1, -1)))
-    weights = np.stack([w for w, _ in columns], 1) if columns else np.zeros((1 << BITS, 0), np.float32)
-    return LanguageModel(languages, families, pairs, weights, np.array([s for _, s in columns]))
+        columns.append(margins([rows[i] for i in mine], np.where(label[mine] == a, 1, -1), bits))
+    weights = np.stack([w for w, _ in columns], 1) if columns else np.zeros((1 << bits, 0), np.float32)
+    return LanguageModel(languages, families, pairs, weights, np.array([s for _, s in columns]), bits)
 
 
 def predict(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Index of the language and the confidence of each text."""
-    means, _ = averages(texts, model.weights, ORDERS, BITS, LOWER)
+    means, _ = averages(texts, model.weights, ORDERS, model.bits, LOWER)
     m = np.clip(means * model.scale, -30, 30)
     n, one = len(m), np.zeros(len(m), int)
     family_of = [FAMILY_OF.get(x, x) for x in model.languages]
@@ -125,7 +142,6 @@ def predict(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
 def fit(
     docs: DataFrame,
     per_language: int = PER_LANGUAGE,
-    languages: int = LANGUAGES,
     limit: int = LIMIT,
     longest: int = LONGEST,
     doc_id: str = "doc_id",
@@ -133,11 +149,12 @@ def fit(
     lang: str = "lang",
 ) -> LanguageModel:
     """A model from a bounded sample of the rows that have a language and a text: at most
-    ``per_language`` rows of each of the ``languages`` most frequent ones, ``limit`` in
-    all, none of more than ``longest`` characters. A model of no language calls every
-    text unknown."""
+    ``per_language`` rows of each, none of more than ``longest`` characters, and ``limit``
+    in all. Every language with such a text is learned: many share the limit, and where
+    there are more languages than that, each has one row. A model of no language calls
+    every text unknown."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("label"), F.col(text).alias("text"))
-    sample = labelled_sample(rows, per_label=per_language, labels=languages, limit=limit, longest=longest, seed="language")
+    sample = labelled_sample(rows, per_label=per_language, limit=limit, longest=longest, seed="language")
     return train([t for t, _ in sample], [name for _, name in sample])
 
 

@@ -9,7 +9,7 @@ import pytest
 from conftest import SCHEMA
 
 from manyview.llm import language_id, quality
-from manyview.llm.ngram_features import averages, bucket_lists, sparse_rows
+from manyview.llm.ngram_features import averages, bucket_lists, code_points, sparse_rows
 from manyview.llm.training_sample import labelled_sample
 from manyview.llm.word_arrays import Runs, chunks, word_digests, words
 
@@ -50,15 +50,17 @@ def test_language_learns_from_its_rows_only(spoken):
     assert a.languages == b.languages and np.array_equal(a.weights, b.weights)
 
 
-def test_the_sample_is_bounded_in_rows_and_languages(spark):
-    """Rows that share an id count one by one, equal rows once, and rare labels not at all."""
+def test_the_sample_is_bounded_and_has_every_language(spark):
+    """Rows that share an id count one by one, equal rows once, and rare labels too."""
     rows = [(1, f"some text number {i}", "en") for i in range(3000)] + [(2, "the same text", "en")] * 500
     rows += [(i, f"dirty {i}", f"l{i:04d}") for i in range(3, 300)] + [(9000 + i, "x" * 21_000, "zz") for i in range(3)]
     docs = spark.createDataFrame(rows, "id long, text string, label string")
-    sample = labelled_sample(docs, per_label=400, labels=64, limit=8000, longest=20_000, seed="s")
+    sample = labelled_sample(docs, per_label=400, limit=8000, longest=20_000, seed="s")
     each = Counter(label for _, label in sample)
-    assert each["en"] <= 400 and len(each) == 64 and max(len(t) for t, _ in sample) <= 20_000 and sum(t == "the same text" for t, _ in sample) <= 1
-    assert sample == labelled_sample(docs.repartition(9), per_label=400, labels=64, limit=8000, longest=20_000, seed="s")
+    assert each["en"] <= 400 and len(each) == 298 and max(len(t) for t, _ in sample) <= 20_000 and sum(t == "the same text" for t, _ in sample) <= 1
+    one_each = labelled_sample(docs, per_label=400, limit=100, longest=20_000, seed="s")
+    assert len(one_each) == 298 == len({label for _, label in one_each})
+    assert sample == labelled_sample(docs.repartition(9), per_label=400, limit=8000, longest=20_000, seed="s")
 
 
 @pytest.mark.parametrize("langs", [[], ["en"], ["de", "en"], ["en", "fr"]])
@@ -98,11 +100,68 @@ def test_quality(spark):
     assert {r["__quality_score"] for r in quality.score_quality(docs, ["doc_id"], without).collect()} == {0.5}
 
 
-def test_pairs_of_a_word_and_itself_have_one_bucket():
-    lists = [bucket_lists(c, (3,), 12, False, True)[1] for c in chunks(pa.array(["a a b b", "zz zz", "one", ""]))]
-    ((bucket, begin, end),) = lists
-    assert begin.tolist() == [0, 4, 5, 5][:1] + begin.tolist()[1:] and (end - begin).tolist() == [3, 1, 0, 0]
-    assert bucket[0] == bucket[2] == bucket[begin[1]] == 0
+def test_more_than_64_languages_are_told_apart():
+    rng = random.Random(2)
+    own = {f"q{i:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for i in range(90)}
+    said = [(" ".join(rng.choice(w) for _ in range(20)), lang) for lang, w in own.items() for _ in range(6)]
+    model = language_id.train([t for t, _ in said], [lang for _, lang in said])
+    new = [(" ".join(rng.choice(w) for _ in range(20)), lang) for lang, w in own.items()]
+    lang, _ = language_id.predict(model, pa.array([t for t, _ in new]))
+    assert [model.languages[i] for i in lang] == [x for _, x in new]
+    assert [language_id.bits_for(n) for n in (0, 1, 256, 257, 512, 5000)] == [17, 17, 17, 16, 16, 12]
+
+
+def test_machines_are_support_vector_machines():
+    """Their loss, L2 term included, is near the least that plain full-batch descent finds."""
+    rng = np.random.default_rng(1)
+    x = rng.random((60, 16))
+    sign = np.where(x[:, 0] + 0.3 * rng.random(60) > 0.6, 1, -1)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    cost = np.where(sign > 0, 0.5 / (sign > 0).sum(), 0.5 / (sign < 0).sum())
+
+    def loss(w):
+        return language_id.L2 / 2 * w @ w + cost @ np.maximum(0, 1 - sign * (x @ w))
+
+    got, _ = language_id.margins([(np.arange(16), row) for row in x], sign, bits=4, epochs=400)
+    w, best = np.zeros(16), loss(np.zeros(16))
+    for t in range(1, 200_000):
+        w -= (language_id.L2 * w - (cost * sign * (sign * (x @ w) < 1)) @ x) / (language_id.L2 * (t + 1000))
+        best = min(best, loss(w))
+    assert loss(got) < 1.1 * best + 0.01 and best < 0.8
+
+
+def test_no_bucket_decides(spark):
+    """Texts of repeated words are told by many n-grams; without the heaviest bucket they still are."""
+    rng = random.Random(8)
+
+    def junk():
+        return " ".join(w for w in text_in(rng, "en", 6).split() for _ in range(9))
+
+    train = [(junk(), 0) if i % 4 == 0 else (text_in(rng, "en", 50), 1) for i in range(400)]
+    test = [(junk(), 0) if i % 4 == 0 else (text_in(rng, "en", 50), 1) for i in range(200)]
+    model = quality.train([t for t, _ in train], [y for _, y in train])
+    y, texts = np.array([y for _, y in test]), pa.array([t for t, _ in test])
+
+    def auc(weights):
+        s = averages(texts, weights, quality.ORDERS, quality.BITS, quality.LOWER, quality.PAIRS)[0][:, 0]
+        return np.mean(s[y == 1][:, None] > s[y == 0][None, :])
+
+    less = model.weights.copy()
+    less[np.abs(less[:, 0]).argmax()] = 0
+    assert auc(model.weights) > 0.95 and abs(auc(model.weights) - auc(less)) < 0.01
+
+
+def test_pairs_are_ordered_and_characters_are_whole():
+    (chunk,) = chunks(pa.array(["a b a b", "b a", "zz zz c c", "é€😀é", ""]))
+    _, (pair, begin, end), (gram, first, last) = bucket_lists(chunk, (3,), 20, False, True)
+    assert (end - begin).tolist() == [3, 1, 3, 0, 0]
+    assert pair[0] == pair[2] != pair[1] == pair[begin[1]]
+    assert pair[begin[2]] != pair[begin[2] + 2]
+    assert (last - first).tolist() == [5, 1, 7, 2, 0]
+    points, at = code_points(chunk, False)
+    assert "".join(map(chr, points)) == "a b a bb azz zz c cé€😀é" and at.tolist() == [0, 7, 10, 19, 23, 23]
+    points, at = code_points(next(chunks(pa.array(["ABÉ"]))), True)
+    assert "".join(map(chr, points)) == "abÉ" and at.tolist() == [0, 3]
 
 
 def test_averages_are_those_of_the_rows():
