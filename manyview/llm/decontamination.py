@@ -1,7 +1,7 @@
 """Benchmark decontamination by canonical templates, in Spark's own expressions.
 
-Numbers, names and units of a text become typed placeholders, a name of several words
-one; what is left is its template, so that a question asked anew with other values
+Numbers, in digits or in words, names and units of a text become typed placeholders, a
+name of several words one; what is left is its template, so that a question asked anew with other values
 keeps most of it. A capital that may only be that of a sentence is read both ways. Windows
 of template words are joined with those of the benchmark's items, from every word of
 a document on, so that an item of which any window counts cannot be passed over;
@@ -41,6 +41,45 @@ UNITS = (
     "ml|l|lit(?:er|re)s?|gallons?|cups?|s|ms|sec|secs|seconds?|min|mins|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|"
     "usd|eur|gbp|dollars?|euros?|cents?|percent|degrees?|celsius|fahrenheit|mph|kmh|hz|khz|mhz|w|kw|kwh|v|a|b|kb|mb|gb|tb"
 )
+# Numbers in words in the corpus's languages, English, German, French and Spanish. Words that are also
+# articles, units or other common words are left out: "one", "ein", "un", "une", "uno", Spanish "once", French "cent".
+SPELLED = {
+    2: "two zwei deux dos",
+    3: "three drei trois tres",
+    4: "four vier quatre cuatro",
+    5: "five fünf cinq cinco",
+    6: "six sechs seis",
+    7: "seven sieben sept siete",
+    8: "eight acht huit ocho",
+    9: "nine neun neuf nueve",
+    10: "ten zehn dix diez",
+    11: "eleven elf onze",
+    12: "twelve zwölf douze doce",
+    13: "thirteen dreizehn treize trece",
+    14: "fourteen vierzehn quatorze catorce",
+    15: "fifteen fünfzehn quinze quince",
+    16: "sixteen sechzehn seize dieciséis",
+    17: "seventeen siebzehn diecisiete",
+    18: "eighteen achtzehn dieciocho",
+    19: "nineteen neunzehn diecinueve",
+    20: "twenty zwanzig vingt veinte",
+    30: "thirty dreißig trente treinta",
+    40: "forty vierzig quarante cuarenta",
+    50: "fifty fünfzig cinquante cincuenta",
+    60: "sixty sechzig soixante sesenta",
+    70: "seventy siebzig setenta",
+    80: "eighty achtzig ochenta",
+    90: "ninety neunzig noventa",
+    100: "hundred hundert cien",
+    1000: "thousand tausend mille mil",
+}
+SPELLED_AS = {word: str(value) for value, spelled in SPELLED.items() for word in spelled.split()}
+#: Numbers of two words: tens, and what is added to them.
+TENS = {word: int(value) for word, value in SPELLED_AS.items() if 20 <= int(value) < 100}
+ONES = {"one": 1} | {word: int(value) for word, value in SPELLED_AS.items() if int(value) < 10}
+# German says both in one word
+GERMAN_ONES = ["ein", *(SPELLED[i].split()[1] for i in range(2, 10))]
+SPELLED_AS |= {f"{one}und{SPELLED[ten].split()[1]}": str(ten + i) for ten in range(20, 100, 10) for i, one in enumerate(GERMAN_ONES, 1)}
 UNIT_RE = rf"{NUMBER}(\s{{0,4}})(?:{UNITS})(?![\p{{L}}\p{{M}}])"
 TEMPLATE_WORD = rf"[\p{{L}}\p{{M}}]+|[{NAME}{NUMBER}{UNIT}]"
 PLAIN_WORD = rf"{NUMBER_RE}|[\p{{L}}\p{{M}}]+"
@@ -67,15 +106,44 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(runs, NUMBER_RE, NUMBER), UNIT_RE, f"{NUMBER}$1{UNIT}")
 
 
+def added(words: Column, word: Column, at: Column) -> Column:
+    """Whether a word belongs to the tens before it ("twenty-three")."""
+    return F.when(word.isin(*ONES) & (at > 0), F.coalesce(F.get(words, at - 1).isin(*TENS), F.lit(False))).otherwise(False)
+
+
 def template(marked: Column, names: str = "inner") -> Column:
-    """The words of the template of a text that is ``marked``."""
-    return F.regexp_extract_all(F.regexp_replace(marked, READ_AS[names], NAME), F.lit(TEMPLATE_WORD), 0)
+    """The words of the template of a text that is ``marked``, with placeholders for numbers
+    in words and for units after them."""
+    words = F.regexp_extract_all(F.regexp_replace(marked, READ_AS[names], NAME), F.lit(TEMPLATE_WORD), 0)
+
+    def placed(found: Column) -> Column:
+        def word(x: Column, i: Column) -> Column:
+            after_number = F.when(i > 0, F.get(found, i - 1).isin(*SPELLED_AS)).otherwise(False)
+            unit = F.when(after_number, x.rlike(rf"^(?:{UNITS})$")).otherwise(False)
+            return F.when(x.isin(*SPELLED_AS), F.lit(NUMBER)).when(unit, F.lit(UNIT)).otherwise(x)
+
+        return F.transform(found, word)
+
+    return bound(bound(words, lambda w: F.filter(w, lambda x, i: ~added(w, x, i))), placed)
 
 
 def template_values(text: Column, names: str) -> Column:
-    """What the words of the template stand for, in lower case; the words of a name with one space between."""
+    """What the words of the template stand for, in lower case; the words of a name with one
+    space between, numbers in words as digits."""
+    digits = F.create_map(*[F.lit(x) for pair in SPELLED_AS.items() for x in pair])
     found = F.regexp_extract_all(F.regexp_replace(unmarked(text), NAME_RE[names], NAME + "$0"), F.lit(VALUE_WORD), 0)
-    return F.transform(found, lambda v: F.regexp_replace(F.lower(F.translate(v, NAME, "")), r"\s+", " "))
+
+    tens, ones = (F.create_map(*[F.lit(x) for pair in which.items() for x in pair]) for which in (TENS, ONES))
+
+    def value(words: Column, v: Column, i: Column) -> Column:
+        name = F.regexp_replace(F.substring(v, 2, 1 << 30), r"\s+", " ")
+        more = F.get(words, i + 1)
+        both = (F.element_at(tens, v) + F.element_at(ones, more)).cast("string")
+        spelled = F.when(v.isin(*TENS) & more.isin(*ONES), both).otherwise(F.element_at(digits, v))
+        said = F.when(F.startswith(v, F.lit(NAME)), name).when(v.isin(*SPELLED_AS), spelled).otherwise(v)
+        return F.when(~added(words, v, i), said)
+
+    return bound(F.transform(found, F.lower), lambda words: F.array_compact(F.transform(words, lambda v, i: value(words, v, i))))
 
 
 def plain_words(text: Column) -> Column:
@@ -168,6 +236,7 @@ def leaks(
     literal: int = 5,
     cover: float = 0.5,
     drift: int = 8,
+    stretch: int = 4096,
     doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
@@ -186,7 +255,10 @@ def leaks(
     texts and null items are never found. Two values of an item may become one, as other
     questions may ask for the same number twice. Rows equal in id and text give one
     result, as do items. Whole texts are read, however long; an empty table or benchmark
-    gives an empty result. Windows that many items share are not asked for where an item
+    gives an empty result. Places of a document are chained in stretches of ``stretch``
+    words or more, each with what chains that end in it can reach, so that a text that
+    repeats an item takes many short steps; the result does not depend on it. Numbers in
+    words are numbers up to "ninety-nine", "hundred" and "thousand". Windows that many items share are not asked for where an item
     has rarer ones, so that documents meet only items that they can hold. Other columns
     are not read.
     """
@@ -229,7 +301,8 @@ def leaks(
     if not kinds:
         return keyed.where("false").select("id", "row", F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("covered"), F.lit(True).alias("same"))
     exact = F.startswith("kind", F.lit("plain"))
-    sizes = wanted.groupBy("kind", "item", "text_key").agg(F.count("*").alias("windows"))
+    span = (F.max("at") - F.min("at")).alias("span")
+    sizes = wanted.groupBy("kind", "item", "text_key").agg(F.count("*").alias("windows"), span)
     sizes = scratch.table(sizes.withColumn("enough", F.ceil(F.col("windows") * F.when(exact, F.lit(1.0)).otherwise(F.lit(cover)))), "sizes")
     # a document with enough windows of an item has one of any that are more than the rest; the item's rarest ones are asked for
     common = wanted.groupBy("kind", "w").agg(F.count("*").alias("common"))
@@ -244,15 +317,25 @@ def leaks(
     here = [told.select("id", "row", F.lit(f"{k} {size}").alias("kind"), F.posexplode(window_digests(k, int(size))).alias("place", "w")) for k, size in kinds]
     here = reduce(DataFrame.unionByName, here)
     pairs = scratch.table(here.join(small(probes), ["kind", "w"]).select("id", "row", "kind", "item", "text_key").distinct(), "pairs")
+    turn = F.when(exact, F.lit(0)).otherwise(F.lit(drift))
+    # a chain reaches no further back than this, so that a stretch with as much before it and a link after it has all chains that end in it
+    link, back = F.col("span") + turn + 1, F.col("span") + turn * F.col("windows") + 1
+    pairs = pairs.join(small(sizes), ["kind", "item", "text_key"]).withColumns({"link": link, "back": back})
+    pairs = pairs.withColumn("long", F.greatest(F.lit(stretch), 4 * (F.col("link") + F.col("back")))).drop("span")
     asked = pairs.join(small(wanted), ["kind", "item", "text_key"]).withColumnsRenamed({"id": "p_id", "row": "p_row", "kind": "p_kind", "w": "p_w"})
     agree = here.join(asked, F.expr("id <=> p_id AND row = p_row AND kind = p_kind AND w = p_w"))
-    met = agree.groupBy("id", "row", "kind", "item", "text_key").agg(F.array_sort(F.collect_set(F.struct("place", "at"))).alias("hits"), F.count_distinct("at").alias("most"))
-    met = met.join(sizes, ["kind", "item", "text_key"]).where(F.col("most") >= F.col("enough"))
+    first, last = F.floor(F.greatest(F.col("place") - F.col("link"), F.lit(0)) / F.col("long")), F.floor((F.col("place") + F.col("back")) / F.col("long"))
+    agree = agree.withColumn("stretch", F.explode(F.sequence(first, last)))
+    met = agree.groupBy("id", "row", "kind", "item", "text_key", "stretch", "windows", "enough", "long").agg(
+        F.array_sort(F.collect_set(F.struct("place", "at"))).alias("hits"), F.count_distinct("at").alias("most")
+    )
+    met = met.where(F.col("most") >= F.col("enough"))
     said = [F.when(F.startswith("kind", F.lit(names)), F.struct(F.col(names).alias("words"), F.col(f"{names}_values").alias("values"))) for names in NAME_RE]
     said = F.coalesce(*said, F.struct(F.col("plain").alias("words"), F.col("plain").alias("values")))
-    met = met.join(items, ["item", "text_key"]).select("id", "row", "kind", "item", "hits", "windows", "enough", said.alias("asked"))
-    size, turn = F.split_part("kind", F.lit(" "), F.lit(2)).cast("int"), F.when(exact, F.lit(0)).otherwise(F.lit(drift))
+    met = met.join(items, ["item", "text_key"]).select("id", "row", "kind", "item", "hits", "stretch", "long", "windows", "enough", said.alias("asked"))
+    size = F.split_part("kind", F.lit(" "), F.lit(2)).cast("int")
     lines = met.select("*", F.explode(chains("hits", size, F.size("asked.words") + turn, turn)).alias("line")).drop("hits").where(F.col("line.agreeing") >= F.col("enough"))
+    lines = lines.where(F.floor(F.col("line.place") / F.col("long")) == F.col("stretch"))
     lines = lines.alias("l").join(told.alias("t"), F.expr("l.id <=> t.id AND l.row = t.row")).select("l.*", said.alias("found"))
     # only words within windows that agree were aligned
     places = F.flatten(F.transform("line.parts", lambda p: F.transform(F.sequence(p["first"], p["last"]), lambda i: F.struct(i.alias("i"), (i + p["shift"]).alias("j")))))

@@ -4,7 +4,7 @@ import math
 
 import regex
 
-from manyview.llm.decontamination import UNITS
+from manyview.llm.decontamination import ONES, SPELLED_AS, TENS, UNITS
 
 CAPITAL = r"\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{M}])"
 RUN = rf"{CAPITAL}(?:\s{{1,4}}{CAPITAL})*+"
@@ -22,6 +22,14 @@ def read(text, names):
         kind = m.lastgroup
         if kind == "word" and last and last.lastgroup == "number" and UNIT.match(value) and regex.fullmatch(r"\s{0,4}", text[last.end() : m.start()]):
             kind = "unit"
+        elif kind == "word" and out and out[-1][0] == (None, "number") and last.lastgroup == "word" and UNIT.match(value):
+            kind = "unit"
+        if kind == "word" and value in ONES and last and last.lastgroup == "word" and last.group().lower() in TENS:
+            out[-1] = (out[-1][0], str(TENS[last.group().lower()] + ONES[value]))
+            last = m
+            continue
+        if kind == "word" and value in SPELLED_AS:
+            kind, value = "number", SPELLED_AS[value]
         out.append(((None, kind) if kind != "word" else (value, kind), value))
         last = m
     return out
