@@ -1,7 +1,7 @@
 """Benchmark decontamination by canonical templates, in Spark's own expressions.
 
-Numbers, names and units of a text become typed placeholders, a name of several words
-one; what is left is its template, so that a question asked anew with other values
+Numbers, in digits or in words, names and units of a text become typed placeholders, a
+name of several words one; what is left is its template, so that a question asked anew with other values
 keeps most of it. A capital that may only be that of a sentence is read both ways. Windows
 of template words are joined with those of the benchmark's items, from every word of
 a document on, so that an item of which any window counts cannot be passed over;
@@ -26,7 +26,60 @@ NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 #: Around a run of capitals: its first word if that may only be a sentence's, and the words after it.
 RUN, FIRST, REST = "\u0004", "\u0005", "\u0006"
 MARKS = NAME + NUMBER + UNIT + RUN + FIRST + REST
-CAPITAL = r"\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{M}])"
+# Numbers in words in the corpus's languages, English, German, French and Spanish. Words that are also
+# articles, units or other common words are left out: "one", "ein", "un", "une", "uno", Spanish "once", French "cent".
+SPELLED = {
+    2: "two zwei deux dos",
+    3: "three drei trois tres",
+    4: "four vier quatre cuatro",
+    5: "five fünf cinq cinco",
+    6: "six sechs seis",
+    7: "seven sieben sept siete",
+    8: "eight acht huit ocho",
+    9: "nine neun neuf nueve",
+    10: "ten zehn dix diez",
+    11: "eleven elf onze",
+    12: "twelve zwölf douze doce",
+    13: "thirteen dreizehn treize trece",
+    14: "fourteen vierzehn quatorze catorce",
+    15: "fifteen fünfzehn quinze quince",
+    16: "sixteen sechzehn seize dieciséis",
+    17: "seventeen siebzehn diecisiete",
+    18: "eighteen achtzehn dieciocho",
+    19: "nineteen neunzehn diecinueve",
+    20: "twenty zwanzig vingt veinte",
+    30: "thirty dreißig trente treinta",
+    40: "forty vierzig quarante cuarenta",
+    50: "fifty fünfzig cinquante cincuenta",
+    60: "sixty sechzig soixante sesenta",
+    70: "seventy siebzig setenta",
+    80: "eighty achtzig ochenta",
+    90: "ninety neunzig noventa",
+    100: "hundred hundert cien",
+    1000: "thousand tausend mille mil",
+}
+SPELLED_AS = {word: value for value, spelled in SPELLED.items() for word in spelled.split()}
+#: Numbers of two words: tens, and what is added to them.
+TENS = [word for word, value in SPELLED_AS.items() if 20 <= value < 100]
+ONES = {"one": 1} | {word: value for word, value in SPELLED_AS.items() if value < 10}
+# German says both in one word
+GERMAN_ONES = ["ein", *(SPELLED[i].split()[1] for i in range(2, 10))]
+SPELLED_AS |= {f"{one}und{SPELLED[ten].split()[1]}": ten + i for ten in range(20, 100, 10) for i, one in enumerate(GERMAN_ONES, 1)}
+
+
+def any_of(words) -> str:
+    """A pattern for the longest of the words that fits, by shared beginnings: each letter is tried once."""
+    rest = {}
+    for word in sorted(set(words), reverse=True):
+        rest.setdefault(word[:1], []).append(word[1:])
+    ways = [first and first + any_of(more) for first, more in rest.items()]
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
+WORD_ENDS = r"(?![\p{L}\p{M}])"
+#: Never a name, though a sentence may begin with it.
+COUNTED = any_of(word.capitalize() for word in SPELLED_AS | ONES) + WORD_ENDS
+CAPITAL = rf"(?=\p{{Lu}})(?!{COUNTED})\p{{Lu}}[\p{{Ll}}\p{{M}}]++{WORD_ENDS}"
 CAPITALS = rf"{CAPITAL}(?:\s{{1,4}}{CAPITAL})*+"
 WITHIN = r"(?<=[\p{L}\p{N},;]\s{1,4})"
 #: Names in two ways of reading: capitals within a sentence, after a word or a comma and a little white space; all capitals.
@@ -35,6 +88,9 @@ RUN_RE = rf"(?<![\p{{L}}\p{{M}}])(?:{WITHIN}{CAPITALS}|({CAPITAL})((?:\s{{1,4}}{
 #: What of a marked run is a name.
 READ_AS = {"inner": f"{RUN}{FIRST}{REST}|{FIRST}[^{REST}]+{REST}", "every": f"{RUN}[^{REST}]*{REST}"}
 NUMBER_RE = r"\p{N}+(?:[.,:]\p{N}+)*"
+#: A number in words, in lower case: one word, or tens and ones. What stands before it, no letter, is looked at first.
+SPELLED_RE = rf"(?:{any_of(TENS)}(?:-|\s{{1,4}}){any_of(ONES)}|{any_of(SPELLED_AS)}){WORD_ENDS}"
+AFTER_NO_LETTER = rf"(^|[^\p{{L}}\p{{M}}])(?=[{''.join(sorted({word[0] for word in SPELLED_AS}))}]){SPELLED_RE}"
 # Units, spelled out or short, after a number.
 UNITS = (
     "mm|cm|m|km|in|ft|yd|mi|inch|inches|foot|feet|yards?|miles?|met(?:er|re)s?|kilomet(?:er|re)s?|mg|g|kg|lbs?|oz|grams?|kilograms?|pounds?|ounces?|tons?|"
@@ -44,8 +100,8 @@ UNITS = (
 UNIT_RE = rf"{NUMBER}(\s{{0,4}})(?:{UNITS})(?![\p{{L}}\p{{M}}])"
 TEMPLATE_WORD = rf"[\p{{L}}\p{{M}}]+|[{NAME}{NUMBER}{UNIT}]"
 PLAIN_WORD = rf"{NUMBER_RE}|[\p{{L}}\p{{M}}]+"
-#: A word of the template with its value, once names are marked.
-VALUE_WORD = rf"{NAME}{CAPITALS}|{PLAIN_WORD}"
+#: A word of the template with its value, in lower case, once names are marked.
+VALUE_WORD = rf"{NAME}[^{RUN}]*{RUN}|{NUMBER_RE}|{SPELLED_RE}|[\p{{L}}\p{{M}}]+"
 #: Windows of the benchmark that may be sent to every executor: 16 bytes each.
 BROADCAST_WINDOWS = 200_000
 
@@ -64,7 +120,8 @@ def unmarked(text: Column) -> Column:
 def marked(text: Column) -> Column:
     """The text in lower case, its runs of capitals marked, with placeholders for numbers and units."""
     runs = F.lower(F.regexp_replace(unmarked(text), RUN_RE, f"{RUN}$1{FIRST}$2{REST}"))
-    return F.regexp_replace(F.regexp_replace(runs, NUMBER_RE, NUMBER), UNIT_RE, f"{NUMBER}$1{UNIT}")
+    numbers = F.regexp_replace(F.regexp_replace(runs, NUMBER_RE, NUMBER), AFTER_NO_LETTER, f"$1{NUMBER}")
+    return F.regexp_replace(numbers, UNIT_RE, f"{NUMBER}$1{UNIT}")
 
 
 def template(marked: Column, names: str = "inner") -> Column:
@@ -73,9 +130,23 @@ def template(marked: Column, names: str = "inner") -> Column:
 
 
 def template_values(text: Column, names: str) -> Column:
-    """What the words of the template stand for, in lower case; the words of a name with one space between."""
-    found = F.regexp_extract_all(F.regexp_replace(unmarked(text), NAME_RE[names], NAME + "$0"), F.lit(VALUE_WORD), 0)
-    return F.transform(found, lambda v: F.regexp_replace(F.lower(F.translate(v, NAME, "")), r"\s+", " "))
+    """What the words of the template stand for, in lower case; the words of a name with one
+    space between, numbers in words as digits."""
+    marked_names = F.lower(F.regexp_replace(unmarked(text), NAME_RE[names], f"{NAME}$0{RUN}"))
+    number = F.create_map(*[F.lit(x) for pair in (SPELLED_AS | ONES).items() for x in pair])
+
+    def value(v: Column) -> Column:
+        name = F.regexp_replace(F.translate(v, NAME + RUN, ""), r"\s+", " ")
+        both = F.element_at(number, F.regexp_extract(v, r"^\p{L}+", 0)) + F.element_at(number, F.regexp_extract(v, r"\p{L}+$", 0))
+        two_words = F.contains(v, F.lit("-")) | v.rlike(r"\s")
+        return (
+            F.when(F.startswith(v, F.lit(NAME)), name)
+            .when(v.isin(*SPELLED_AS), F.element_at(number, v).cast("string"))
+            .when(two_words, both.cast("string"))
+            .otherwise(v)
+        )
+
+    return F.transform(F.regexp_extract_all(marked_names, F.lit(VALUE_WORD), 0), value)
 
 
 def plain_words(text: Column) -> Column:
@@ -185,7 +256,8 @@ def leaks(
     included, follow each other in a document. Items of fewer than three words, null
     texts and null items are never found. Two values of an item may become one, as other
     questions may ask for the same number twice. Rows equal in id and text give one
-    result, as do items. Whole texts are read, however long; an empty table or benchmark
+    result, as do items. Numbers in words are numbers up to "ninety-nine", "hundred" and
+    "thousand", and never names. Whole texts are read, however long; an empty table or benchmark
     gives an empty result. Windows that many items share are not asked for where an item
     has rarer ones, so that documents meet only items that they can hold. Other columns
     are not read.

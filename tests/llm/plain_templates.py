@@ -4,9 +4,10 @@ import math
 
 import regex
 
-from manyview.llm.decontamination import UNITS
+from manyview.llm.decontamination import ONES, SPELLED_AS, TENS, UNITS
 
-CAPITAL = r"\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{M}])"
+COUNTED = "|".join(sorted({w.capitalize() for w in [*SPELLED_AS, *ONES]}, key=len, reverse=True))
+CAPITAL = rf"(?!(?:{COUNTED})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]++(?![\p{{L}}\p{{M}}])"
 RUN = rf"{CAPITAL}(?:\s{{1,4}}{CAPITAL})*+"
 NAMES = {"inner": rf"(?<=[\p{{L}}\p{{N}},;]\s{{1,4}}){RUN}", "every": rf"(?<![\p{{L}}\p{{M}}]){RUN}"}
 NUMBER = r"\p{N}+(?:[.,:]\p{N}+)*"
@@ -20,7 +21,15 @@ def read(text, names):
     for m in scan.finditer(text):
         value = regex.sub(r"\s+", " ", m.group().lower())
         kind = m.lastgroup
-        if kind == "word" and last and last.lastgroup == "number" and UNIT.match(value) and regex.fullmatch(r"\s{0,4}", text[last.end() : m.start()]):
+        between = text[last.end() : m.start()] if last else ""
+        before = last.group().lower() if last and last.lastgroup == "word" else ""
+        if kind == "word" and value in ONES and before in TENS and regex.fullmatch(r"-|\s{1,4}", between):
+            out[-1] = (out[-1][0], str(SPELLED_AS[before] + ONES[value]))
+            last = m
+            continue
+        if kind == "word" and value in SPELLED_AS:
+            kind, value = "number", str(SPELLED_AS[value])
+        elif kind == "word" and out and out[-1][0] == (None, "number") and UNIT.match(value) and regex.fullmatch(r"\s{0,4}", between):
             kind = "unit"
         out.append(((None, kind) if kind != "word" else (value, kind), value))
         last = m

@@ -14,7 +14,7 @@ from conftest import SCHEMA
 from pyspark.sql import functions as F
 
 from manyview.llm import registry
-from manyview.llm.decontamination import leaks, marked, template
+from manyview.llm.decontamination import leaks, marked, template, template_values
 from manyview.llm.html_text import Page, core, extract_text, main_text
 from manyview.llm.license_rules import GATE, MOST_WORDS, rules
 from manyview.llm.license_scan import scan_licenses
@@ -103,7 +103,9 @@ ITEMS = [
     "Name the largest moon of Saturn.",
     "12 + 7 - 3 * 4 / 2 + 9 - 1 = 16",
     "Anna, Ben, Cleo, Dan, Eva, Finn, Gus, Hal, Ina, Jon",
+    "Seven sailors share twenty-six kg of rice for 12 days. Two sailors leave the ship at the next port. How long will the rice last now?",
 ]
+SAID = {"14": "fourteen", "3": "three", "2": "zwei", "4": "quatre", "12": "twelve", "Seven": "7", "twenty-six": "26", "Two": "Five", "100": "cien"}
 
 
 def spoiled(rng, item):
@@ -111,7 +113,7 @@ def spoiled(rng, item):
     words = item.split(" ")
     for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
         i = rng.randrange(len(words))
-        how = rng.randrange(5)
+        how = rng.randrange(6)
         if how == 0:
             words[i] = rng.choice(["red", "Otto", "77", "so", "Mary Ann"])
         elif how == 1:
@@ -120,8 +122,10 @@ def spoiled(rng, item):
             del words[i]
         elif how == 3:
             words = [w.replace("Boris", "Clara").replace("14", "19").replace("Porto", "Faro") for w in words]
-        else:
+        elif how == 4:
             words = words[i:] if rng.random() < 0.3 else words
+        else:
+            words = [SAID.get(w, w) for w in words]
     return " ".join(words)
 
 
@@ -141,6 +145,28 @@ def test_leaks_as_in_plain_python(spark):
     assert len({k for _, k in want}) == len(ITEMS)
 
 
+def test_numbers_in_words(spark):
+    asked = "Tom has 3 apples and gives 2 kg of them to his brother each day, then he buys 4 more at the market"
+    words = asked.replace("3", "three").replace("2", "two").replace("4", "four")
+    other = asked.replace("3", "zwanzig").replace("2 kg", "cinco kg").replace("4", "onze")
+    twice = "He takes 3 of the pears, then 5 of the plums, and at last 3 of the very ripe cherries home"
+    rows = [(1, words), (2, other), (3, asked.replace("3", "twenty-three")), (4, twice.replace("3", "three"))]
+    rows += [(5, twice.replace("3", "six", 1)), (6, twice.replace("3", "twenty one").replace("5", "dreiundvierzig")), (7, words.upper().replace("TOM", "Tom"))]
+    bench = spark.createDataFrame([(70, asked), (71, twice)], "item_id long, text string")
+    got = {(r["id"], r["item"]): r["same"] for r in leaks(table(spark, rows), bench).collect()}
+    assert got == {(1, 70): True, (2, 70): False, (3, 70): False, (4, 71): True, (6, 71): False, (7, 70): True}
+
+
+def test_words_and_values_go_together(spark):
+    """A template has as many words as values, in both readings, wherever numbers stand."""
+    texts = ["Twenty three Rivers", "We saw Twenty-One ships, twenty -one", "TWO3 two3 3two FÜNF", "Two Hundred Kings, One Mile", "so Dreiundzwanzig dreiundzwanzig  twenty     two", "In Twenty Two Mary Ann"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for names in ("inner", "every"):
+        for r in rows.select("t", template(marked(F.col("t")), names).alias("w"), template_values(F.col("t"), names).alias("v")).collect():
+            plain = plain_templates.read(r["t"], names)
+            assert r["v"] == [v for _, v in plain] and len(r["w"]) == len(plain), r
+
+
 def test_a_window_that_all_items_share(spark):
     """Documents meet only the items whose rarer windows they hold."""
     start = "In the following task you are asked to find out as well as you can"
