@@ -83,14 +83,14 @@ CAPITAL = rf"(?=\p{{Lu}})(?!{COUNTED})\p{{Lu}}[\p{{Ll}}\p{{M}}]++{WORD_ENDS}"
 CAPITALS = rf"{CAPITAL}(?:\s{{1,4}}{CAPITAL})*+"
 WITHIN = r"(?<=[\p{L}\p{N},;]\s{1,4})"
 #: Names in two ways of reading: capitals within a sentence, after a word or a comma and a little white space; all capitals.
-NAME_RE = {"inner": f"{WITHIN}{CAPITALS}", "every": rf"(?<![\p{{L}}\p{{M}}]){CAPITALS}"}
-RUN_RE = rf"(?<![\p{{L}}\p{{M}}])(?:{WITHIN}{CAPITALS}|({CAPITAL})((?:\s{{1,4}}{CAPITAL})*+))"
-#: What of a marked run is a name.
-READ_AS = {"inner": f"{RUN}{FIRST}{REST}|{FIRST}[^{REST}]+{REST}", "every": f"{RUN}[^{REST}]*{REST}"}
+#: Only where a capital stands is it looked at what stands before.
+NAME_RE = {"inner": rf"(?=\p{{Lu}}){WITHIN}{CAPITALS}", "every": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}]){CAPITALS}"}
+RUN_RE = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}])(?:{WITHIN}{CAPITALS}|({CAPITAL})((?:\s{{1,4}}{CAPITAL})*+))"
 NUMBER_RE = r"\p{N}+(?:[.,:]\p{N}+)*"
-#: A number in words, in lower case: one word, or tens and ones. What stands before it, no letter, is looked at first.
-SPELLED_RE = rf"(?:{any_of(TENS)}(?:-|\s{{1,4}}){any_of(ONES)}|{any_of(SPELLED_AS)}){WORD_ENDS}"
-AFTER_NO_LETTER = rf"(^|[^\p{{L}}\p{{M}}])(?=[{''.join(sorted({word[0] for word in SPELLED_AS}))}]){SPELLED_RE}"
+#: A number in words, in lower case: one word, or tens and ones, by one tree of letters. After a character that is no letter.
+AND_ONES = rf"(?:(?:-|\s{{1,4}}){any_of(ONES)}{WORD_ENDS})?"
+SPELLED_RE = any_of(word + "+" * (word in TENS) for word in SPELLED_AS).replace("+", WORD_ENDS + AND_ONES) + WORD_ENDS
+AFTER_NO_LETTER = rf"([^\p{{L}}\p{{M}}])(?=[{''.join(sorted({word[0] for word in SPELLED_AS}))}]){SPELLED_RE}"
 # Units, spelled out or short, after a number.
 UNITS = (
     "mm|cm|m|km|in|ft|yd|mi|inch|inches|foot|feet|yards?|miles?|met(?:er|re)s?|kilomet(?:er|re)s?|mg|g|kg|lbs?|oz|grams?|kilograms?|pounds?|ounces?|tons?|"
@@ -98,7 +98,8 @@ UNITS = (
     "usd|eur|gbp|dollars?|euros?|cents?|percent|degrees?|celsius|fahrenheit|mph|kmh|hz|khz|mhz|w|kw|kwh|v|a|b|kb|mb|gb|tb"
 )
 UNIT_RE = rf"{NUMBER}(\s{{0,4}})(?:{UNITS})(?![\p{{L}}\p{{M}}])"
-TEMPLATE_WORD = rf"[\p{{L}}\p{{M}}]+|[{NAME}{NUMBER}{UNIT}]"
+#: A word of the template, to be read: a name is a mark alone, the first word of other runs has one before it, the rest is one word.
+MARKED_WORD = rf"[\p{{L}}\p{{M}}]+|[{NUMBER}{UNIT}]|{RUN}[\p{{L}}\p{{M}}]*|{FIRST}[^{REST}]+{REST}"
 PLAIN_WORD = rf"{NUMBER_RE}|[\p{{L}}\p{{M}}]+"
 #: A word of the template with its value, in lower case, once names are marked.
 VALUE_WORD = rf"{NAME}[^{RUN}]*{RUN}|{NUMBER_RE}|{SPELLED_RE}|[\p{{L}}\p{{M}}]+"
@@ -106,11 +107,6 @@ VALUE_WORD = rf"{NAME}[^{RUN}]*{RUN}|{NUMBER_RE}|{SPELLED_RE}|[\p{{L}}\p{{M}}]+"
 BROADCAST_WINDOWS = 200_000
 
 
-def bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def unmarked(text: Column) -> Column:
     """The text with a space for each of the characters that serve as marks here."""
     odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in MARKS])
@@ -118,15 +114,29 @@ def unmarked(text: Column) -> Column:
 
 
 def marked(text: Column) -> Column:
-    """The text in lower case, its runs of capitals marked, with placeholders for numbers and units."""
+    """The text in lower case, its runs of capitals marked, with placeholders for numbers and units; a space before it."""
     runs = F.lower(F.regexp_replace(unmarked(text), RUN_RE, f"{RUN}$1{FIRST}$2{REST}"))
-    numbers = F.regexp_replace(F.regexp_replace(runs, NUMBER_RE, NUMBER), AFTER_NO_LETTER, f"$1{NUMBER}")
-    return F.regexp_replace(numbers, UNIT_RE, f"{NUMBER}$1{UNIT}")
+    numbers = F.concat(F.lit(" "), F.regexp_replace(runs, NUMBER_RE, NUMBER))
+    return F.regexp_replace(F.regexp_replace(numbers, AFTER_NO_LETTER, f"$1{NUMBER}"), UNIT_RE, f"{NUMBER}$1{UNIT}")
+
+
+def marked_words(marked: Column) -> Column:
+    """The words of a text that is ``marked``, from which both its templates come."""
+    return F.regexp_extract_all(marked, F.lit(MARKED_WORD), 0)
+
+
+def reading(words: Column, names: str, use=lambda word: word) -> Column:
+    """The words of the template of ``marked_words``, and what ``use`` makes of each."""
+    first = F.lit(FIRST)
+    if names == "every":
+        return F.transform(F.filter(words, lambda x: ~F.startswith(x, first)), lambda x: use(F.when(F.startswith(x, F.lit(RUN)), F.lit(NAME)).otherwise(x)))
+    name = lambda x: (x == RUN) | F.startswith(x, first)
+    return F.transform(words, lambda x: use(F.when(name(x), F.lit(NAME)).when(F.startswith(x, F.lit(RUN)), F.substring(x, 2, 2**31 - 1)).otherwise(x)))
 
 
 def template(marked: Column, names: str = "inner") -> Column:
     """The words of the template of a text that is ``marked``."""
-    return F.regexp_extract_all(F.regexp_replace(marked, READ_AS[names], NAME), F.lit(TEMPLATE_WORD), 0)
+    return reading(marked_words(marked), names)
 
 
 def template_values(text: Column, names: str) -> Column:
@@ -154,21 +164,26 @@ def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(PLAIN_WORD), 0)
 
 
-def window_digests(words: str, width: int) -> Column:
-    """Digests of windows of ``width`` words, one for each word; ``words`` names a column.
-    Those of twice as many words come from those of half, so that no window is copied."""
+def windows(rows: DataFrame, kinds: list[tuple[str, int]], *keep: str) -> DataFrame:
+    """A row (``keep``, kind, place, w) for each window: the place of its first word and its
+    digest. ``kinds`` names columns of word digests and widths. Each place is a row before its windows
+    are made, in compiled code, so that no window is copied."""
+    columns, last = list(dict.fromkeys(k for k, _ in kinds)), F.greatest(F.lit(-1), *[F.size(k) - size for k, size in kinds])
+    places = rows.select(*keep, *columns, F.explode(F.sequence(F.lit(0), F.when(last >= 0, last))).alias("place"))
+    digests = [F.when(F.col("place") <= F.size(k) - size, F.xxhash64(*[F.get(k, F.col("place") + i) for i in range(size)])) for k, size in kinds]
+    said = F.array(*[F.lit(f"{k} {size}") for k, size in kinds])
+    return places.select(*keep, "place", F.posexplode(F.array(*digests)).alias("turn", "w")).where("w IS NOT NULL").select(*keep, F.get(said, "turn").alias("kind"), "place", "w")
+
 
-    def pairs(digests: Column, apart: int) -> Column:
-        return F.transform(digests, lambda x, i: F.xxhash64(x, F.get(digests, i + apart)))
+def digested(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
 
-    def grown(digests: Column, size: int) -> Column:
-        if 2 * size <= width:
-            return bound(pairs(digests, size), lambda d: grown(d, 2 * size))
-        # the last step takes two that overlap
-        whole = pairs(digests, width - size) if size < width else digests
-        return F.slice(whole, 1, F.greatest(F.size(digests) - (width - 1), F.lit(0)))
 
-    return bound(F.transform(F.col(words), lambda x: F.xxhash64(x)), lambda d: grown(d, 1))
+def text_windows(keyed: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
+    """The ``windows`` of the column text for each id and row. Its words are found once for both ways of reading."""
+    words = keyed.withColumn("words", marked_words(marked(F.col("text"))))
+    readings = [reading(F.col("words"), names, F.xxhash64).alias(names) for names in NAME_RE]
+    return windows(words.select("id", "row", *readings, digested(plain_words(F.col("text"))).alias("plain")), kinds, "id", "row")
 
 
 def chains(hits: str, width: Column, reach: Column, drift: Column) -> Column:
@@ -264,9 +279,9 @@ def leaks(
     """
     def viewed(rows: DataFrame, said: str, *more: Column) -> DataFrame:
         """``rows`` with the words of the text ``said`` in each way of reading it."""
-        readings = [template(F.col("marked"), names).alias(names) for names in NAME_RE]
+        readings = [reading(F.col("words"), names).alias(names) for names in NAME_RE]
         kept = [c for c in rows.columns if c != said]
-        return rows.withColumn("marked", marked(F.col(said))).select(*kept, *readings, plain_words(F.col(said)).alias("plain"), *more)
+        return rows.withColumn("words", marked_words(marked(F.col(said)))).select(*kept, *readings, plain_words(F.col(said)).alias("plain"), *more)
 
     def values(said: Column) -> list[Column]:
         return [template_values(said, names).alias(f"{names}_values") for names in NAME_RE]
@@ -281,9 +296,9 @@ def leaks(
 
     def of_items(kind: str, chosen: DataFrame, width: int, literal: int) -> DataFrame:
         """(kind, item, at, w) for windows of the column ``kind`` with enough literal words."""
-        all_windows = chosen.select("item", "text_key", F.posexplode(window_digests(kind, width)).alias("at", "w"), kind)
-        words = F.filter(F.slice(kind, F.col("at") + 1, width), lambda x: ~F.array_contains(blank, x))
-        return all_windows.where(F.size(words) >= literal).select(F.lit(f"{kind} {width}").alias("kind"), "item", "text_key", "at", "w")
+        given = chosen.select("item", "text_key", digested(F.col(kind)).alias(kind), F.col(kind).alias("said"))
+        words = F.filter(F.slice("said", F.col("place") + 1, width), lambda x: ~F.array_contains(blank, x))
+        return windows(given, [(kind, width)], "item", "text_key", "said").where(F.size(words) >= literal).select("kind", "item", "text_key", F.col("place").alias("at"), "w")
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_WINDOWS else df
@@ -297,7 +312,7 @@ def leaks(
     long = F.size("plain") >= width
     by_word = of_items("plain", rest.where(long), width, 0).unionByName(of_items("plain", rest.where(~long), 3, 0))
     wanted = scratch.table(by_template.unionByName(by_word), "wanted")
-    kinds = [tuple(r["kind"].split(" ")) for r in wanted.select("kind").distinct().orderBy("kind").collect()]
+    kinds = [(k, int(size)) for k, size in (r["kind"].split(" ") for r in wanted.select("kind").distinct().orderBy("kind").collect())]
     if not kinds:
         return keyed.where("false").select("id", "row", F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("covered"), F.lit(True).alias("same"))
     exact = F.startswith("kind", F.lit("plain"))
@@ -308,13 +323,11 @@ def leaks(
     turn = F.row_number().over(Window.partitionBy("kind", "item", "text_key").orderBy("common", "at"))
     probes = wanted.join(common, ["kind", "w"]).withColumn("turn", turn).join(sizes, ["kind", "item", "text_key"])
     probes = scratch.table(probes.where(F.col("turn") <= F.col("windows") - F.col("enough") + 1).select("kind", "item", "text_key", "w").distinct(), "probes")
-    told = viewed(keyed, "text")
-    met = told.select("id", "row", F.explode(F.concat(*[window_digests(kind, int(size)) for kind, size in kinds])).alias("w"))
+    met = text_windows(keyed, kinds).select("id", "row", "w")
     met = scratch.table(met.join(small(probes.select("w").distinct()), "w").select("id", "row").distinct(), "met")
     texts = keyed.alias("k").join(met.alias("m"), F.expr("k.id <=> m.id AND k.row = m.row"), "left_semi").distinct()
     told = scratch.table(viewed(texts, "text", *values(F.col("text"))), "told")
-    here = [told.select("id", "row", F.lit(f"{k} {size}").alias("kind"), F.posexplode(window_digests(k, int(size))).alias("place", "w")) for k, size in kinds]
-    here = reduce(DataFrame.unionByName, here)
+    here = windows(told.select("id", "row", *[digested(F.col(k)).alias(k) for k in (*NAME_RE, "plain")]), kinds, "id", "row")
     pairs = scratch.table(here.join(small(probes), ["kind", "w"]).select("id", "row", "kind", "item", "text_key").distinct(), "pairs")
     asked = pairs.join(small(wanted), ["kind", "item", "text_key"]).withColumnsRenamed({"id": "p_id", "row": "p_row", "kind": "p_kind", "w": "p_w"})
     agree = here.join(asked, F.expr("id <=> p_id AND row = p_row AND kind = p_kind AND w = p_w"))

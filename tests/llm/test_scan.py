@@ -14,7 +14,7 @@ from conftest import SCHEMA
 from pyspark.sql import functions as F
 
 from manyview.llm import registry
-from manyview.llm.decontamination import leaks, marked, template, template_values
+from manyview.llm.decontamination import leaks, marked, template, template_values, text_windows
 from manyview.llm.html_text import Page, core, extract_text, main_text
 from manyview.llm.license_rules import GATE, MOST_WORDS, rules
 from manyview.llm.license_scan import scan_licenses
@@ -167,6 +167,28 @@ def test_words_and_values_go_together(spark):
             assert r["v"] == [v for _, v in plain] and len(r["w"]) == len(plain), r
 
 
+def test_windows_of_both_readings(spark):
+    """Every window of every kind, from words found once, in compiled code up to the join; and the same digest for the same words."""
+    texts = ["In May, Mary Ann ran twenty-three km with Bob. Then He saw 2 cats", "then he SAW 2 cats", "Otto", "", None, "Then He saw five cats. Then He saw 2 cats"]
+    kinds = [("every", 3), ("inner", 3), ("inner", 8), ("plain", 8)]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, row long, text string")
+    got = defaultdict(set)
+    for r in text_windows(rows, kinds).collect():
+        got[r["kind"], r["w"]].add((r["id"], r["place"]))
+    want = defaultdict(set)
+    for i, text in enumerate(texts):
+        for names, width in kinds:
+            words = plain_templates.plain(text or "") if names == "plain" else plain_templates.read(text or "", names)
+            for place, w in plain_templates.windows(words, width, 0).items():
+                want[f"{names} {width}", w].add((i, place))
+    placed = lambda found: sorted((kind, sorted(places)) for (kind, _), places in found.items())
+    assert placed(got) == placed(want) and any(len({i for i, _ in places}) > 1 for places in want.values())
+    plan = text_windows(rows, [("every", 8), ("inner", 8)]).select("id", "row", "w")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    made = re.findall(r"(\*\(\d+\) )?Generate \w+\(", plan)
+    assert len(made) == 2 and all(made)
+
+
 def test_a_window_that_all_items_share(spark):
     """Documents meet only the items whose rarer windows they hold."""
     start = "In the following task you are asked to find out as well as you can"
