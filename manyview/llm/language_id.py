@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from manyview.llm.ngram_features import averages, sparse_rows
 from manyview.llm.text_columns import fold_of
 from manyview.llm.training_sample import labelled_sample
+from manyview.llm.word_arrays import slices
 from manyview.llm.worker_code import ship
 
 #: Rows of a language that a model is trained on, rows in all, and characters of a row, at most.
@@ -158,12 +159,15 @@ def fit(
     return train([t for t, _ in sample], [name for _, name in sample])
 
 
-def label(batches: Iterator[pa.RecordBatch], shared, carried: int) -> Iterator[pa.RecordBatch]:
+def label(batches: Iterator[pa.RecordBatch], shared, carried: int, text: int) -> Iterator[pa.RecordBatch]:
+    """The first ``carried`` columns, and what the model says of the texts in column ``text``;
+    the last column tells which have a letter. Batches go out in slices of a megabyte of
+    text, so that only what comes in is ever in memory whole."""
     model = shared.value
-    for batch in batches:
-        letters = batch.column(carried + 1).to_numpy(zero_copy_only=False).astype(bool)
+    for batch in (part for whole in batches for part in slices(whole, text)):
+        letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
         if model.languages:
-            lang, sure = predict(model, batch.column(carried))
+            lang, sure = predict(model, batch.column(text))
             names = np.where(letters, np.array(model.languages, object)[lang], UNKNOWN)
         else:
             names, sure = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
@@ -188,9 +192,12 @@ def identify(docs: DataFrame, carry: list[str], model: LanguageModel, *, text: s
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__lang_text"), has_letter.alias("__lang_letter"))
+    # a text that is carried goes to Python once
+    texts = [] if text in carry else [F.col(text).alias("__lang_text")]
+    at = carry.index(text) if text in carry else len(carry)
+    rows = docs.select(*[F.col(c) for c in carry], *texts, has_letter.alias("__lang_letter"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
-    return rows.mapInArrow(lambda it: label(it, shared, len(carry)), f"{fields}, __lang string, __lang_score double")
+    return rows.mapInArrow(lambda it: label(it, shared, len(carry), at), f"{fields}, __lang string, __lang_score double")
 
 
 def learnable(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

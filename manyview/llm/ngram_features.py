@@ -13,6 +13,8 @@ import pyarrow as pa
 from manyview.llm.word_arrays import LOWER, Chunk, chunks, mix, word_digests, words
 
 _odd = np.random.default_rng(11).integers(0, 1 << 32, 16, dtype=np.uint32) | np.uint32(1)
+#: Bytes of the texts whose buckets are in memory at once: some 40 bytes for each of theirs.
+PART_BYTES = 1 << 18
 #: An odd factor that tells the first word of a pair from the second.
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +74,7 @@ def averages(
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each text, the mean weights of its features (rows of ``weights`` by bucket), and how many it has."""
     parts, counts = [np.zeros((0, weights.shape[1]))], [np.zeros(0, np.int64)]
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, PART_BYTES):
         total = np.zeros((len(chunk.offsets) - 1, weights.shape[1]))
         count = np.zeros(len(chunk.offsets) - 1, np.int64)
         for bucket, begin, end in bucket_lists(chunk, orders, bits, lower, pairs):

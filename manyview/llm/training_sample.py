@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,7 +28,8 @@ def labelled_sample(
         return []
     each = min(per_label, max(1, limit // len(counts)))
     # only about twice as many as are wanted are put in order
-    shares = [(r["label"], min(1.0, (2 * each + 50) / r["count"])) for r in counts]
+    shares = pa.table({"label": [r["label"] for r in counts], "share": [min(1.0, (2 * each + 50) / r["count"]) for r in counts]})
+    # from an Arrow table: a list would go through Python workers of its own on every executor
     shares = rows.sparkSession.createDataFrame(shares, rows.select("label").schema.add("share", "double"))
     few = keyed.withColumn("order", F.xxhash64("id", "key", F.lit(seed))).join(F.broadcast(shares), "label")
     few = few.where(F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("id", "key", "label", "order").distinct()

@@ -47,8 +47,8 @@ class Chunk:
     offsets: np.ndarray
 
 
-def chunks(texts: pa.Array) -> Iterator[Chunk]:
-    """Null texts count as empty. A text longer than a chunk is a chunk of its own."""
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """Null texts count as empty. A text longer than ``size`` bytes is a chunk of its own."""
     if texts.null_count:
         texts = texts.fill_null("")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
@@ -58,14 +58,30 @@ def chunks(texts: pa.Array) -> Iterator[Chunk]:
         return
     off = np.frombuffer(offsets, kind)[texts.offset : texts.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK_BYTES, "right")) - 1)
-        j = min(j, n)
+    for i, j in _cuts(off, size):
         yield Chunk(i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def _cuts(off: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """First and last + 1 of each run of whole texts of at most ``size`` bytes; a longer text is alone."""
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1))
+        yield i, j
         i = j
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of ``batch``, in slices of at most ``size`` bytes of the texts in ``column``,
+    or of one row. Nothing is copied."""
+    texts = batch.column(column)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = texts.buffers()[1]
+    off = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
+    for i, j in _cuts(off.astype(np.int64), size):
+        yield batch.slice(i, j - i)
+
+
 @dataclass
 class Words:
     """Words of a chunk: byte spans, the text of each, and where each text's words begin."""

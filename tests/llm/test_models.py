@@ -1,7 +1,9 @@
 """Language and quality models: held-out accuracy and odd inputs."""
 
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from conftest import SCHEMA
 from manyview.llm import language_id, quality
 from manyview.llm.ngram_features import averages, bucket_lists, code_points, sparse_rows
 from manyview.llm.training_sample import labelled_sample
-from manyview.llm.word_arrays import Runs, chunks, word_digests, words
+from manyview.llm.word_arrays import Runs, chunks, slices, word_digests, words
 
 SYLLABLES = {"en": "the th ing er on an re", "de": "der sch ung ei ich en ge", "fr": "le que ou eau ai é ment", "es": "el os ado ción que ar ie", "xx": "zzu kla mbo iri ndu"}
 
@@ -195,3 +197,44 @@ def test_chunks_of_slices():
     for part in (texts, texts.slice(50, 100), texts.cast(pa.large_string()).slice(7, 90)):
         got = [bytes(c.data[a:b]).decode() for c in chunks(part) for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True)]
         assert got == part.to_pylist()
+
+
+def test_memory_of_averages_is_that_of_a_part():
+    """Eight megabytes of text need the arrays of a quarter of one."""
+    texts, weights = pa.array(["the quick brown fox " * 50] * 8000 + [None]), np.ones((1 << 12, 2), np.float32)
+    tracemalloc.start()
+    got, n = averages(texts, weights, (3, 4), 12, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6 and np.allclose(got[:-1], 1) and n[0] == n[7999] > n[8000] == 0
+
+
+def test_carried_texts_go_to_python_once(spark):
+    docs = spark.createDataFrame([(1, "the thing", "en"), (2, None, "en"), (3, "le que", "fr")], "doc_id long, text string, lang string")
+    model = language_id.train(["the thing", "le que"], ["en", "fr"])
+    out = language_id.identify(docs, ["doc_id", "text", "lang"], model)
+    assert "__lang_text" not in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [(1, "the thing", "en", "en"), (2, None, "en", "und"), (3, "le que", "fr", "fr")]
+    alone = language_id.identify(docs, ["lang", "doc_id"], model).collect()
+    assert sorted((r["doc_id"], r["__lang"]) for r in alone) == [(1, "en"), (2, "und"), (3, "fr")]
+
+
+def test_answers_go_out_in_slices():
+    texts = [text_in(random.Random(i), "en fr"[3 * (i % 2) :][:2], 2000) if i % 7 else None for i in range(600)]
+    model = language_id.train(["the thing er on", "le que ou"], ["en", "fr"])
+    batch = pa.record_batch({"doc_id": list(range(600)), "text": pa.array(texts), "letter": [t is not None for t in texts]})
+    parts = list(language_id.label(iter([batch, batch.slice(0, 0), batch.slice(100, 3)]), SimpleNamespace(value=model), 2, 1))
+    assert len(parts) > 4 and max(sum(len(t or "") for t in p["text"].to_pylist()) for p in parts) <= 1 << 20
+    got = pa.Table.from_batches(parts)
+    assert got["doc_id"].to_pylist() == [*range(600), 100, 101, 102] and got["text"].to_pylist() == texts + texts[100:103]
+    lang, sure = language_id.predict(model, batch["text"])
+    want = ["und" if t is None else model.languages[k] for t, k in zip(texts, lang, strict=True)]
+    assert got["__lang"].to_pylist()[:600] == want and np.allclose(got["__lang_score"].to_numpy()[:600], np.where([t is None for t in texts], 0, sure))
+    assert sum(b.num_rows for b in slices(batch, 1, 1)) == 600 and max(b.num_rows for b in slices(batch, 1, 1)) <= 2
+
+
+def test_the_sample_needs_no_python_workers(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", "ab"[i % 2]) for i in range(40)], "id long, text string, label string")
+    want = {(f"text {i}", "ab"[i % 2]) for i in range(40)}
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows that go through Python workers"))
+    assert set(labelled_sample(docs, per_label=30, limit=100, longest=100, seed="s")) == want
