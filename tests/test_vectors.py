@@ -100,3 +100,21 @@ def test_stories_stay(spark, tmp_path):
     assert {i: x[0] for i, x in out.items() if i != 500} == {i: i % 6 for i, _ in rows} and out[500] == (None, None)
     assert {i for i, x in out.items() if x[1]} == {i for i, _ in first} | {i for i, _ in rows if i % 6 > 3}
     assert {r["_id"]: r["batch"] for r in clusters.stories.read().collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_so_few_that_there_is_one_cell(spark, tmp_path, n):
+    rows = grouped(n, groups=2)
+    index = VectorIndex.build(table(spark, rows), f"file://{tmp_path}/index")
+    assert asked(index.nearest(table(spark, rows), 2)) == best(rows, rows, 2)
+    assert [c["n"] for c in index.cells().collect()] == [n]
+
+
+def test_few_articles_are_left(spark, tmp_path):
+    """All but two articles join stories; what is left, fewer than make two cells, opens one."""
+    rows = grouped(30, groups=6)
+    first = [r for r in rows if r[0] % 6 < 5 and r[0] < 24]
+    clusters = StoryClusters(spark, f"file://{tmp_path}/c", 0.9, k=5, buckets=2)
+    clusters.apply(table(spark, first), 0)
+    clusters.apply(table(spark, [r for r in rows if r[0] % 6 < 5 or r[0] < 12]), 1)
+    assert {r["_id"]: r["eventId"] for r in clusters.members.read().collect()} == {i: i % 6 for i, _ in rows if i % 6 < 5 or i < 12}
