@@ -67,3 +67,23 @@ def test_each_outcome_once(spark, tmp_path):
         stateful.follow_insights(stream, f"{tmp_path}/out", f"{tmp_path}/c", 12 * HOUR, 5 * HOUR, "2 hours").awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == outcomes(rows, 12 * HOUR, 5 * HOUR)
+
+
+def forget(checkpoint):
+    """As if the stream was cut off after its last batch, before it noted that."""
+    last = max((p for p in (checkpoint / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+
+
+def test_insights_ask_no_state_by_rows(spark, tmp_path):
+    """Outcomes follow from tables kept from batch to batch; a batch that is done again gives none again."""
+    rows = [(u, t * HOUR, m) for u, t, m in [(1, 0, True), (1, 1, False), (2, 3, True), (1, 30, False), (2, 200, False), (9, 400, False)]]
+    spark.createDataFrame([(u, at(t), m) for u, t, m in rows], "user_id long, ts timestamp, made boolean").write.parquet(f"{tmp_path}/in/0")
+    for _ in range(2):
+        stream = spark.readStream.schema("user_id LONG, ts TIMESTAMP, made BOOLEAN").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        query = stateful.follow_insights(stream, f"{tmp_path}/out", f"{tmp_path}/c", 12 * HOUR, 5 * HOUR, "2 hours")
+        query.awaitTermination()
+        assert not any(p["stateOperators"] for p in query.recentProgress)
+        assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == outcomes(rows, 12 * HOUR, 5 * HOUR)
+        forget(tmp_path / "c")
