@@ -87,3 +87,17 @@ def test_insights_ask_no_state_by_rows(spark, tmp_path):
         assert not any(p["stateOperators"] for p in query.recentProgress)
         assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == outcomes(rows, 12 * HOUR, 5 * HOUR)
         forget(tmp_path / "c")
+
+
+def test_streaks_ask_no_state_by_rows(spark, tmp_path):
+    table = KeyedTable(spark, f"{tmp_path}/t", stateful.STREAK, ["userId"], buckets=2)
+    for i, days in enumerate([[1, 2, 4], [3, 9], []]):
+        if days:
+            spark.createDataFrame([(5, at(d * stateful.DAY)) for d in days], "user_id long, ts timestamp").write.parquet(f"{tmp_path}/in/{i}")
+        else:
+            forget(tmp_path / "c")
+        stream = spark.readStream.schema("user_id LONG, ts TIMESTAMP").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        query = stateful.follow_streaks(stream, table, f"{tmp_path}/c")
+        query.awaitTermination()
+        assert not any(p["stateOperators"] for p in query.recentProgress)
+    assert [tuple(r) for r in table.read().collect()] == [(5, 5, 9, 1, 4)]
