@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from manyview.operators import account_log, stories, users
+from manyview.sources import keyed
 from manyview.sources.keyed import KeyedTable
 from manyview.sources.schema import schema
 from manyview.streaming import live
@@ -135,3 +136,19 @@ def test_repeated_updates(spark):
     changes = spark.createDataFrame([("a", "x", "z", 1), ("a", "z", "y", 2), ("a", "x", "z", 1)], "_id string, old string, new string, seq long")
     assert [r["email"] for r in users.on_update(u, changes).collect()] == ["y"]
     assert users.on_update(u, changes.drop("seq")).count() == 1
+
+
+def test_counts_in_parts_and_one_version(spark, tmp_path, monkeypatch):
+    """Buckets are merged one after another, in slots; of files only what the last version needs stays."""
+    monkeypatch.setattr(keyed, "AT_ONCE", 1)
+    monkeypatch.setattr(keyed, "SLOT", 2)
+    rng, feed, kept = random.Random(3), live.LiveFeed(spark, f"{tmp_path}/live", buckets=2), {}
+    for number in range(2):
+        rows = [(f"a{i}", float(rng.randrange(9)), rng.randrange(4), rng.randrange(3), rng.random() < 0.3) for i in range(20 * number, 20 * number + 30)]
+        kept |= {r[0]: None if r[4] else r[:4] for r in rows}
+        feed.apply(spark.createDataFrame([change(article=r[:4], seq=number, gone=r[4]) for r in rows], live.CHANGE), number)
+    afresh = stories.first_seen_sources(spark.createDataFrame([a for a in kept.values() if a], live.ARTICLE)).collect()
+    assert {r["eventId"]: (r["articleCount"], r["sourceIds"]) for r in feed.counts().collect()} == {r["eventId"]: (r["n"], r["sourceIds"]) for r in afresh}
+    for table in ("articles", "pairs"):
+        assert [p.name for p in (tmp_path / "live" / table / "data").iterdir()] == ["000000000001"]
+        assert not any((tmp_path / "live" / table / "taken").glob("*"))
