@@ -152,3 +152,15 @@ def test_counts_in_parts_and_one_version(spark, tmp_path, monkeypatch):
     for table in ("articles", "pairs"):
         assert [p.name for p in (tmp_path / "live" / table / "data").iterdir()] == ["000000000001"]
         assert not any((tmp_path / "live" / table / "taken").glob("*"))
+
+
+def test_page_sent_outlives_its_version(spark, tmp_path):
+    """Versions go with each batch, and a page that was sent can still be read."""
+    feed, sent = live.LiveFeed(spark, f"{tmp_path}/live", buckets=1), []
+    watch = live.Subscription(feed, 5, lambda page, number: sent.append(page))
+    for number in range(2):
+        rows = [change(story=(1, 1.0, "t", "s", "published", 1.0)), change(article=(f"a{number}", 1.0, 1, 7 + number))]
+        feed.apply(spark.createDataFrame(rows, live.CHANGE), number)
+        watch.look(number)
+    assert [[(r["_id"], r["articleCount"], r["sourceIds"]) for r in page.collect()] for page in sent] == [[(1, 1, [7])], [(1, 2, [7, 8])]]
+    assert feed.articles.versions() == feed.pairs.versions() == [1]
