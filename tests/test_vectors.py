@@ -3,12 +3,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from manyview.operators.clusters import StoryClusters
 from manyview.operators.graph import components
+from manyview.operators.similarity import tile_of
 from manyview.operators.vector_index import VectorIndex
+from manyview.plans import followed
 
 SCHEMA = "_id long, embedding array<double>, unit int, cell string"
 
@@ -118,3 +121,22 @@ def test_few_articles_are_left(spark, tmp_path):
     clusters.apply(table(spark, first), 0)
     clusters.apply(table(spark, [r for r in rows if r[0] % 6 < 5 or r[0] < 12]), 1)
     assert {r["_id"]: r["eventId"] for r in clusters.members.read().collect()} == {i: i % 6 for i, _ in rows if i % 6 < 5 or i < 12}
+
+
+def test_letters_are_counted_as_by_replacing(spark):
+    """Texts with letters of two bytes, others with the same bytes, empty ones and null ones, in one go."""
+    texts = ["", "abba zz", "äöüéèç ÄÖÜ é", "Ã©ñ¤ 漢字 🙂 ß€", "x" * 5000 + "ç"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_id long, text string").select("_id", F.lower("text").alias("text"))
+    got = {r["_id"]: r["embedding"] for r in followed._letters(rows).collect()}
+    assert got == {i: [float(t.lower().count(c)) for c in followed.LETTERS] for i, t in enumerate(texts)}
+    plan = followed._letters(rows).where("embedding[0] > 0").selectExpr("embedding", "embedding[0] + embedding[1]")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_floor_leaves_ties(spark):
+    """A floor, the k-th that a query has found elsewhere, keeps what is as similar and drops what is less."""
+    table = lambda rows, kind: pa.Table.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("unit", pa.list_(pa.float64())), *kind]))
+    queries = table([{"key": 1, "unit": [1.0, 0.0], "floor": 0.6}, {"key": 2, "unit": [1.0, 0.0], "floor": None}], [("floor", pa.float64())])
+    rows = table([{"key": 9, "unit": [0.6, 0.8]}, {"key": 7, "unit": [0.6, 0.8]}, {"key": 1, "unit": [1.0, 0.0]}, {"key": 5, "unit": [0.0, 1.0]}], [])
+    got = tile_of(3, -1.0)(queries, rows).to_pylist()
+    assert [(r["query"], r["key"]) for r in got] == [(1, 7), (1, 9), (2, 1), (2, 7), (2, 9)]
